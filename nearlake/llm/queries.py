@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nearlake.llm.common import table
+from nearlake.llm.mixing import mix
+from nearlake.llm.near_duplicates import near_duplicates
 from nearlake.llm.packing import pack_documents
 from nearlake.llm.token_files import read_token_files, write_token_files
 
@@ -16,14 +18,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    return mix(table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
 LLM_ORACLES: dict[str, str] = {}
