@@ -11,6 +11,7 @@ from nearlake.llm.common import table
 from nearlake.llm.mixing import mix
 from nearlake.llm.near_duplicates import near_duplicates
 from nearlake.llm.packing import pack_documents
+from nearlake.llm.pii import find_personal_data
 from nearlake.llm.token_files import read_token_files, write_token_files
 
 
@@ -32,11 +33,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mixing": op2_mixing,
     "op4_token_files": op4_token_files,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op8_pii": op8_pii,
 }
 
 LLM_ORACLES: dict[str, str] = {}
