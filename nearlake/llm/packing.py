@@ -20,6 +20,8 @@ from nearlake.llm.encoding import Encoder
 
 CAPACITY = 1024
 OPEN_BINS = 4096
+#: Pieces of the stream that are looked at together.
+AHEAD = 2048
 ROWS_PER_TASK = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -98,18 +100,25 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(cut, schema)
 
 
-def pack(cut: DataFrame, n_tasks: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(cut: DataFrame, n_tasks: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ahead: int = AHEAD) -> DataFrame:
     """Give every piece a sequence and an offset in it.
 
     Pieces are dealt to ``n_tasks`` tasks by a hash and arrive in hash order, so each task packs
-    a random stream with bins of its own; a task run again repeats its result.
+    a random stream with bins of its own; a task run again repeats its result. Within each
+    ``ahead`` pieces of the stream the longest come first, which leaves less space unused; the
+    open bins outnumber them, so they don't close before the short pieces come.
     """
 
     def best_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << _SEQUENCE_BITS
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
+            lengths = batch.column("length").to_pylist()
+            placed: list = [None] * len(lengths)
+            for at in range(0, len(lengths), ahead):
+                block = range(at, min(at + ahead, len(lengths)))
+                for i in sorted(block, key=lambda i: -lengths[i]):  # ties stay in order
+                    placed[i] = bins.place(lengths[i])
             sequence = pa.array([base + s for s, _ in placed], pa.int64())
             offset = pa.array([o for _, o in placed], pa.int64())
             yield pa.RecordBatch.from_arrays(
