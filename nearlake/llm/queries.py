@@ -12,7 +12,9 @@ from nearlake.llm.mixing import mix
 from nearlake.llm.near_duplicates import near_duplicates
 from nearlake.llm.packing import pack_documents
 from nearlake.llm.pii import find_personal_data
+from nearlake.llm.quality import rate_quality
 from nearlake.llm.token_files import read_token_files, write_token_files
+from nearlake.llm.toxicity import score_documents
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate_quality(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
@@ -33,6 +39,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -40,8 +50,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mixing": op2_mixing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_toxicity": op6_toxicity,
     "op8_pii": op8_pii,
 }
 
