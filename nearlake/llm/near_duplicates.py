@@ -42,7 +42,6 @@ BLOCK = 512
 SLACK = 4.5
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_memo: dict[str, int] = {}
 _words = re.compile(WORD).findall
 
 
@@ -63,9 +62,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     found = _words(text)
     if not found:
         return np.empty(0, np.uint64)
-    if len(_memo) > 500_000:
-        _memo.clear()
-    codes = np.fromiter((_memo.get(w) or _remember(w) for w in found), np.uint64, len(found))
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     span = min(words, len(codes))
     n = len(codes) - span + 1
     with np.errstate(over="ignore"):
@@ -76,11 +73,6 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def _remember(word: str) -> int:
-    code = _memo[word] = xxhash.xxh64_intdigest(word) or 1
-    return code
-
-
 @lru_cache
 def _factors(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,7 +114,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = 0, rows: int =
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(sign, schema)
 
 
-def in_block_pairs(rows: DataFrame, group: list[str], size: str, member: str, block: int) -> DataFrame:
+def in_block_pairs(rows: DataFrame, size: str, member: str, block: int) -> DataFrame:
     """Copies of the rows such that any two of a group meet exactly once: columns lo and hi name a pair of blocks.
 
     ``size`` is the number of rows in the group. A group of up to ``block`` rows is one block.
@@ -175,14 +167,14 @@ def candidate_edges(classes: DataFrame, n_hashes: int, threshold: float, block:
     """Edges (a, b) between classes that share a band and whose minima agree nearly as often as the threshold asks."""
     spark = classes.sparkSession
     least_agree = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / n_hashes)
-    banded = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "hash"))
-    sizes = banded.groupBy("band", "hash").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
-    met = materialise(banded.join(sizes, ["band", "hash"]), "buckets")  # narrow: no minima yet
+    banded = classes.select("rep", "n_shingles", F.explode("bands").alias("hash"))  # a hash tells its band, too
+    sizes = banded.groupBy("hash").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
+    met = materialise(banded.join(sizes, "hash"), "buckets")  # narrow: no minima yet
     marks = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "marks")
-    blocks = in_block_pairs(met.join(marks, "rep"), ["band", "hash"], "in_bucket", "rep", block)
+    blocks = in_block_pairs(met.join(marks, "rep"), "in_bucket", "rep", block)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, 4):
+        for group in grouped(batches, 3):
             rows, cols, same = _cross(group)
             marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group["rep"]), -1)
             size = np.array(group["n_shingles"], float)
@@ -202,7 +194,7 @@ def candidate_edges(classes: DataFrame, n_hashes: int, threshold: float, block:
                 rep = np.array(group["rep"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
-    keys = ["band", "hash", "lo", "hi"]
+    keys = ["hash", "lo", "hi"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.select(*keys, "mine", "rep", "n_shingles", "marks").repartition(parts, *keys).sortWithinPartitions(*keys, "rep")
     return dealt.mapInArrow(compare, "a long, b long")
@@ -251,7 +243,7 @@ def verified_links(docs: DataFrame, near: DataFrame, words: int, threshold: floa
 
     schema = "component long, in_component long, rep long, n_copies long, shingles binary"
     sets = texts.select("text", "key", "component", "in_component", "rep", "n_copies").mapInArrow(to_sets, schema)
-    blocks = in_block_pairs(sets, ["component"], "in_component", "rep", block)
+    blocks = in_block_pairs(sets, "in_component", "rep", block)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
