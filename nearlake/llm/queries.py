@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nearlake.llm.common import table
+from nearlake.llm.media import media_digests
 from nearlake.llm.mixing import mix
 from nearlake.llm.near_duplicates import near_duplicates
 from nearlake.llm.packing import pack_documents
@@ -47,6 +48,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mixing": op2_mixing,
@@ -55,6 +60,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op8_pii": op8_pii,
+    "op10_media_clips": op10_media_clips,
 }
 
 LLM_ORACLES: dict[str, str] = {}
