@@ -19,7 +19,9 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 #: Slopes of the sources' weight schedules w(t) = 1 + slope * (2 t - 1), repeating in source order.
 SLOPES = (-0.5, 0.0, 0.5)
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 500
+#: Bound of the hash buckets, so of the rows per source whose sums meet in one task.
+MAX_BUCKETS = 8_192
 
 
 def _cycle(rank: Column, values: tuple) -> Column:
@@ -78,7 +80,7 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPO
     source run over hash buckets: sums of buckets first, then rows within one bucket, so the
     rows of a large source are spread over many tasks.
     """
-    n_buckets = tasks_for(sizes.count(), rows_per_bucket)
+    n_buckets = min(MAX_BUCKETS, tasks_for(sizes.count(), rows_per_bucket))
     key = F.xxhash64("doc_id", F.lit(17))
     dealt = sizes.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(n_buckets)))
     buckets = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
