@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearlake.llm.common import table
 from nearlake.llm.html import extract_main_text
+from nearlake.llm.licenses import scan_licenses
 from nearlake.llm.media import media_digests
 from nearlake.llm.mixing import mix
 from nearlake.llm.near_duplicates import near_duplicates
@@ -53,6 +54,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op8_pii": op8_pii,
+    "op9_license_scans": op9_license_scans,
     "op10_media_clips": op10_media_clips,
 }
 
