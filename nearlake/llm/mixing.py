@@ -130,3 +130,23 @@ def occurrences(mixed: DataFrame) -> DataFrame:
     """One row for each time the mix takes a document: doc_id, epoch, position and words taken."""
     rounds = F.transform("taken_by_epoch", lambda n, e: F.struct(e.alias("epoch"), n.alias("words"), F.col("positions")[e].alias("position")))
     return mixed.select("doc_id", "size", F.inline(F.filter(rounds, lambda r: r["words"] > 0)))
+
+
+def mix_documents(docs: DataFrame, n_sorted: int | None = None, **options) -> DataFrame:
+    """The mixed documents themselves: a row for each epoch that takes a document, range-sorted by position.
+
+    Documents stay whole, so one that an epoch takes in part is there if at least half of its
+    words are. Documents without words, which no target counts, are there once, at the end.
+    Columns stay as they are; a row without an id is at the end, too. Ids are expected to be
+    unique.
+    """
+    spark = docs.sparkSession
+    sizes = materialise(document_sizes(docs.where(F.col("doc_id").isNotNull())), "sizes")
+    mixed = materialise(mix_sizes(sizes, **options), "mix")
+    taken = occurrences(mixed).where(2 * F.col("words") >= F.col("size")).select("doc_id", "position")
+    wordless = sizes.where("size = 0").select("doc_id", F.lit(2.0).alias("position"))
+    places = taken.unionAll(wordless).withColumnsRenamed({"doc_id": "__of", "position": "__position"})
+    found = docs.join(places, F.col("doc_id") == F.col("__of")).drop("__of")
+    found = found.unionByName(docs.where(F.col("doc_id").isNull()).withColumn("__position", F.lit(2.0)))
+    parts = n_sorted or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartitionByRange(parts, "__position", "doc_id").sortWithinPartitions("__position", "doc_id").select(*docs.columns)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.llm.common import WORD, materialise, text_of
@@ -289,16 +290,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     with an equal shingle set, ``n_copies`` the number of documents with that set, itself
     included, and ``n_links`` the number of other documents linked. Null and empty texts have no
     shingles and no links: each is a class of its own, with n_copies 1. Repeated rows are copies
-    of each other. An empty table gives no rows.
+    of each other. A row without an id is nobody's representative. An empty table gives no rows.
     """
     bands, rows = plan_bands(threshold, recall)
     signed = materialise(signatures(docs, words, bands, rows), "signatures")
     has = signed.where("key is not null")
     one = has.groupBy("key").agg(
         F.count("*").alias("n_copies"),
-        F.min(F.struct("doc_id", "n_shingles", "bands", "marks")).alias("first"),
+        F.min("doc_id").alias("rep"),
+        *(F.first(c).alias(c) for c in ("n_shingles", "bands", "marks")),  # equal for equal sets
     )
-    classes = materialise(one.select("key", "n_copies", F.col("first.doc_id").alias("rep"), "first.n_shingles", "first.bands", "first.marks"), "classes")
+    classes = materialise(one, "classes")
     near = connected_components(candidate_edges(classes, bands * rows, threshold, block))
     near = near.withColumnRenamed("node", "rep").join(classes.select("rep", "key", "n_copies"), "rep")
     links = materialise(verified_links(docs, materialise(near, "near"), words, threshold, block), "links")
@@ -322,3 +324,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
             "n_shingles",
         )
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without all but one document of each class of near-duplicates: the one with the least id stays.
+
+    Of rows with equal ids one stays. Rows without an id stay. Columns stay as they are.
+    """
+    kept = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    unique = named.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return unique.unionByName(docs.where(F.col("doc_id").isNull()))

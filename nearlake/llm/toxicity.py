@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearlake.llm.common import text_of
 
@@ -191,7 +192,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             rest = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], [*names, "score"])
 
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     return docs.withColumn("__text", text_of()).mapInArrow(run, schema)
 
 
@@ -200,3 +201,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     machine = train(docs, labels)
     ids = score(docs.select("doc_id", "text"), machine)
     return ids.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those whose score reaches the threshold; columns stay as they are."""
+    machine = train(docs, labels)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
+    back = {v: k for k, v in names.items()}
+    held = docs.withColumnsRenamed(names).withColumn("text", F.col(names["text"]))
+    return score(held, machine).where(F.col("score") < threshold).drop("score", "text").withColumnsRenamed(back)
