@@ -1,5 +1,6 @@
 """Named queries: importing this package fills the registry."""
 
+from nearlake.plans import search_queries, vector_queries  # noqa: F401
 from nearlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
