@@ -30,7 +30,7 @@ def read_tsv(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
 
 def parse_labels(lines: DataFrame) -> DataFrame:
     """(id, label) for each label of a comma-separated line; a line without one is an error."""
-    fields = F.filter(F.transform(F.split("line", ","), F.trim), lambda x: x != "")
+    fields = F.filter(F.transform(F.split("line", ","), lambda x: F.trim(x)), lambda x: x != "")
     checked = F.when(F.size(fields) > 0, fields).otherwise(F.raise_error(F.concat(F.lit("no label for point "), F.col("id").cast("string"))))
     return lines.select("id", F.explode(checked).alias("label"))
 
