@@ -9,8 +9,9 @@
 3. Within a group, pairs whose minima agree well below the threshold are ruled out, and a
    spanning forest of the rest goes on. The connected components of these edges are small
    neighbourhoods that hold every pair worth verifying.
-4. The shingle sets are computed again for classes in such neighbourhoods alone, shuffled once
-   on the neighbourhood (again in pairs of blocks where it is large), and all pairs in it are
+4. The shingle sets are computed again for classes in such neighbourhoods alone, which a filter
+   of fixed size picks from all documents, shuffled on the neighbourhood (in pairs of blocks
+   where it is large), and all pairs in it are
    compared exactly. Links are counted there, so a group of n near copies costs its comparisons
    but never emits n * n rows.
 5. Components over forests of verified links are the classes of near-duplicates.
@@ -42,6 +43,10 @@ BLOCK = 512
 #: Standard deviations by which an estimate from the minima may fall below the threshold.
 SLACK = 4.5
 
+#: Size of the filter that keeps other documents out of the second shuffle: 2 MB. It is exact in
+#: what it keeps; when neighbourhoods hold so many documents that it fills up, it just keeps out less.
+FILTER_BITS = 1 << 24
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _words = re.compile(WORD).findall
 
@@ -222,6 +227,15 @@ def count_shared(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) ->
     return out
 
 
+def _filter_of(places: DataFrame) -> np.ndarray:
+    """Bits at the given places: FILTER_BITS of them, however many places there are."""
+    bit = F.expr("shiftleft(1L, cast(place % 64 AS int))")
+    words = places.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def verified_links(docs: DataFrame, near: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
     """Exact comparison in neighbourhoods ``near`` (rep, n_copies, component).
 
@@ -231,19 +245,20 @@ def verified_links(docs: DataFrame, near: DataFrame, words: int, threshold: floa
     spark = docs.sparkSession
     sizes = near.groupBy("component").agg(F.count("*").alias("in_component"))
     members = near.join(sizes, "component")
-    # One document stands for its class; an id that repeats with other texts is dropped by its key.
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(members, "rep")
+    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    held = spark.sparkContext.broadcast(_filter_of(near.select(place.alias("place"))))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words).tobytes() for t in batch.column("text")]
-            same = [xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column("key").to_pylist())]
-            rest = [batch.column(c) for c in ("component", "in_component", "rep", "n_copies")]
-            made = pa.RecordBatch.from_arrays([*rest, pa.array(sets, pa.binary())], ["component", "in_component", "rep", "n_copies", "shingles"])
-            yield made.filter(pa.array(same))
-
-    schema = "component long, in_component long, rep long, n_copies long, shingles binary"
-    sets = texts.select("text", "key", "component", "in_component", "rep", "n_copies").mapInArrow(to_sets, schema)
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1))
+            sets = [shingles(t.as_py(), words).tobytes() for t in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["rep", "own_key", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).where("rep is not null").select("rep", "text", place)
+    found = texts.mapInArrow(to_sets, "rep long, own_key binary, shingles binary")
+    # One document stands for its class; an id that repeats with other texts is told apart by its key.
+    sets = found.hint("merge").join(members, "rep").where("own_key = key").drop("own_key", "key")
     blocks = in_block_pairs(sets, "in_component", "rep", block)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +347,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Of rows with equal ids one stays. Rows without an id stay. Columns stay as they are.
     """
     kept = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    named = docs.hint("merge").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
     first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     unique = named.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
     return unique.unionByName(docs.where(F.col("doc_id").isNull()))
