@@ -150,3 +150,65 @@ def beam_search(edges: DataFrame, rows: DataFrame, queries: DataFrame, entry: in
     return top_k(nodes.groupBy("shard").applyInPandas(search, "qid long, id long, d double"), k).select("qid", "rank", "id", "d")
 
 
+
+
+def deterministic_greedy_pages(edges: DataFrame, nodes: DataFrame, capacity: int, rounds: int, n_parts: int) -> DataFrame:
+    """(id, page) by streaming placement: a node goes to the page with the best count * (1 - size / capacity).
+
+    Counts are of neighbours, out and in, on the page. Each round clears the pages but keeps the
+    earlier places as votes. Nodes are dealt to ``n_parts`` parts; a part must fit a task.
+    """
+    both = both_ways(edges)
+    near = both.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+
+    def place(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        near = dict(zip(group["id"], group["nbrs"]))
+        page_of: dict[int, int] = {}
+        n_pages = -(-len(group) // capacity)
+        for _ in range(rounds):
+            size = [0] * n_pages
+            open_page = 0
+            for node, others in near.items():
+                count: dict[int, int] = {}
+                for x in others:
+                    if x in page_of:
+                        count[page_of[x]] = count.get(page_of[x], 0) + 1
+                best = max(((c * (1 - size[p] / capacity), -p) for p, c in count.items() if size[p] < capacity), default=None)
+                while size[open_page] >= capacity:
+                    open_page += 1
+                page_of[node] = -best[1] if best and best[0] > 0 else open_page
+                size[page_of[node]] += 1
+        first = int(group["part"].iloc[0]) << 32
+        return pd.DataFrame({"id": list(page_of), "page": [first + p for p in page_of.values()]})
+
+    joined = nodes.join(near, nodes["id"] == near["src"], "left").select("id", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"))
+    return joined.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts))).groupBy("part").applyInPandas(place, "id long, page long")
+
+
+def heavy_edge_pages(edges: DataFrame, capacity: int, n_parts: int) -> DataFrame:
+    """(id, page): ends of heavy edges (src, dst, w) join pages of at most ``capacity``, the heaviest first.
+
+    Edges whose ends fall in different parts don't count; a part must fit a task.
+    """
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n_parts))
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["w", "src", "dst"], ascending=[False, True, True])
+        root: dict[int, int] = {}
+        size: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(group["src"], group["dst"]):
+            a, b = find(a), find(b)
+            total = size.get(a, 1) + size.get(b, 1)
+            if a != b and total <= capacity:
+                root[max(a, b)], size[min(a, b)] = min(a, b), total
+        return pd.DataFrame({"id": list(root), "page": [find(x) for x in root]})
+
+    same = edges.withColumn("part", part("src")).where(F.col("part") == part("dst"))
+    return same.groupBy("part").applyInPandas(join, "id long, page long")

@@ -31,10 +31,12 @@ _distance("distance_euclidean", lambda a, b: F.round(V.euclidean(a, b), 9), f"ro
 _distance("similarity_from_distance", lambda a, b: 1 - V.l2(a, b), f"1 - {S.l2('v', 'q')}")
 
 
-def _row(name: str, columns: dict, sql: dict[str, str]) -> None:
+def _row(name: str, columns, sql: dict[str, str]) -> None:
+    """A query with a row per embedding: ``columns`` makes named expressions of the vector column."""
+
     @query(name, "SELECT vec_id AS id, " + ", ".join(f"{e} AS {c}" for c, e in sql.items()) + " FROM embeddings")
     def run(spark, sf_dir):
-        return base(spark, sf_dir).select("id", *(e.alias(c) for c, e in columns.items()))
+        return base(spark, sf_dir).select("id", *(e.alias(c) for c, e in columns(F.col("v")).items()))
 
 
 def _rounded(v):
@@ -45,23 +47,22 @@ def _rounded_sql(v: str, f: str) -> str:
     return f"list_transform({v}, lambda x: round({f}, 9))"
 
 
-_V = F.col("v")
-_row("squared_norm", {"n": V.squared_norm(_V)}, {"n": S.norm2("embedding")})
-_row("normalize_with_epsilon", {"u": _rounded(V.normalized(_V, 1e-6))}, {"u": _rounded_sql("embedding", f"x::double / sqrt({S.norm2('embedding')} + 1e-6)")})
-_row("normalize", {"u": _rounded(V.normalized(_V))}, {"u": _rounded_sql("embedding", f"x::double / sqrt({S.norm2('embedding')})")})
-_row("normalize_to_base", {"u": _rounded(V.normalized_to(_V, 127.0))}, {"u": _rounded_sql("embedding", f"x::double / sqrt({S.norm2('embedding')}) * 127.0")})
-_row("query_for_inner_product", {"u": _rounded(V.augmented_query(_V))}, {"u": f"list_append({_rounded_sql('embedding', f'x::double / sqrt({S.norm2("embedding")})')}, 0.0::double)"})
-_row("float_to_int8", {"codes": F.transform(V.doubles(_V), lambda x: ((x - 0.1) * 254 / 2.0).cast("int"))}, {"codes": "list_transform(embedding, lambda x: trunc((x::double - 0.1) * 254 / 2.0)::int)"})
-_row("int8_to_float", {"u": F.transform(F.transform(V.doubles(_V), lambda x: (x * 127).cast("int")), lambda c: c / F.lit(127.0))}, {"u": "list_transform(embedding, lambda x: trunc(x::double * 127)::int / 127.0::double)"})
-_row("bytes_to_unit_floats", {"u": F.transform(V.doubles(_V), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), (x * 128 + 128).cast("int"))) / F.lit(255.0))}, {"u": "list_transform(embedding, lambda x: greatest(0, least(255, trunc(x::double * 128 + 128)::int)) / 255.0::double)"})
-_row("segment_means", {f"m{i}": F.round(V.mean(V.part(_V, 16 * i, 16)), 9) for i in range(4)}, {f"m{i}": f"round(list_sum(list_transform(embedding[{16 * i + 1}:{16 * i + 16}], lambda x: x::double)) / 16, 9)" for i in range(4)})
+_row("squared_norm", lambda v: {"n": V.squared_norm(v)}, {"n": S.norm2("embedding")})
+_row("normalize_with_epsilon", lambda v: {"u": _rounded(V.normalized(v, 1e-6))}, {"u": _rounded_sql("embedding", f"x::double / sqrt({S.norm2('embedding')} + 1e-6)")})
+_row("normalize", lambda v: {"u": _rounded(V.normalized(v))}, {"u": _rounded_sql("embedding", f"x::double / sqrt({S.norm2('embedding')})")})
+_row("normalize_to_base", lambda v: {"u": _rounded(V.normalized_to(v, 127.0))}, {"u": _rounded_sql("embedding", f"x::double / sqrt({S.norm2('embedding')}) * 127.0")})
+_row("query_for_inner_product", lambda v: {"u": _rounded(V.augmented_query(v))}, {"u": f"list_append({_rounded_sql('embedding', f'x::double / sqrt({S.norm2("embedding")})')}, 0.0::double)"})
+_row("float_to_int8", lambda v: {"codes": F.transform(V.doubles(v), lambda x: ((x - 0.1) * 254 / 2.0).cast("int"))}, {"codes": "list_transform(embedding, lambda x: trunc((x::double - 0.1) * 254 / 2.0)::int)"})
+_row("int8_to_float", lambda v: {"u": F.transform(F.transform(V.doubles(v), lambda x: (x * 127).cast("int")), lambda c: c / F.lit(127.0))}, {"u": "list_transform(embedding, lambda x: trunc(x::double * 127)::int / 127.0::double)"})
+_row("bytes_to_unit_floats", lambda v: {"u": F.transform(V.doubles(v), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), (x * 128 + 128).cast("int"))) / F.lit(255.0))}, {"u": "list_transform(embedding, lambda x: greatest(0, least(255, trunc(x::double * 128 + 128)::int)) / 255.0::double)"})
+_row("segment_means", lambda v: {f"m{i}": F.round(V.mean(V.part(v, 16 * i, 16)), 9) for i in range(4)}, {f"m{i}": f"round(list_sum(list_transform(embedding[{16 * i + 1}:{16 * i + 16}], lambda x: x::double)) / 16, 9)" for i in range(4)})
 _DEV = "round(sqrt(list_sum(list_transform({s}, lambda x: (x::double - list_sum(list_transform({s}, lambda y: y::double)) / 16) * (x::double - list_sum(list_transform({s}, lambda y: y::double)) / 16))) / 16), 9)"
-_row("segment_deviations", {f"s{i}": F.round(V.deviation(V.part(_V, 16 * i, 16)), 9) for i in range(4)}, {f"s{i}": _DEV.format(s=f"embedding[{16 * i + 1}:{16 * i + 16}]") for i in range(4)})
+_row("segment_deviations", lambda v: {f"s{i}": F.round(V.deviation(V.part(v, 16 * i, 16)), 9) for i in range(4)}, {f"s{i}": _DEV.format(s=f"embedding[{16 * i + 1}:{16 * i + 16}]") for i in range(4)})
 #: A fixed orthogonal matrix: a rotation by 0.6/0.8 in the first two of four coordinates, the others swapped.
 ROTATION = [[0.6, -0.8, 0.0, 0.0], [0.8, 0.6, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 1.0, 0.0]]
-_row("rotate", {f"r{i}": V.matrix_times([row], V.part(_V, 0, 4))[0] for i, row in enumerate(ROTATION)}, {f"r{i}": S.ip("embedding[1:4]", f"[{', '.join(f'{x}::double' for x in row)}]") for i, row in enumerate(ROTATION)})
-_row("full_precision_codes", {"v": _V}, {"v": "embedding"})
-_row("vector_text", {"line": F.concat(F.col("id").cast("string"), F.lit("\t"), F.array_join(F.transform(V.doubles(_V), lambda x: F.round(x * 1000).cast("int").cast("string")), "|"))}, {"line": "vec_id::varchar || chr(9) || array_to_string(list_transform(embedding, lambda x: round(x::double * 1000)::int::varchar), '|')"})
+_row("rotate", lambda v: {f"r{i}": V.matrix_times([row], V.part(v, 0, 4))[0] for i, row in enumerate(ROTATION)}, {f"r{i}": S.ip("embedding[1:4]", f"[{', '.join(f'{x}::double' for x in row)}]") for i, row in enumerate(ROTATION)})
+_row("full_precision_codes", lambda v: {"v": v}, {"v": "embedding"})
+_row("vector_text", lambda v: {"line": F.concat(F.col("id").cast("string"), F.lit("\t"), F.array_join(F.transform(V.doubles(v), lambda x: F.round(x * 1000).cast("int").cast("string")), "|"))}, {"line": "vec_id::varchar || chr(9) || array_to_string(list_transform(embedding, lambda x: round(x::double * 1000)::int::varchar), '|')"})
 
 
 @query("augment_for_inner_product", f"""
@@ -70,8 +71,8 @@ _row("vector_text", {"line": F.concat(F.col("id").cast("string"), F.lit("\t"), F
            round(sqrt(greatest(0.0, 1 - {S.norm2('embedding')} / (m * m))), 3)) AS u FROM embeddings, m""")
 def augment_for_inner_product(spark, sf_dir):
     rows = base(spark, sf_dir)
-    largest = rows.agg(F.sqrt(F.max(V.squared_norm(_V))).alias("m"))
-    u = V.augmented(_V, F.col("m"))
+    largest = rows.agg(F.sqrt(F.max(V.squared_norm(F.col("v")))).alias("m"))
+    u = V.augmented(F.col("v"), F.col("m"))
     # the last coordinate is the root of a difference near zero, so few of its digits are certain
     return rows.crossJoin(F.broadcast(largest)).select(
         "id", F.concat(F.transform(F.slice(u, 1, F.size(u) - 1), lambda x: F.round(x, 7)), F.array(F.round(F.element_at(u, -1), 3))).alias("u")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def tumbling(events: DataFrame, width: str, watermark: str | None = None) -> DataFrame:
     """(start, event_type, n, total) per window. A stream needs a watermark; late events beyond it are dropped by Spark."""
-    rows = events.withWatermark("ts", watermark) if watermark else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", watermark) if watermark else rows
     grouped = rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("start"), "event_type", "n", "total")
