@@ -176,12 +176,15 @@ def test_main_text():
 
 
 def test_consensus_of_a_host(spark):
-    body = lambda i, n: f'<div class="teaser"><p>{prose(i, 60)}</p></div><div class="story-{i}"><p>{prose(1000 + i, n)}</p></div>'
+    """A host's pages have a box of links before the story; on one page the box holds prose and the story is short."""
+    box = lambda i: f'<p><a href="/{i}">{prose(i, 60)}</a></p>' if i else f"<p>{prose(i, 60)}</p>"
+    body = lambda i, n: f'<div class="box">{box(i)}</div><div class="story-{i}"><p>{prose(1000 + i, n)}</p></div>'
     rows = [(i, "https://h.example/x", f"<html><body>{body(i, 400 if i else 50)}</body></html>") for i in range(9)]
     rows += [(90, None, None), (91, "no url", ""), (92, "https://h.example/", "<p>alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash"))
     got = {r.page_id: r for r in html.extract_main_text(pages).collect()}
-    assert got[0].text == prose(1000, 50).replace("\n", " ")  # by itself it would choose the longer teaser
+    assert got[0].text == prose(1000, 50).replace("\n", " ")
+    assert prose(0, 60).split()[0] in html.main_text(rows[0][2]).split()[:1]  # by itself it keeps the box
     assert (got[90].text, got[91].text, got[92].text) == ("", "", "alone")
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html.extract_main_text(pages.limit(0)).count() == 0
