@@ -30,12 +30,21 @@ def natural_split(rows: DataFrame, n_shards: int, key: str = "id") -> DataFrame:
 
 
 def with_places(rows: DataFrame, key: str = "id", name: str = "place") -> DataFrame:
-    """Adds the place of each row in key order, from 0, by prefix sums over range partitions."""
+    """Adds the place of each row in key order, from 0, by prefix sums over ranges of keys.
+
+    The ranges' bounds come from a sample by a hash, about 50 keys for each range, so they are the
+    same whenever a part of the plan runs. Only windows within a range see its rows.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(key).alias("__least"))
-    # one row per partition
-    starts = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(W.orderBy("__least").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    share = min(1.0, 50 * parts / max(1, rows.count()))
+    sample = rows.select(F.col(key).alias("__key")).where(F.pmod(F.xxhash64("__key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    numbered = sample.agg(F.sort_array(F.collect_list("__key")).alias("__keys"))
+    step = F.greatest(F.lit(1), F.floor(F.size("__keys") / parts).cast("int"))
+    bounds = numbered.select(F.filter("__keys", lambda k, i: (i > 0) & (i % step == 0)).alias("__bounds"))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__part", F.size(F.filter("__bounds", lambda b: b <= F.col(key)))).drop("__bounds")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row per range
+    starts = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     within = F.row_number().over(W.partitionBy("__part").orderBy(key)) - 1
     return ranged.withColumn("__within", within).join(starts, F.col("__part") == F.col("__of")).withColumn(name, F.col("__start") + F.col("__within")).drop("__part", "__of", "__start", "__within")
 
@@ -52,7 +61,8 @@ def nearest_centroids(rows: DataFrame, centroids: DataFrame, k: int = 1) -> Data
     held = centroids.agg(F.sort_array(F.collect_list(F.struct("cid", "c"))).alias("__cs"))
     nearest = F.slice(F.sort_array(F.transform("__cs", lambda x: F.struct(l2(F.col("v"), x["c"]).alias("d"), x["cid"].alias("cid")))), 1, k)
     found = rows.crossJoin(F.broadcast(held)).withColumn("__near", nearest)
-    return found.select(*rows.columns, F.posexplode("__near").alias("rank", "__one")).select(
+    # the outer form, as Spark would compute the array a second time to leave out empty ones
+    return found.select(*rows.columns, F.posexplode_outer("__near").alias("rank", "__one")).where("rank IS NOT NULL").select(
         *rows.columns, (F.col("rank") + 1).alias("rank"), F.col("__one.cid").alias("cid"), F.col("__one.d").alias("cd")
     )
 
