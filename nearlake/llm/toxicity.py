@@ -32,17 +32,11 @@ RANK = 8
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_memo: dict[str, tuple[int, ...]] = {}
 
 
-def _terms_of_word(word: str) -> tuple[int, ...]:
-    found = _memo.get(word)
-    if found is None:
-        if len(_memo) > 300_000:
-            _memo.clear()
-        names = ["=" + word, *("^" + word[:k] for k in range(3, min(len(word), 7)))]
-        found = _memo[word] = tuple(xxhash.xxh32_intdigest(n) % BUCKETS for n in names)
-    return found
+def _terms_of_word(word: str) -> list[int]:
+    names = ["=" + word, *("^" + word[:k] for k in range(3, min(len(word), 7)))]
+    return [xxhash.xxh32_intdigest(n) % BUCKETS for n in names]
 
 
 def terms(text: str) -> set[int]:
@@ -74,7 +68,7 @@ class Machine:
             for word in set(_WORDS(text.lower())):
                 found = memo.get(word)
                 if found is None:
-                    if len(memo) > 300_000:
+                    if len(memo) > 200_000:
                         memo.clear()
                     found = memo[word] = tuple(place[t] for t in _terms_of_word(word) if t in place)
                 if found:
