@@ -24,8 +24,8 @@ def _distance(name: str, expression, sql: str) -> None:
 _COS = f"(1 - {S.ip('v', 'q')} / (sqrt({S.norm2('v')}) * sqrt({S.norm2('q')})))"
 _distance("distance_l2", V.l2, S.l2("v", "q"))
 _distance("distance_inner_product", V.negative_inner_product, f"-({S.ip('v', 'q')})")
-_distance("distance_cosine", lambda a, b: F.round(V.cosine(a, b), 9), f"round({_COS}, 9)")
-_distance("distance_cosine_of_units", lambda a, b: F.round(V.cosine_of_units(a, b), 9), f"round(2 * {_COS}, 9)")
+_distance("distance_cosine", lambda a, b: F.abs(F.round(V.cosine(a, b), 9)), f"abs(round({_COS}, 9))")
+_distance("distance_cosine_of_units", lambda a, b: F.abs(F.round(V.cosine_of_units(a, b), 9)), f"abs(round(2 * {_COS}, 9))")
 _distance("distance_fast_l2", V.fast_l2, f"{S.norm2('v')} - 2 * {S.ip('v', 'q')}")
 _distance("distance_euclidean", lambda a, b: F.round(V.euclidean(a, b), 9), f"round(sqrt({S.l2('v', 'q')}), 9)")
 _distance("similarity_from_distance", lambda a, b: 1 - V.l2(a, b), f"1 - {S.l2('v', 'q')}")
