@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nearlake.functions.vectors import l2
 from nearlake.operators.knn import top_k
 from nearlake.operators.partition import nearest_centroids
+from nearlake.operators.tables import settled
 
 
 def postings(rows: DataFrame, heads: DataFrame, replicas: int = 8, limit: int | None = None) -> DataFrame:
@@ -69,6 +70,7 @@ def adaptive_search(shards: list[DataFrame], queries: DataFrame, k: int, start:
         s.crossJoin(F.broadcast(queries)).select("qid", F.lit(i).alias("shard"), "id", l2(F.col("v"), F.col("q")).alias("d")) for i, s in enumerate(shards)
     ]
     place = F.row_number().over(W.partitionBy("qid", "shard").orderBy("d", "id"))
-    ranked = reduce(DataFrame.unionByName, scored).withColumn("place", place).where(F.col("place") <= deepest)
+    # every round reads it; it has at most queries x shards x deepest rows
+    ranked = settled(reduce(DataFrame.unionByName, scored).withColumn("place", place).where(F.col("place") <= deepest))
     depths = adaptive_depths(ranked, k, start, big, small, end)
     return top_k(ranked.join(depths, ["qid", "shard"]).where(F.col("place") <= F.col("depth")), k).select("qid", "rank", "id", "shard", "d")

@@ -262,6 +262,15 @@ def rotated_bit_search(spark, sf_dir):
     return I.rerank(d, rows, queries, 40, 10).select("qid", "rank", "id", "d")
 
 
+@query("additive_code_error")
+def additive_code_error(spark, sf_dir):
+    """Mean squared error of additive codes, with and without the passes that improve them."""
+    rows = base(spark, sf_dir)
+    books = Q.train_additive_codebooks(rows, 4, 16)
+    error = lambda passes: Q.additive_codes(rows, books, passes).agg(F.lit(passes).alias("passes"), F.avg("error").alias("error"))
+    return error(0).unionByName(error(3))
+
+
 # --- inverted lists -------------------------------------------------------------------------
 
 _LISTS = f"lists AS (SELECT cid, id, cd FROM ({_nearest(2)}))"

@@ -135,6 +135,13 @@ def test_recall_floors(spark):
     assert floor_of(spark, everything) == 100
 
 
+def test_passes_lower_the_error_of_additive_codes(spark):
+    rows = base(spark, DATA)
+    books = quantize.train_additive_codebooks(rows, 4, 16)
+    before, after = (quantize.additive_codes(rows, books, n).agg(F.avg("error")).first()[0] for n in (0, 3))
+    assert after < before < 1
+
+
 def test_lloyd_lowers_the_residual(spark):
     rows = base(spark, DATA)
     start = rows.where("id % 50 = 0").select(F.col("id").alias("cid"), F.col("v").alias("c"))
