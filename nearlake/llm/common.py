@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Words of every operator here: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_own_folders: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,12 +26,15 @@ def text_of(col: str = "text"):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent (tests on one machine) a temporary folder takes its place, one
+    for each application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="nearlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="nearlake-")
+        found = _own_folders[app]
     return found.rstrip("/")
 
 
