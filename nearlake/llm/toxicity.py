@@ -87,15 +87,16 @@ class Machine:
 def select_terms(rows: list[np.ndarray], labels: np.ndarray, max_terms: int) -> np.ndarray:
     """The terms with the largest chi-square against the labels, if beyond chance."""
     n, positive = len(rows), int(labels.sum())
-    all_terms, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    label_of = np.repeat(labels, [len(r) for r in rows])
-    total = np.bincount(inverse, minlength=len(all_terms)).astype(float)
-    hits = np.bincount(inverse, weights=label_of, minlength=len(all_terms))
+    total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, label in zip(rows, labels):  # a row's terms are distinct
+        total[row] += 1
+        if label:
+            hits[row] += 1
     expected = total * positive / n
     variance = expected * (1 - positive / n) * (n - total) / max(n - 1, 1)
     chi = (hits - expected) ** 2 / np.maximum(variance, 1e-9)
     fair = np.flatnonzero((chi > 10.8) & (total >= min(3, max(1, positive // 4))) & (total < n))
-    return np.sort(all_terms[fair[np.argsort(-chi[fair], kind="stable")[:max_terms]]])
+    return np.sort(fair[np.argsort(-chi[fair], kind="stable")[:max_terms]])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS, rank: int = RANK, epochs: int = 60, rate: float = 0.1, decay: float = 1e-5) -> Machine:
