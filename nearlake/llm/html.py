@@ -31,7 +31,7 @@ BOILERPLATE = frozenset("head nav aside footer form fieldset dialog menu search"
 ROOTS = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NEGATIVE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|side-?bar\w*|footer\w*|"
+    r"(?:^|[-_\s])(?<!\bwith[-_])(?<!\bhas[-_])(?<!\bno[-_])(?<!\bwithout[-_])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|side-?bar\w*|footer\w*|"
     r"cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup\w*|modal\w*|overlay|newsletter|subscri\w*|sign-?up|log-?in|share|sharing|social|"
     r"related|recommend\w*|comments?|commentlist|disqus\w*|respond|repl(?:y|ies)|widgets?|toolbar|pagination|pager|skip-?link|hidden|sr-only|search)(?:$|[-_\s\d])",
     re.I,
@@ -59,15 +59,16 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 LEAST_SHARE = 0.2
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     path: str
     bad: bool
     parent: Node | None
     in_article: bool
-    good: int = 0
-    other: int = 0
+    #: Whether its own class or id is one of boilerplate.
+    named: bool = False
+    prose: int = 0
 
 
 @dataclass
@@ -75,6 +76,7 @@ class Block:
     node: Node
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    bad: bool = False
 
     def text(self) -> str:
         return " ".join("".join(self.pieces).split())
@@ -90,12 +92,52 @@ def _open(tag: str, source: str, parent: Node) -> Node:
     label = tag + ("." + re.sub(r"\d+", "#", classes[0]) if classes else "")
     in_article = tag in ("article", "main") or parent.in_article
     bad = parent.bad or tag in BOILERPLATE
+    named = False
     if tag not in ROOTS:
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        bad = bad or bool(NEGATIVE.search(names)) or attributes.get("role", "").lower() in ROLES
+        bad = bad or attributes.get("role", "").lower() in ROLES
         bad = bad or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
-        bad = bad or not in_article and (tag == "header" or bool(HEADER.search(names)))
-    return Node(tag, f"{parent.path}/{label}", bad, parent, in_article)
+        bad = bad or not in_article and tag == "header"
+        named = bool(NEGATIVE.search(names)) or not in_article and bool(HEADER.search(names))
+    return Node(tag, f"{parent.path}/{label}", bad, parent, in_article, named)
+
+
+def _above(node: Node | None) -> Iterator[Node]:
+    """The element and all that it lies in."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _judge(blocks: list[Block]) -> None:
+    """Says which blocks are boilerplate.
+
+    Layouts are named after their parts, too, so a class or an id doesn't count on an element that
+    holds main or the page's longest article, nor on one that holds most of the page's prose if
+    these are missing or in doubt, too, nor where nothing would remain.
+    """
+    total = 0
+    marked: dict[Node, None] = {}
+    for block in blocks:
+        block.bad = block.node.bad
+        prose = 0 if block.bad else max(0, len(block.text()) - block.linked)
+        total += prose
+        for node in _above(block.node):
+            node.prose += prose
+            if node.named or node.tag in ("main", "article"):
+                marked[node] = None
+    held = [n for n in marked if n.tag == "main" and n.prose]
+    held += sorted((n for n in marked if n.tag == "article" and n.prose), key=lambda n: -n.prose)[:1]
+    doubted = all(any(a.named for a in _above(n)) for n in held)
+    for node in (a for n in held for a in _above(n)):
+        node.named = False
+    if doubted:
+        for node in marked:
+            node.named = node.named and 2 * node.prose <= total
+    condemned = [b for b in blocks if not b.bad and any(n.named for n in _above(b.node))]
+    if sum(max(0, len(b.text()) - b.linked) for b in condemned) < total:
+        for block in condemned:
+            block.bad = True
 
 
 def parse(source: str) -> list[Block]:
@@ -158,6 +200,7 @@ def parse(source: str) -> list[Block]:
             stack.append(_open(tag, m["attributes"], stack[-1]))
     if at < len(source):
         add(source[at:])
+    _judge(blocks)
     return blocks
 
 
@@ -168,7 +211,7 @@ def scores(blocks: list[Block]) -> dict[str, float]:
     total = 0
     for block in blocks:
         n = len(block.text())
-        prose = 0 if block.node.bad else max(0, n - block.linked)
+        prose = 0 if block.bad else max(0, n - block.linked)
         total += prose
         seen = set()
         node: Node | None = block.node
@@ -203,7 +246,7 @@ def main_text(source: str, path: str | None = None) -> str:
         path = max(sorted(own), key=own.__getitem__) if own else None
     if path is None:
         return ""
-    kept = [b.text() for b in blocks if not b.node.bad and _inside(b.node, path)]
+    kept = [b.text() for b in blocks if not b.bad and _inside(b.node, path)]
     return "\n".join(t for t in kept if t)
 
 

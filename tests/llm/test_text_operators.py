@@ -175,6 +175,23 @@ def test_main_text():
     assert html.main_text("<div title='a>b'>x</div>") == "x"
 
 
+@pytest.mark.parametrize("wrapper", ['class="layout with-sidebar"', 'class="has-footer"', 'id="content" class="no-comments"', 'class="sidebar-layout"', 'class="site-header header"'])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_layouts_named_after_their_parts(wrapper, inner):
+    story, aside = prose(1, 200).replace("\n", " "), prose(2, 20)
+    page = f'<body><div {wrapper}><{inner}><h1>Head</h1><p>{story}</p></{inner}><div class="sidebar"><p>{aside}</p></div></div></body>'
+    assert html.main_text(page) == f"Head\n{story}"
+    beside = page.replace("<body>", f"<body><p>{aside}</p>").replace("</body>", f'<div id="comments"><div><p>{aside}</p></div></div></body>')
+    if inner == "article":
+        beside = beside.replace('id="comments"><div>', 'id="comments"><article>').replace("</div></div></body>", "</article></div></body>")
+    assert story in html.main_text(beside) and html.main_text(beside).count(" ".join(aside.split())) <= 1
+
+
+def test_pages_of_named_elements_alone():
+    assert html.main_text('<div class="related"><p>one</p></div><div class="comments"><p>two</p></div>') == "one\ntwo"
+    assert html.main_text('<p>story</p><div class="related"><p>one</p></div>') == "story"
+
+
 def test_consensus_of_a_host(spark):
     """A host's pages have a box of links before the story; on one page the box holds prose and the story is short."""
     box = lambda i: f'<p><a href="/{i}">{prose(i, 60)}</a></p>' if i else f"<p>{prose(i, 60)}</p>"
