@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -204,49 +204,67 @@ def parse(source: str) -> list[Block]:
     return blocks
 
 
-def scores(blocks: list[Block]) -> dict[str, float]:
-    """Votes of one page: a score for each path whose containers hold enough of its prose."""
+def _paths(blocks: list[Block]) -> tuple[dict[str, int], dict[str, int]]:
+    """Prose and linked text by the path of their containers."""
     good: dict[str, int] = defaultdict(int)
     other: dict[str, int] = defaultdict(int)
-    total = 0
     for block in blocks:
+        if block.bad:
+            continue
         n = len(block.text())
-        prose = 0 if block.bad else max(0, n - block.linked)
-        total += prose
-        seen = set()
-        node: Node | None = block.node
-        while node is not None:
-            if node.tag not in TEXT_BLOCKS and node.path not in seen:
-                seen.add(node.path)
-                good[node.path] += prose
-                other[node.path] += n - prose
-            node = node.parent
-    if not total:
-        return {}
-    return {
-        path: g / total * (g / (g + other[path])) ** 2 * 1.01 ** path.count("/")
-        for path, g in good.items()
-        if g >= LEAST_SHARE * total
-    }
+        prose = max(0, n - block.linked)
+        for path in {node.path for node in _above(block.node) if node.tag not in TEXT_BLOCKS}:
+            good[path] += prose
+            other[path] += n - prose
+    return good, other
+
+
+def scores(blocks: list[Block]) -> dict[str, float]:
+    """Votes of one page: a score for each path whose containers hold enough of its prose."""
+    good, other = _paths(blocks)
+    total = good["#"]
+    return {path: g / total * (g / (g + other[path])) ** 2 for path, g in good.items() if total and g >= LEAST_SHARE * total}
+
+
+def link_lists(blocks: list[Block]) -> dict[str, bool]:
+    """Whether a page's paths hold more links than prose."""
+    good, other = _paths(blocks)
+    return {path: other[path] > g for path, g in good.items()}
+
+
+def _within(path: str, container: str) -> bool:
+    return f"{path}/".startswith(f"{container}/")
 
 
 def _inside(node: Node | None, path: str) -> bool:
-    while node is not None:
-        if node.path == path:
-            return True
-        node = node.parent
-    return False
+    return any(n.path == path for n in _above(node))
+
 
+def main_text(source: str, path: str | None = None, lists: Collection[str] = ()) -> str:
+    """Text of a page: all of its prose, and what is linked in its container.
 
-def main_text(source: str, path: str | None = None) -> str:
-    """Text of a page from the containers on the given path; where they hold too little of the page, on its own best path."""
+    The container is the host's path or the lowest one above it that holds all the prose of the
+    page's own best container; without the host's path, or where that holds too little, the
+    page's own. ``lists`` are paths that are link lists on most of the host's pages that have
+    them. They are left out of pages that the host's path serves.
+    """
     blocks = parse(source)
     own = scores(blocks)
-    if path not in own:
-        path = max(sorted(own), key=own.__getitem__) if own else None
-    if path is None:
+    if path in own:
+        lists = [x for x in lists if not _within(x, path) and not _within(path, x)]
+        for block in blocks if lists else ():
+            block.bad = block.bad or any(_inside(block.node, x) for x in lists)
+        own = scores(blocks)
+    if not own:
         return ""
-    kept = [b.text() for b in blocks if not b.bad and _inside(b.node, path)]
+    # exact ties go to the deepest
+    best = max(sorted(own), key=lambda p: (own[p], p.count("/")))
+    if path not in own:
+        path = best
+    held = [b for b in blocks if not b.bad and len(b.text()) > b.linked and _inside(b.node, best)]
+    while not all(_inside(b.node, path) for b in held):
+        path = path.rpartition("/")[0]
+    kept = [b.text() for b in blocks if not b.bad and (2 * b.linked < len(b.text()) or _inside(b.node, path))]
     return "\n".join(t for t in kept if t)
 
 
@@ -255,25 +273,39 @@ def host_of(url: str = "url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host and its winning path: the one with the largest sum of votes, ties to the least path."""
+    """host, its winning path and its link lists.
+
+    The path is the one with the largest sum of votes, ties to the deepest, then to the least. The
+    lists are the paths that hold more links than prose on most of the host's pages that have them, but not on all.
+    """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(host, path, score) for host, page in zip(batch.column(0).to_pylist(), batch.column(1)) for path, score in scores(parse(page.as_py())).items()]
-            columns = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["host", "path", "score"])
-
-    votes = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(vote, "host string, path string, score double")
+            rows = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                blocks = parse(page.as_py())
+                score = scores(blocks)
+                rows += [(host, path, score.get(path), links) for path, links in link_lists(blocks).items()]
+            columns = list(zip(*rows)) if rows else [[], [], [], []]
+            types = {"host": pa.string(), "path": pa.string(), "score": pa.float64(), "links": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+
+    votes = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(vote, "host string, path string, score double, links boolean")
     # sums of rounded votes don't depend on the order of the rows
-    by_path = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("votes"))
-    return by_path.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("rank"), "path"))["path"].alias("path"))
+    by_path = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("votes"), F.count_if("links").alias("links"), F.count("*").alias("n"))
+    rank = F.struct((-F.col("votes")).alias("rank"), (-F.length(F.regexp_replace("path", "[^/]", ""))).alias("depth"), "path")
+    return by_path.groupBy("host").agg(
+        F.min(F.when(F.col("votes").isNotNull(), rank))["path"].alias("path"),
+        F.collect_list(F.when((2 * F.col("links") > F.col("n")) & (F.col("links") < F.col("n")), F.col("path"))).alias("lists"),
+    )
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text and its number of code points.
 
-    Null and empty html give an empty text. Pages without a host vote together as one host. A
-    page whose host's path holds too little of its prose is read by its own best path. Repeated
+    Null and empty html give an empty text. Pages without a host vote together as one host. No
+    prose is left out but boilerplate and, on pages that the host's path serves, what lies in the
+    host's link lists. Repeated
     rows give repeated results; an empty table gives no rows. Columns beyond page_id, url and
     html are not read.
     """
@@ -281,8 +313,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py(), path) for page, path in zip(batch.column(2), batch.column(3).to_pylist())]
+            hosts = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            texts = [main_text(page.as_py(), path, lists or ()) for page, (path, lists) in zip(batch.column(2), hosts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host")).join(paths, "host", "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "path", "lists").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -207,6 +207,21 @@ def test_consensus_of_a_host(spark):
     assert html.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_no_prose_is_lost_beside_a_container(spark):
+    """Short headings and leads beside a nested container, link lists, and a host path that holds a part of the page."""
+    story = [prose(100 + i, 800).replace("\n", " ") for i in range(8)]
+    links = "<ul>" + "<li><a href=/a>one of the links</a>" * 60 + "</ul>"
+    assert html.main_text(f'<article><h1>Head</h1><div class="body"><p>{story[0]}</p></div></article>') == f"Head\n{story[0]}"
+    assert html.main_text(f'<article><h1>Head</h1><div class="body"><p>{story[0]}</p></div><div class="share">{story[1]}</div>{links}</article>') == f"Head\n{story[0]}"
+    usual = lambda t: f'<body><div class="post"><p>{t}</p></div>{links}</body>'
+    pages = [usual(t) for t in story[:6]]
+    pages.append(f'<body><h1>Head</h1><div class="lead"><p>{story[6]}</p></div><div class="post"><p>{story[7]}</p></div>{links}</body>')
+    rows = [(i, "https://h.example/x", page) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == story[:6]
+    assert got[6].startswith(f"Head\n{story[6]}\n{story[7]}")
+
+
 def test_pages_against_their_articles(spark):
     def article(page):
         inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
