@@ -2,12 +2,13 @@
 
 Stretches of text around words that licenses use are compressed alone and with each template as
 a raw zstandard dictionary. Templates are ranked by how much smaller that makes the stretch, and
-the winners are confirmed by the exact differences in wording.
+all that make it smaller are confirmed by the exact differences in wording.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -88,11 +89,12 @@ WORD = re.compile(r"\w+(?:[.+-]\w+)*")
 TELLING = re.compile(r"\d|^(?:mit|isc|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|cc|cc0|by|sa|nc|nd|by-sa|by-nc|by-nc-sa|by-nd|not|non|never|except|without|attribution\S*|sharealike|noncommercial)$")
 #: Words around a trigger that belong to its stretch: few at first, more where that explains nothing.
 AROUND = (40, 160)
+#: Words around each trigger that are looked at alone where a longer stretch explains nothing.
+NARROW = 20
 #: The longest stretch looked at at once, and the words that two looks share.
 LONGEST, OVERLAP = 1200, 400
-#: Bytes that a template must save, and how many of the best are compared word by word.
+#: Bytes that a template must save to be compared word by word.
 LEAST_SAVED = 6
-CONFIRMED = 8
 DIFFERENT = 0.1
 
 
@@ -164,7 +166,7 @@ def _search(words: list[str], places: list[tuple[int, int]], out: list[Finding])
     if len(words) < 2 or not TRIGGER.search(" ".join(words)):
         return
     best = None
-    for saved, reduction, i in reductions(words)[:CONFIRMED]:
+    for saved, reduction, i in reductions(words):
         if saved < LEAST_SAVED:
             break
         name, template, _ = _prepared()[i]
@@ -175,6 +177,7 @@ def _search(words: list[str], places: list[tuple[int, int]], out: list[Finding])
             if best is None or rank > best[0]:
                 best = (rank, found, Finding(name, i, places[found[0]][0], places[found[1] - 1][1], round(reduction, 4), *found[2:]))
     if best is None:
+        _search_narrowly(words, places, out)
         return
     a, b = best[1][:2]
     out.append(best[2])
@@ -182,6 +185,27 @@ def _search(words: list[str], places: list[tuple[int, int]], out: list[Finding])
     _search(words[b:], places[b:], out)
 
 
+def _search_narrowly(words: list[str], places: list[tuple[int, int]], out: list[Finding]) -> None:
+    """Findings in windows around each trigger: there no text nearby hides what a short notice saves, or where it stands."""
+    if len(words) <= 2 * NARROW + 1:
+        return
+    starts = [0]
+    for w in words:
+        starts.append(starts[-1] + len(w) + 1)
+    at = 0
+    for m in TRIGGER.finditer(" ".join(words)):
+        k = bisect_right(starts, m.start()) - 1
+        if k < at:
+            continue
+        a, b = max(at, k - NARROW), k + NARROW + 1
+        found: list[Finding] = []
+        _search(words[a:b], places[a:b], found)
+        out += found
+        if found:
+            end = max(f.end for f in found)
+            at = next((i for i in range(a, len(words)) if places[i][0] >= end), len(words))
+
+
 def find_licenses(text: str) -> list[Finding]:
     """Confirmed licenses of a whole text by place."""
     lower = text.lower()

@@ -160,6 +160,15 @@ def test_license_wording():
     assert len(licenses.find_licenses("Released under the MIT License. " * 3)) == 3
 
 
+@pytest.mark.parametrize("every", [3, 6])
+def test_short_grants_beside_altered_texts(every):
+    """The long texts share more with their templates than a short notice has bytes."""
+    altered = [" ".join("altered" if i % every == 2 else w for i, w in enumerate(t.split())) for _, t in licenses.TEMPLATES if len(t) > 150]
+    for name, notice in licenses.TEMPLATES[3], licenses.TEMPLATES[22], licenses.TEMPLATES[1]:
+        text = " ".join([*altered, notice, altered[0]])
+        assert (name, notice.rstrip(".")) in [(f.license_id, text[f.start : f.end]) for f in licenses.find_licenses(text)]
+
+
 # --- html -----------------------------------------------------------------------------------
 
 
