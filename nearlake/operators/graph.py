@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearlake.functions.vectors import l2
 from nearlake.operators.knn import knn
+from nearlake.operators.tables import settled
 
 
 def knn_graph(rows: DataFrame, k: int) -> DataFrame:
@@ -186,29 +187,27 @@ def deterministic_greedy_pages(edges: DataFrame, nodes: DataFrame, capacity: int
     return joined.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts))).groupBy("part").applyInPandas(place, "id long, page long")
 
 
-def heavy_edge_pages(edges: DataFrame, capacity: int, n_parts: int) -> DataFrame:
+def heavy_edge_pages(edges: DataFrame, capacity: int) -> DataFrame:
     """(id, page): ends of heavy edges (src, dst, w) join pages of at most ``capacity``, the heaviest first.
 
-    Edges whose ends fall in different parts don't count; a part must fit a task.
+    In each round the pages that are each other's heaviest choice with room for both join. Pages
+    only grow, so that gives what going through all edges in one order does, without a task that
+    holds them all. The rounds are as many as the longest run of ever heavier edges needs.
     """
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n_parts))
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["w", "src", "dst"], ascending=[False, True, True])
-        root: dict[int, int] = {}
-        size: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        for a, b in zip(group["src"], group["dst"]):
-            a, b = find(a), find(b)
-            total = size.get(a, 1) + size.get(b, 1)
-            if a != b and total <= capacity:
-                root[max(a, b)], size[min(a, b)] = min(a, b), total
-        return pd.DataFrame({"id": list(root), "page": [find(x) for x in root]})
-
-    same = edges.withColumn("part", part("src")).where(F.col("part") == part("dst"))
-    return same.groupBy("part").applyInPandas(join, "id long, page long")
+    edges = settled(edges.select("src", "dst", "w"))
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    pages = settled(ends.withColumn("page", F.col("id")))
+    open_edges = edges.select((-F.col("w")).alias("rank"), "src", "dst", F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
+    while True:
+        sizes = pages.groupBy("page").agg(F.count("*").alias("n"))
+        both = open_edges.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(F.col("n_a") + F.col("n_b") <= capacity)
+        open_edges = settled(both.select("rank", "src", "dst", "a", "b"))
+        choices = open_edges.select(F.explode(F.array("a", "b")).alias("page"), F.struct("rank", "src", "dst", "a", "b").alias("e"))
+        mutual = choices.groupBy("page").agg(F.min("e").alias("e")).groupBy("e").count().where("count = 2")
+        joined = settled(mutual.select(F.greatest("e.a", "e.b").alias("page"), F.least("e.a", "e.b").alias("to")))
+        if joined.isEmpty():
+            return pages
+        pages = settled(pages.join(joined, "page", "left").select("id", F.coalesce("to", "page").alias("page")))
+        for c in ("a", "b"):
+            open_edges = open_edges.join(joined.toDF(c, "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        open_edges = open_edges.where("a <> b")

@@ -76,7 +76,7 @@ def greedy_pages(spark, sf_dir):
 
 @query("heavy_edge_pages")
 def heavy_edge_pages(spark, sf_dir):
-    return G.heavy_edge_pages(_graph(spark, sf_dir).withColumn("w", 1 / (1 + F.col("d"))), 8, 1)
+    return G.heavy_edge_pages(_graph(spark, sf_dir).withColumn("w", 1 / (1 + F.col("d"))), 8)
 
 
 @query("simulated_recall")
