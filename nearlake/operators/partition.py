@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearlake.functions.sampling import in_sample
 from nearlake.functions.vectors import doubles, l2
 
 #: Centroids are broadcast; there may be at most this many.
@@ -37,7 +38,7 @@ def with_places(rows: DataFrame, key: str = "id", name: str = "place") -> DataFr
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, 50 * parts / max(1, rows.count()))
-    sample = rows.select(F.col(key).alias("__key")).where(F.pmod(F.xxhash64("__key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = rows.select(F.col(key).alias("__key")).where(in_sample(share, "__key"))
     numbered = sample.agg(F.sort_array(F.collect_list("__key")).alias("__keys"))
     step = F.greatest(F.lit(1), F.floor(F.size("__keys") / parts).cast("int"))
     bounds = numbered.select(F.filter("__keys", lambda k, i: (i > 0) & (i % step == 0)).alias("__bounds"))
