@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +50,11 @@ CLOSED_BY = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<dropped>{DROPPED})(?=[\s/>])[^>]*>.*?(?:</(?P=dropped)\s*>|\Z)|"
-    r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}'|[\"'])*+)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+TAG = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
+#: What stands between two values of a tag: names, blanks and slashes, then the start of a value or the tag's end.
+BEFORE_VALUE = re.compile(r"[^>=]*+(?:=\s*+(?![\s\"'])[^\s>]*+[^>=]*+)*+(?:=\s*+(?P<quote>[\"'])|(?P<end>>))")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w=-])""", re.S)
+ENDS_OF_DROPPED = {name: re.compile(rf"</{name}\s*+>?", re.I) for name in DROPPED.split("|")}
 
 #: Share of a page's prose that a path must hold to be voted for, or to be used.
 LEAST_SHARE = 0.2
@@ -62,13 +63,16 @@ LEAST_SHARE = 0.2
 @dataclass(eq=False)
 class Node:
     tag: str
-    path: str
+    #: A hash of the tags and classes from the root to here, and how many they are.
+    path: int
+    depth: int
     bad: bool
     parent: Node | None
     in_article: bool
     #: Whether its own class or id is one of boilerplate.
     named: bool = False
     prose: int = 0
+    linked: int = 0
 
 
 @dataclass
@@ -77,9 +81,19 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     bad: bool = False
+    text: str = ""
+
+    @property
+    def prose(self) -> int:
+        return max(0, len(self.text) - self.linked)
+
+
+@dataclass
+class Page:
+    """Blocks of text in page order, each with the element that holds it, and all elements, outer ones first."""
 
-    def text(self) -> str:
-        return " ".join("".join(self.pieces).split())
+    nodes: list[Node]
+    blocks: list[Block]
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -99,55 +113,142 @@ def _open(tag: str, source: str, parent: Node) -> Node:
         bad = bad or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
         bad = bad or not in_article and tag == "header"
         named = bool(NEGATIVE.search(names)) or not in_article and bool(HEADER.search(names))
-    return Node(tag, f"{parent.path}/{label}", bad, parent, in_article, named)
+    path = xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), parent.path) >> 1
+    return Node(tag, path, parent.depth + 1, bad, parent, in_article, named)
 
 
-def _above(node: Node | None) -> Iterator[Node]:
-    """The element and all that it lies in."""
-    while node is not None:
-        yield node
-        node = node.parent
+def _add_up(page: Page, prose: Callable[[Block], int], linked: Callable[[Block], int] = lambda b: 0) -> None:
+    """Sums of the blocks within each element: inner elements come after those that hold them."""
+    for node in page.nodes:
+        node.prose = node.linked = 0
+    for block in page.blocks:
+        block.node.prose += prose(block)
+        block.node.linked += linked(block)
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            node.parent.prose += node.prose
+            node.parent.linked += node.linked
 
 
-def _judge(blocks: list[Block]) -> None:
+def _within(page: Page, holds: Callable[[Node], bool]) -> set[Node]:
+    """The elements that are such or lie in one that is."""
+    found: set[Node] = set()
+    for node in page.nodes:
+        if node.parent in found or holds(node):
+            found.add(node)
+    return found
+
+
+def _judge(page: Page) -> None:
     """Says which blocks are boilerplate.
 
     Layouts are named after their parts, too, so a class or an id doesn't count on an element that
     holds main or the page's longest article, nor on one that holds most of the page's prose if
     these are missing or in doubt, too, nor where nothing would remain.
     """
-    total = 0
-    marked: dict[Node, None] = {}
-    for block in blocks:
+    for block in page.blocks:
         block.bad = block.node.bad
-        prose = 0 if block.bad else max(0, len(block.text()) - block.linked)
-        total += prose
-        for node in _above(block.node):
-            node.prose += prose
-            if node.named or node.tag in ("main", "article"):
-                marked[node] = None
-    held = [n for n in marked if n.tag == "main" and n.prose]
-    held += sorted((n for n in marked if n.tag == "article" and n.prose), key=lambda n: -n.prose)[:1]
-    doubted = all(any(a.named for a in _above(n)) for n in held)
-    for node in (a for n in held for a in _above(n)):
-        node.named = False
+    _add_up(page, lambda b: 0 if b.bad else b.prose)
+    total = page.nodes[0].prose
+    held = [n for n in page.nodes if n.tag == "main" and n.prose]
+    articles = [n for n in page.nodes if n.tag == "article" and n.prose]
+    held += [max(articles, key=lambda n: n.prose)] if articles else []
+    named = _within(page, lambda n: n.named)
+    doubted = all(n in named for n in held)
+    done: set[Node] = set()
+    for node in held:
+        while node is not None and node not in done:
+            done.add(node)
+            node.named = False
+            node = node.parent
     if doubted:
-        for node in marked:
+        for node in page.nodes:
             node.named = node.named and 2 * node.prose <= total
-    condemned = [b for b in blocks if not b.bad and any(n.named for n in _above(b.node))]
-    if sum(max(0, len(b.text()) - b.linked) for b in condemned) < total:
+    named = _within(page, lambda n: n.named)
+    condemned = [b for b in page.blocks if not b.bad and b.node in named]
+    if sum(b.prose for b in condemned) < total:
         for block in condemned:
             block.bad = True
 
 
-def parse(source: str) -> list[Block]:
-    """Blocks of text in page order, each with the element that holds it."""
-    root = Node("", "#", False, None, False)  # holds what no element does
+class Tags:
+    """Reads a page's tags from left to right, each character a bounded number of times.
+
+    A quoted value may hold any character, however long it is. Where the quotes of a tag never
+    close, they don't count from there on and tags end at the next ``>``.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.quotes_count = True
+        self.missing: set[str] = set()
+
+    def find(self, what: str, start: int) -> int:
+        """As str.find; what isn't there from some place on isn't looked for again."""
+        if what in self.missing:
+            return -1
+        at = self.source.find(what, start)
+        if at < 0:
+            self.missing.add(what)
+        return at
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``, or -1."""
+        start = at
+        while self.quotes_count:
+            m = BEFORE_VALUE.match(self.source, at)
+            if m is not None and m["end"]:
+                return m.end() - 1
+            close = self.source.find(m["quote"], m.end()) if m is not None else -1
+            if close < 0:
+                self.quotes_count = False
+            at = close + 1
+        return self.find(">", start)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(text before, tag, attributes); an end tag's name has a slash before it, the last one is empty."""
+        source, done, at = self.source, 0, 0
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                stop = self.find("-->", at + 4)
+                yield source[done:at], "!", ""
+                done = at = stop + 3 if stop >= 0 else len(source)
+                continue
+            slash = source.startswith("/", at + 1)
+            m = TAG.match(source, at + 1 + slash)
+            if m is None:
+                stop = self.find(">", at + 1) if source[at + 1 : at + 2] in ("!", "?", "/") else -1
+                if stop < 0:
+                    at += 1
+                    continue
+                yield source[done:at], "!", ""
+                done = at = stop + 1
+                continue
+            stop = self.end_of_tag(m.end())
+            if stop < 0:
+                at = m.end()
+                continue
+            name = m[0].lower()
+            if not slash and name in ENDS_OF_DROPPED:
+                end = None if name in self.missing else ENDS_OF_DROPPED[name].search(source, stop + 1)
+                if end is None:
+                    self.missing.add(name)
+                yield source[done:at], "!", ""
+                done = at = end.end() if end else len(source)
+                continue
+            yield source[done:at], "/" + name if slash else name, source[m.end() : stop]
+            done = at = stop + 1
+        yield source[done:], "", ""
+
+
+def parse(source: str) -> Page:
+    """Blocks of text and elements of a page. The work is linear in its length, whatever it holds."""
+    root = Node("", 0, 0, False, None, False)  # holds what no element does
+    page = Page([root], [])
     stack = [root]
-    blocks: list[Block] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
     block: Block | None = None
     links = 0
-    at = 0
 
     def add(text: str) -> None:
         nonlocal block
@@ -155,21 +256,26 @@ def parse(source: str) -> list[Block]:
             if not text or text.isspace():
                 return
             block = Block(stack[-1])
-            blocks.append(block)
+            page.blocks.append(block)
         block.pieces.append(entities.unescape(text) if "&" in text else text)
         if links:
             block.linked += len(text)
 
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            add(source[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
+    def close(depth: int) -> None:
+        """Close the element at a place in the stack and all within it."""
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+
+    def innermost(tags: Collection[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    for text, tag, attributes in Tags(source):
+        if text:
+            add(text)
+        ends = tag.startswith("/")
+        tag = tag.removeprefix("/")
         if tag == "a":
-            links = 0 if m["end"] else 1
+            links = 0 if ends else 1
         elif tag in ("br", "hr"):
             add(" ")
         if tag == "hr":
@@ -177,70 +283,55 @@ def parse(source: str) -> list[Block]:
         if tag not in BLOCKS:
             continue
         block = None
-        if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+        if ends:
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         links = 0
         if stack[-1].tag == "p" or stack[-1].tag in HEADINGS and tag in HEADINGS:
-            stack.pop()
+            close(len(stack) - 1)
         if tag in CLOSED_BY:
             closes, within = CLOSED_BY[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in within:
-                    break
-                if stack[depth].tag in closes:
-                    del stack[depth:]
-        if tag == "body" and any(n.tag == "head" for n in stack):
-            while stack[-1].tag != "html" and len(stack) > 1:
-                stack.pop()
-        if not m["attributes"].endswith("/"):
-            stack.append(_open(tag, m["attributes"], stack[-1]))
-    if at < len(source):
-        add(source[at:])
-    _judge(blocks)
-    return blocks
-
-
-def _paths(blocks: list[Block]) -> tuple[dict[str, int], dict[str, int]]:
-    """Prose and linked text by the path of their containers."""
-    good: dict[str, int] = defaultdict(int)
-    other: dict[str, int] = defaultdict(int)
-    for block in blocks:
-        if block.bad:
-            continue
-        n = len(block.text())
-        prose = max(0, n - block.linked)
-        for path in {node.path for node in _above(block.node) if node.tag not in TEXT_BLOCKS}:
-            good[path] += prose
-            other[path] += n - prose
-    return good, other
-
-
-def scores(blocks: list[Block]) -> dict[str, float]:
+            limit = innermost(within)
+            # the outermost of those that it closes, down to the list or table that holds it
+            outer = min((places[t][bisect_right(places[t], limit)] for t in closes if places.get(t) and places[t][-1] > limit), default=0)
+            if outer:
+                close(outer)
+        if tag == "body" and places.get("head"):
+            close(places["html"][-1] + 1 if places.get("html") else 1)
+        if not attributes.endswith("/"):
+            node = _open(tag, attributes, stack[-1])
+            places[tag].append(len(stack))
+            stack.append(node)
+            page.nodes.append(node)
+    for block in page.blocks:
+        block.text = " ".join("".join(block.pieces).split())
+    _judge(page)
+    return page
+
+
+def _paths(page: Page) -> dict[int, tuple[int, int, int]]:
+    """Prose, linked text and depth by the path of the containers."""
+    _add_up(page, lambda b: 0 if b.bad else b.prose, lambda b: 0 if b.bad else len(b.text) - b.prose)
+    out: dict[int, tuple[int, int, int]] = {}
+    for node in page.nodes:
+        if node.tag not in TEXT_BLOCKS and (node.prose or node.linked):
+            prose, linked, _ = out.get(node.path, (0, 0, 0))
+            out[node.path] = prose + node.prose, linked + node.linked, node.depth
+    return out
+
+
+def scores(page: Page) -> dict[int, float]:
     """Votes of one page: a score for each path whose containers hold enough of its prose."""
-    good, other = _paths(blocks)
-    total = good["#"]
-    return {path: g / total * (g / (g + other[path])) ** 2 for path, g in good.items() if total and g >= LEAST_SHARE * total}
-
+    return _scores(_paths(page))
 
-def link_lists(blocks: list[Block]) -> dict[str, bool]:
-    """Whether a page's paths hold more links than prose."""
-    good, other = _paths(blocks)
-    return {path: other[path] > g for path, g in good.items()}
 
+def _scores(paths: dict[int, tuple[int, int, int]]) -> dict[int, float]:
+    total = paths[0][0] if 0 in paths else 0
+    return {path: g / total * (g / (g + linked)) ** 2 for path, (g, linked, _) in paths.items() if total and g >= LEAST_SHARE * total}
 
-def _within(path: str, container: str) -> bool:
-    return f"{path}/".startswith(f"{container}/")
 
-
-def _inside(node: Node | None, path: str) -> bool:
-    return any(n.path == path for n in _above(node))
-
-
-def main_text(source: str, path: str | None = None, lists: Collection[str] = ()) -> str:
+def main_text(source: str, path: int | None = None, lists: Collection[int] = ()) -> str:
     """Text of a page: all of its prose, and what is linked in its container.
 
     The container is the host's path or the lowest one above it that holds all the prose of the
@@ -248,23 +339,40 @@ def main_text(source: str, path: str | None = None, lists: Collection[str] = ())
     page's own. ``lists`` are paths that are link lists on most of the host's pages that have
     them. They are left out of pages that the host's path serves.
     """
-    blocks = parse(source)
-    own = scores(blocks)
-    if path in own:
-        lists = [x for x in lists if not _within(x, path) and not _within(path, x)]
-        for block in blocks if lists else ():
-            block.bad = block.bad or any(_inside(block.node, x) for x in lists)
-        own = scores(blocks)
+    page = parse(source)
+    own = scores(page)
+    if path in own and lists:
+        above: set[int] = set()
+        for node in page.nodes:
+            while node is not None and node.path == path:
+                node = node.parent
+                while node is not None and node.path not in above:
+                    above.add(node.path)
+                    node = node.parent
+        inside = {n.path for n in _within(page, lambda n: n.path == path)}
+        left_out = set(lists) - above - inside
+        lists_here = _within(page, lambda n: n.path in left_out)
+        for block in page.blocks:
+            block.bad = block.bad or block.node in lists_here
+        own = scores(page)
     if not own:
         return ""
+    depth = {n.path: n.depth for n in page.nodes}
     # exact ties go to the deepest
-    best = max(sorted(own), key=lambda p: (own[p], p.count("/")))
+    best = max(sorted(own), key=lambda p: (own[p], depth[p]))
     if path not in own:
         path = best
-    held = [b for b in blocks if not b.bad and len(b.text()) > b.linked and _inside(b.node, best)]
-    while not all(_inside(b.node, path) for b in held):
-        path = path.rpartition("/")[0]
-    kept = [b.text() for b in blocks if not b.bad and (2 * b.linked < len(b.text()) or _inside(b.node, path))]
+    in_best = _within(page, lambda n: n.path == best)
+    _add_up(page, lambda b: int(not b.bad and b.prose > 0 and b.node in in_best))
+    held: dict[int, int] = defaultdict(int)
+    for node in page.nodes:
+        held[node.path] += node.prose
+    # a path's elements don't lie in each other, so these are all blocks that they hold
+    upward = {n.path: n.parent.path for n in page.nodes if n.parent is not None}
+    while held[path] < held[0]:
+        path = upward[path]
+    container = _within(page, lambda n: n.path == path)
+    kept = [b.text for b in page.blocks if not b.bad and (2 * b.linked < len(b.text) or b.node in container)]
     return "\n".join(t for t in kept if t)
 
 
@@ -273,7 +381,7 @@ def host_of(url: str = "url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, its winning path and its link lists.
+    """host, its winning path and its link lists, as hashes.
 
     The path is the one with the largest sum of votes, ties to the deepest, then to the least. The
     lists are the paths that hold more links than prose on most of the host's pages that have them, but not on all.
@@ -282,32 +390,37 @@ def host_paths(pages: DataFrame) -> DataFrame:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                blocks = parse(page.as_py())
-                score = scores(blocks)
-                rows += [(host, path, score.get(path), links) for path, links in link_lists(blocks).items()]
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            types = {"host": pa.string(), "path": pa.string(), "score": pa.float64(), "links": pa.bool_()}
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                paths = _paths(parse(html.as_py()))
+                score = _scores(paths)
+                rows += [(host, path, depth, score.get(path), linked > prose) for path, (prose, linked, depth) in paths.items()]
+            columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+            types = {"host": pa.string(), "path": pa.int64(), "depth": pa.int32(), "score": pa.float64(), "links": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
 
-    votes = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(vote, "host string, path string, score double, links boolean")
+    votes = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(vote, "host string, path long, depth int, score double, links boolean")
     # sums of rounded votes don't depend on the order of the rows
-    by_path = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("votes"), F.count_if("links").alias("links"), F.count("*").alias("n"))
-    rank = F.struct((-F.col("votes")).alias("rank"), (-F.length(F.regexp_replace("path", "[^/]", ""))).alias("depth"), "path")
+    by_path = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("votes"), F.max("depth").alias("depth"), F.count_if("links").alias("links"), F.count("*").alias("n"))
+    rank = F.struct((-F.col("votes")).alias("rank"), (-F.col("depth")).alias("depth"), "path")
     return by_path.groupBy("host").agg(
         F.min(F.when(F.col("votes").isNotNull(), rank))["path"].alias("path"),
         F.collect_list(F.when((2 * F.col("links") > F.col("n")) & (F.col("links") < F.col("n")), F.col("path"))).alias("lists"),
     )
 
 
+#: Numbers in the table of host paths up to which it is broadcast: 8 MB.
+BROADCAST_NUMBERS = 1_000_000
+#: Parts that the pages of a host are dealt to where the table is too large for that.
+SALTS = 32
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text and its number of code points.
 
     Null and empty html give an empty text. Pages without a host vote together as one host. No
     prose is left out but boilerplate and, on pages that the host's path serves, what lies in the
-    host's link lists. Repeated
-    rows give repeated results; an empty table gives no rows. Columns beyond page_id, url and
-    html are not read.
+    host's link lists. Repeated rows give repeated results; an empty table gives no rows. Columns
+    beyond page_id, url and html are not read. A page is read in linear time whatever it holds.
     """
     paths = materialise(host_paths(pages), "paths")
 
@@ -317,5 +430,11 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(page.as_py(), path, lists or ()) for page, (path, lists) in zip(batch.column(2), hosts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host")).join(paths, "host", "left")
+    held = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
+    numbers = paths.agg(F.sum(4 + F.size("lists"))).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
+        joined = held.join(F.broadcast(paths), "host", "left")
+    else:  # a host may have a third of all pages
+        salted = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = held.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "path", "lists").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
