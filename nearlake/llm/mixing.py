@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearlake.llm.common import WORD, materialise, tasks_for, text_of
+from nearlake.llm.common import WORD, materialise, partitions, tasks_for, text_of, under_plain_names
+from nearlake.operators.partition import with_places
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -32,32 +33,30 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     """One row per source: its size, weight, target and schedule.
 
     ``share`` times all sizes is dealt out by weight; a target stops at ``max_epochs`` times its
-    source's size and the excess is dealt again among the others. Sources that reach that limit
-    first have the least limit per weight, so with sources in that order the level of the
-    remaining ones is (total - limits before) / (weights from here), and a source is at its limit
-    exactly when its limit per weight is at most its level. Levels fall from the first source
-    below its limit on, so the greatest of theirs is the common one.
+    source's size and the excess is dealt again among the others, until none is above. Each round
+    is one sum over the sources, of which there may be many: the words per unit of weight that
+    are left for the sources below their limit. It only rises, so a source once at its limit
+    stays there.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # Windows over one row per source: a table of sources, not of documents.
-    ranked = by_source.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).select(
-        "source", "source_size", _cycle(F.col("rank"), weights).alias("weight"), _cycle(F.col("rank"), slopes).alias("slope"), "rank"
+    by_source = materialise(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    order = F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name"))
+    ranked = with_places(by_source.withColumn("order", order), "order", "rank").select(
+        "source", "source_size", _cycle(F.col("rank"), weights).alias("weight"), _cycle(F.col("rank"), slopes).alias("slope")
     )
-    everything = W.partitionBy()
-    order = W.orderBy("limit_per_weight", "rank")
     limit = F.col("source_size") * float(max_epochs)
-    levels = (
-        ranked.withColumn("limit", limit)
-        .withColumn("limit_per_weight", F.col("limit") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything) * share)
-        .withColumn("before", F.coalesce(F.sum("limit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("weights_left", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("before")) / F.col("weights_left"))
-        .withColumn("at_limit", F.col("limit_per_weight") <= F.col("level"))
-        .withColumn("common", F.max(F.when(~F.col("at_limit"), F.col("level"))).over(everything))
-    )
-    target = F.when(F.col("at_limit"), F.col("limit")).otherwise(F.col("common") * F.col("weight"))
-    return levels.select("source", "source_size", "weight", "slope", target.alias("target"))
+    level, full = 0.0, -1
+    while True:
+        at_limit = limit <= F.col("weight") * level if full >= 0 else F.lit(False)
+        sums = ranked.agg(
+            F.coalesce(F.sum("source_size") * share - F.sum(F.when(at_limit, limit).otherwise(0.0)), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(at_limit, 0.0).otherwise(F.col("weight"))), F.lit(0.0)),
+            F.count_if(at_limit),
+        ).first()
+        if sums[2] == full or not sums[1]:
+            break
+        full, level = sums[2], sums[0] / sums[1]
+    target = F.least(limit, F.col("weight") * level)
+    return ranked.withColumn("target", target)
 
 
 def invert_demand(x: Column, slope: Column) -> Column:
@@ -67,13 +66,14 @@ def invert_demand(x: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, x).otherwise(2 * x / (linear + root))
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words (null text: 0)."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def document_sizes(docs: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, source, the number of words (null text: 0) and a hash of the text, which tells rows with equal ids apart."""
+    text = text_of()
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), *kept)
 
 
 def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, slopes=SLOPES, rows_per_bucket=ROWS_PER_BUCKET) -> DataFrame:
-    """The mix for a table (doc_id, source, size), which it reads several times.
+    """The mix for a table of ``document_sizes``, which it reads several times; further columns stay.
 
     Words are taken from a source's documents in hash order, epoch after epoch, up to the whole
     part of its target; the document at the end of it may be taken in part. Prefix sums of a
@@ -81,7 +81,7 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPO
     rows of a large source are spread over many tasks.
     """
     n_buckets = min(MAX_BUCKETS, tasks_for(sizes.count(), rows_per_bucket))
-    key = F.xxhash64("doc_id", F.lit(17))
+    key = F.xxhash64("doc_id", "text_hash", F.lit(17))
     dealt = sizes.withColumn("key", key).withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(n_buckets)))
     buckets = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -89,7 +89,7 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPO
     targets = source_targets(sizes, weights, share, max_epochs, slopes)
     per_bucket = starts.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     per_bucket = per_bucket.withColumnsRenamed({"source": "of", "bucket": "in"})
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "text_hash", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(
         per_bucket, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in"))
     )
@@ -106,6 +106,7 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPO
         sum(due[1:], due[0]).cast("long").alias("taken"),
         F.array(*(d.cast("long") for d in due)).alias("taken_by_epoch"),
         F.array(*at).alias("positions"),
+        *(c for c in sizes.columns if c not in ("doc_id", "source", "size", "text_hash")),
     )
 
 
@@ -117,19 +118,18 @@ def mix(docs: DataFrame, n_sorted: int | None = None, **options) -> DataFrame:
     else null. Documents without words take none and come last. A null source is a source of
     its own, after the others. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     sizes = materialise(document_sizes(docs), "sizes")
     mixed = materialise(mix_sizes(sizes, **options).withColumn("position", F.expr("positions[0]")), "mix")
-    parts = n_sorted or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = n_sorted or partitions(docs.sparkSession, sizes.count(), 500_000)
     # Without a position (nothing taken) documents are spread by a hash, above all positions.
     order = F.coalesce("position", 2 + F.abs(F.xxhash64("doc_id")) / F.lit(2.0**63))
     return mixed.repartitionByRange(parts, order, "doc_id").sortWithinPartitions(order, "doc_id")
 
 
-def occurrences(mixed: DataFrame) -> DataFrame:
+def occurrences(mixed: DataFrame, *kept: str) -> DataFrame:
     """One row for each time the mix takes a document: doc_id, epoch, position and words taken."""
     rounds = F.transform("taken_by_epoch", lambda n, e: F.struct(e.alias("epoch"), n.alias("words"), F.col("positions")[e].alias("position")))
-    return mixed.select("doc_id", "size", F.inline(F.filter(rounds, lambda r: r["words"] > 0)))
+    return mixed.select("doc_id", "size", *kept, F.inline(F.filter(rounds, lambda r: r["words"] > 0)))
 
 
 def mix_documents(docs: DataFrame, n_sorted: int | None = None, **options) -> DataFrame:
@@ -137,16 +137,17 @@ def mix_documents(docs: DataFrame, n_sorted: int | None = None, **options) -> Da
 
     Documents stay whole, so one that an epoch takes in part is there if at least half of its
     words are. Documents without words, which no target counts, are there once, at the end.
-    Columns stay as they are; a row without an id is at the end, too. Ids are expected to be
-    unique.
+    Columns stay as they are, whatever they are called. Every row counts as a document of its
+    own, with or without an id or one that repeats: rows are numbered once, in a table of the
+    shared folder, and told apart by that number.
     """
-    spark = docs.sparkSession
-    sizes = materialise(document_sizes(docs.where(F.col("doc_id").isNotNull())), "sizes")
+    held, names = under_plain_names(docs)
+    numbered = materialise(held.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    renamed = numbered.select("row", *(F.col(names[c]).alias(c) for c in ("doc_id", "source", "text")))
+    sizes = materialise(document_sizes(renamed, "row"), "sizes")
     mixed = materialise(mix_sizes(sizes, **options), "mix")
-    taken = occurrences(mixed).where(2 * F.col("words") >= F.col("size")).select("doc_id", "position")
-    wordless = sizes.where("size = 0").select("doc_id", F.lit(2.0).alias("position"))
-    places = taken.unionAll(wordless).withColumnsRenamed({"doc_id": "__of", "position": "__position"})
-    found = docs.join(places, F.col("doc_id") == F.col("__of")).drop("__of")
-    found = found.unionByName(docs.where(F.col("doc_id").isNull()).withColumn("__position", F.lit(2.0)))
-    parts = n_sorted or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartitionByRange(parts, "__position", "doc_id").sortWithinPartitions("__position", "doc_id").select(*docs.columns)
+    taken = occurrences(mixed, "row").where(2 * F.col("words") >= F.col("size")).select("row", "position")
+    places = taken.unionAll(sizes.where("size = 0").select("row", F.lit(2.0).alias("position")))
+    parts = n_sorted or partitions(docs.sparkSession, sizes.count())
+    found = numbered.join(places, "row").repartitionByRange(parts, "position", names["doc_id"]).sortWithinPartitions("position", names["doc_id"])
+    return found.select(*(F.col(plain).alias(c) for c, plain in names.items()))
