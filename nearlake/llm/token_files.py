@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearlake.llm.common import materialise, shared_dir, text_of
+from nearlake.llm.common import materialise, partitions, shared_dir, text_of
 from nearlake.llm.packing import encoder
 
 MANIFEST = "part int, path string, width int, n_docs long, n_tokens long"
@@ -33,18 +33,20 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _index_bytes(doc_ids: list[int], offsets: np.ndarray, width: int) -> bytes:
-    head = np.array([width, len(doc_ids)], "<i8").tobytes()
-    return MAGIC + head + np.array(doc_ids, "<i8").tobytes() + offsets.astype("<i8").tobytes()
+def _index_bytes(doc_ids: list[int | None], offsets: np.ndarray, width: int) -> bytes:
+    """Rows without an id come first, so their number tells them from rows of any id."""
+    nameless = sum(d is None for d in doc_ids)
+    head = np.array([width, len(doc_ids), nameless], "<i8").tobytes()
+    return MAGIC + head + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + offsets.astype("<i8").tobytes()
 
 
-def read_index(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    """Bytes per id, document ids, and offsets (one more than documents)."""
+def read_index(data: bytes) -> tuple[int, np.ma.MaskedArray, np.ndarray]:
+    """Bytes per id, document ids (masked where a row has none), and offsets (one more than documents)."""
     if data[:8] != MAGIC:
         raise ValueError("not a token index")
-    width, n = np.frombuffer(data, "<i8", 2, 8).tolist()
-    numbers = np.frombuffer(data, "<i8", 2 * n + 1, 24)
-    return width, numbers[:n], numbers[n:]
+    width, n, nameless = np.frombuffer(data, "<i8", 3, 8).tolist()
+    numbers = np.frombuffer(data, "<i8", 2 * n + 1, 32)
+    return width, np.ma.masked_array(numbers[:n], np.arange(n) < nameless), numbers[n:]
 
 
 def map_ids(path: str, width: int, n: int) -> np.ndarray:
@@ -63,12 +65,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     """Write all documents in ascending ``doc_id`` order; returns the manifest with each part's base.
 
     Null and empty texts hold the end id alone. Rows with equal ids are all kept, ordered by a
-    hash of their texts. A task that runs again writes files of another name, and the manifest
+    hash of their texts; rows without an id come first. A task that runs again writes files of another name, and the manifest
     names only those of the run that counted. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(spark, docs.count())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -101,9 +103,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         yield pa.RecordBatch.from_pylist([row], pa.schema(types))
 
     ordered = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), text_of().alias("text"))
-        .repartitionByRange(parts, "doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
     manifest = materialise(ordered.mapInArrow(write, MANIFEST), "manifest")
     before = F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # a row per file
@@ -123,7 +125,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 ends = offsets.tolist()
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids), pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
+                    [pa.array(doc_ids.data, mask=doc_ids.mask), pa.array(offsets[:-1] + row["base"]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearlake.llm.common import text_of
+from nearlake.functions.sampling import in_sample
+from nearlake.llm.common import text_of, under_plain_names
 
 BUCKETS = 1 << 20
 #: Bound of the sample of labelled rows that the machine is fitted on.
 MAX_ROWS = 8_000
-#: Bound of the terms that get weights: those most associated with the labels of the sample.
-MAX_TERMS = 4_096
 RANK = 8
 #: A text is rejected from this score on.
 THRESHOLD = 0.3
@@ -84,8 +83,8 @@ class Machine:
         return score
 
 
-def select_terms(rows: list[np.ndarray], labels: np.ndarray, max_terms: int) -> np.ndarray:
-    """The terms with the largest chi-square against the labels, if beyond chance."""
+def select_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The terms whose chi-square against the labels is beyond chance: all of them, at most BUCKETS."""
     n, positive = len(rows), int(labels.sum())
     total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row, label in zip(rows, labels):  # a row's terms are distinct
@@ -95,18 +94,17 @@ def select_terms(rows: list[np.ndarray], labels: np.ndarray, max_terms: int) ->
     expected = total * positive / n
     variance = expected * (1 - positive / n) * (n - total) / max(n - 1, 1)
     chi = (hits - expected) ** 2 / np.maximum(variance, 1e-9)
-    fair = np.flatnonzero((chi > 10.8) & (total >= min(3, max(1, positive // 4))) & (total < n))
-    return np.sort(fair[np.argsort(-chi[fair], kind="stable")[:max_terms]])
+    return np.flatnonzero((chi > 10.8) & (total >= min(3, max(1, positive // 4))) & (total < n))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, max_terms: int = MAX_TERMS, rank: int = RANK, epochs: int = 60, rate: float = 0.1, decay: float = 1e-5) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int = 60, rate: float = 0.1, decay: float = 1e-5) -> Machine:
     """Fit a factorization machine with the logistic loss by AdaGrad over mini-batches."""
     n, positive = len(rows), float(labels.sum()) if len(rows) else 0.0
     base = math.log((positive + 0.5) / (n - positive + 0.5)) if n else math.log(0.05)
     none = Machine(base, np.empty(0, np.int64), np.empty(0), np.empty((0, rank)))
     if not n or positive in (0, n):
         return none
-    chosen = select_terms(rows, labels, max_terms)
+    chosen = select_terms(rows, labels)
     if not len(chosen):
         return none
     place = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
@@ -150,12 +148,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
     """Fit on a sample of at most about ``max_rows`` labelled rows that are not held out.
 
     A label without a document, or a null label, doesn't count; of repeated labels the largest
-    holds. The sample takes the rows whose hash is below a fraction of its range. Only hashed
-    terms of its rows come to the driver.
+    holds. The sample takes the rows whose hash is below a fraction of its range, however small
+    that fraction is. Only hashed terms of its rows come to the driver.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").cast("double").alias("y"))
     share = min(1.0, max_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = known.where(in_sample(share, "of"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """Adds score, a double in [0, 1], to each row from its text alone; null and empty texts get the base rate's."""
-    held = docs.sparkSession.sparkContext.broadcast(machine)  # at most MAX_TERMS * (RANK + 2) numbers
+    held = docs.sparkSession.sparkContext.broadcast(machine)  # at most BUCKETS * (RANK + 2) numbers, as many as the sample has telling terms
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +199,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those whose score reaches the threshold; columns stay as they are."""
     machine = train(docs, labels)
-    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
-    back = {v: k for k, v in names.items()}
-    held = docs.withColumnsRenamed(names).withColumn("text", F.col(names["text"]))
-    return score(held, machine).where(F.col("score") < threshold).drop("score", "text").withColumnsRenamed(back)
+    held, names = under_plain_names(docs)  # whatever the columns are called
+    kept = score(held.withColumn("text", F.col(names["text"])), machine).where(F.col("score") < threshold)
+    return kept.select(*(F.col(plain).alias(c) for c, plain in names.items()))
