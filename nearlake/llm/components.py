@@ -9,7 +9,7 @@ from nearlake.llm.common import materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b), both longs; component is its least node.
+    """(node, component) for every node of the edges (a, b), of any type with an order; component is its least node.
 
     In each round every node points to the least of itself and its neighbours in a random order
     (a hash with a new seed each round), and the edges are moved to the nodes pointed to. Chains
@@ -31,9 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = pairs.join(ends["a"], "a").join(ends["b"], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
         pairs = materialise(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         n = pairs.count()
-    spark = edges.sparkSession
     if not steps:
-        return spark.createDataFrame([], "node long, component long")
+        return edges.limit(0).select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = steps[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
     for to in steps[1:]:
         found = found.join(to.select(F.col("a").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))

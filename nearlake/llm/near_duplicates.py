@@ -9,9 +9,8 @@
 3. Within a group, pairs whose minima agree well below the threshold are ruled out, and a
    spanning forest of the rest goes on. The connected components of these edges are small
    neighbourhoods that hold every pair worth verifying.
-4. The shingle sets are computed again for classes in such neighbourhoods alone, which a filter
-   of fixed size picks from all documents, shuffled on the neighbourhood (in pairs of blocks
-   where it is large), and all pairs in it are
+4. The shingle sets are computed again for one document of each class in such neighbourhoods,
+   shuffled on the neighbourhood (in pairs of blocks where it is large), and all pairs in it are
    compared exactly. Links are counted there, so a group of n near copies costs its comparisons
    but never emits n * n rows.
 5. Components over forests of verified links are the classes of near-duplicates.
@@ -27,25 +26,25 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearlake.llm.common import WORD, materialise, text_of
+from nearlake.llm.common import WORD, materialise, partitions, row_hash, text_of, under_plain_names
 from nearlake.llm.components import connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 128
-#: Classes in one group of a shuffle: larger buckets and neighbourhoods are cut into blocks.
-BLOCK = 512
+#: Classes in one group of a shuffle: larger buckets and neighbourhoods are cut into blocks. A row is copied once for each
+#: block of its group, so blocks are as large as a task bears: minima are short, sets count by their bytes, too.
+BLOCK, SET_BLOCK, SET_BYTES = 2048, 1024, 4 << 20
 #: Standard deviations by which an estimate from the minima may fall below the threshold.
 SLACK = 4.5
 
-#: Size of the filter that keeps other documents out of the second shuffle: 2 MB. It is exact in
-#: what it keeps; when neighbourhoods hold so many documents that it fills up, it just keeps out less.
-FILTER_BITS = 1 << 24
+#: Bits for each document that the filter lets through to the second shuffle, and its largest size, 16 MB. Beyond that
+#: a join picks the documents, so neither a broadcast nor the shuffle grows with what isn't needed.
+BITS_PER_PLACE, MAX_FILTER_BITS = 32, 1 << 27
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _words = re.compile(WORD).findall
@@ -95,12 +94,15 @@ def minima(h: np.ndarray, n_hashes: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = 0, rows: int = 0) -> DataFrame:
-    """doc_id, a 128-bit key of the shingle set (null without shingles), its size, band hashes and one byte per minimum."""
+    """row, doc_id, a 128-bit key of the shingle set (null without shingles), its size, band hashes and one byte per minimum.
+
+    ``docs`` has columns row, doc_id and text.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, band_hashes, marks = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 h = shingles(text.as_py(), words)
                 sizes.append(len(h))
                 if not len(h):
@@ -112,20 +114,20 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = 0, rows: int =
                 band_hashes.append([xxhash.xxh3_64_intdigest(data[4 * rows * b : 4 * rows * (b + 1)], b) - (1 << 63) for b in range(bands)])
                 marks.append((least & 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(band_hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                ["doc_id", "key", "n_shingles", "bands", "marks"],
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(band_hashes, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                ["row", "doc_id", "key", "n_shingles", "bands", "marks"],
             )
 
-    schema = "doc_id long, key binary, n_shingles long, bands array<long>, marks binary"
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(sign, schema)
+    schema = "row long, doc_id long, key binary, n_shingles long, bands array<long>, marks binary"
+    return docs.select("row", F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(sign, schema)
 
 
-def in_block_pairs(rows: DataFrame, size: str, member: str, block: int) -> DataFrame:
+def in_block_pairs(rows: DataFrame, blocks: Column, member: str) -> DataFrame:
     """Copies of the rows such that any two of a group meet exactly once: columns lo and hi name a pair of blocks.
 
-    ``size`` is the number of rows in the group. A group of up to ``block`` rows is one block.
+    ``blocks`` is the number of blocks of the row's group.
     """
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    n = blocks.cast("int")
     mine = F.pmod(F.xxhash64(member, F.lit(3)), n).cast("int")
     others = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(mine, o).alias("lo"), F.greatest(mine, o).alias("hi")))
     return rows.withColumn("mine", mine).withColumn("pair", F.explode(others)).select("*", "pair.lo", "pair.hi").drop("pair")
@@ -173,16 +175,16 @@ def candidate_edges(classes: DataFrame, n_hashes: int, threshold: float, block:
     """Edges (a, b) between classes that share a band and whose minima agree nearly as often as the threshold asks."""
     spark = classes.sparkSession
     least_agree = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / n_hashes)
-    banded = classes.select("rep", "n_shingles", F.explode("bands").alias("hash"))  # a hash tells its band, too
+    banded = classes.select("key", "n_shingles", F.explode("bands").alias("hash"))  # a hash tells its band, too
     sizes = banded.groupBy("hash").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     met = materialise(banded.join(sizes, "hash"), "buckets")  # narrow: no minima yet
-    marks = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "marks")
-    blocks = in_block_pairs(met.join(marks, "rep"), "in_bucket", "rep", block)
+    marks = classes.join(met.select("key").distinct(), "key", "left_semi").select("key", "marks")
+    blocks = in_block_pairs(met.join(marks, "key"), F.ceil(F.col("in_bucket") / block), "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
             rows, cols, same = _cross(group)
-            marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group["rep"]), -1)
+            marks = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(len(group["key"]), -1)
             size = np.array(group["n_shingles"], float)
             label = np.arange(len(size))
             a, b = [], []
@@ -197,13 +199,13 @@ def candidate_edges(classes: DataFrame, n_hashes: int, threshold: float, block:
                     a += [i] * len(kept)
                     b += kept
             if a:
-                rep = np.array(group["rep"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+                keys = group["key"]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in a], pa.binary()), pa.array([keys[i] for i in b], pa.binary())], ["a", "b"])
 
     keys = ["hash", "lo", "hi"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.select(*keys, "mine", "rep", "n_shingles", "marks").repartition(parts, *keys).sortWithinPartitions(*keys, "rep")
-    return dealt.mapInArrow(compare, "a long, b long")
+    parts = partitions(spark, met.count(), 100_000)
+    dealt = blocks.select(*keys, "mine", "key", "n_shingles", "marks").repartition(parts, *keys).sortWithinPartitions(*keys, "key")
+    return dealt.mapInArrow(compare, "a binary, b binary")
 
 
 def count_shared(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -227,46 +229,52 @@ def count_shared(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) ->
     return out
 
 
-def _filter_of(places: DataFrame) -> np.ndarray:
-    """Bits at the given places: FILTER_BITS of them, however many places there are."""
+def _filter_of(places: DataFrame, bits: int) -> np.ndarray:
+    """Bits at the given places."""
     bit = F.expr("shiftleft(1L, cast(place % 64 AS int))")
     words = places.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def verified_links(docs: DataFrame, near: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
-    """Exact comparison in neighbourhoods ``near`` (rep, n_copies, component).
+    """Exact comparison in neighbourhoods ``near`` (key, row, n_copies, n_shingles, component).
 
-    Rows (a, b, links): ``links`` documents of other classes are linked with class a as counted
-    in one group; b is a class linked with a, or null where the row only counts.
+    ``row`` is that of one document with the shingle set. Rows (a, b, links): ``links`` documents
+    of other classes are linked with class a as counted in one group; b is a class linked with a,
+    or null where the row only counts.
     """
     spark = docs.sparkSession
-    sizes = near.groupBy("component").agg(F.count("*").alias("in_component"))
+    n_blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("n_shingles") / SET_BYTES))
+    sizes = near.groupBy("component").agg(F.count("*").alias("in_component"), n_blocks.alias("blocks"))
+    n_near, n_dealt = sizes.agg(F.coalesce(F.sum("in_component"), F.lit(0)), F.coalesce(F.sum(F.col("in_component") * F.col("blocks")), F.lit(0))).first()
     members = near.join(sizes, "component")
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    held = spark.sparkContext.broadcast(_filter_of(near.select(place.alias("place"))))
+    bits = 1 << max(16, (BITS_PER_PLACE * n_near - 1).bit_length() if n_near else 16)
+    texts = docs.select("row", text_of().alias("text"))
+    held = None
+    if bits <= MAX_FILTER_BITS:
+        place = F.pmod(F.xxhash64("row"), F.lit(bits))
+        held = spark.sparkContext.broadcast(_filter_of(near.select(place.alias("place")), bits))
+        texts = texts.select("*", place.alias("place"))
+    else:
+        texts = texts.hint("merge").join(near.select("row"), "row", "left_semi").select("*", F.lit(0).cast("long").alias("place"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array(held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1))
-            sets = [shingles(t.as_py(), words).tobytes() for t in some.column(1)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["rep", "own_key", "shingles"])
+            if held is not None:
+                at = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1))
+            sets = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).where("rep is not null").select("rep", "text", place)
-    found = texts.mapInArrow(to_sets, "rep long, own_key binary, shingles binary")
-    # One document stands for its class; an id that repeats with other texts is told apart by its key.
-    sets = found.hint("merge").join(members, "rep").where("own_key = key").drop("own_key", "key")
-    blocks = in_block_pairs(sets, "in_component", "rep", block)
+    found = texts.mapInArrow(to_sets, "row long, shingles binary")
+    sets = found.hint("merge").join(members, "row")
+    blocks = in_block_pairs(sets, F.col("blocks"), "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
-            rep = np.array(group["rep"], np.int64)
-            _, once = np.unique(rep, return_index=True)  # a repeated row of a representative counts once
-            group = {k: [v[i] for i in once.tolist()] for k, v in group.items()}
-            rep = rep[once]
+            keys = group["key"]
             rows, cols, same = _cross(group)
             if not len(rows) or not len(cols):
                 continue
@@ -277,77 +285,96 @@ def verified_links(docs: DataFrame, near: DataFrame, words: int, threshold: floa
             if same:
                 np.fill_diagonal(linked, False)
             copies = np.array(group["n_copies"], np.int64)
-            count = np.zeros(len(rep), np.int64)
+            count = np.zeros(len(keys), np.int64)
             count[rows] += linked @ copies[cols]
             if not same:
                 count[cols] += linked.T @ copies[rows]
-            label = np.arange(len(rep))
+            label = np.arange(len(keys))
             joined = [(i, j) for at, i in enumerate(rows.tolist()) for j in _join(label, i, cols[linked[at]])]
             some = np.flatnonzero(count)
-            a = rep[[i for i, _ in joined]].tolist() if joined else []
-            b = rep[[j for _, j in joined]].tolist() if joined else []
+            a, b = [keys[i] for i, _ in joined], [keys[j] for _, j in joined]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a + rep[some].tolist(), pa.int64()), pa.array(b + [None] * len(some), pa.int64()), pa.array([0] * len(a) + count[some].tolist(), pa.int64())],
+                [pa.array(a + [keys[i] for i in some.tolist()], pa.binary()), pa.array(b + [None] * len(some), pa.binary()), pa.array([0] * len(a) + count[some].tolist(), pa.int64())],
                 ["a", "b", "links"],
             )
 
     keys = ["component", "lo", "hi"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.select(*keys, "mine", "rep", "n_copies", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys, "rep")
-    return dealt.mapInArrow(verify, "a long, b long, links long")
-
+    parts = partitions(spark, n_dealt, 5_000)
+    dealt = blocks.select(*keys, "mine", "key", "n_copies", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys, "key")
+    return dealt.mapInArrow(verify, "a binary, b binary, links long")
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: its class of near-duplicates and its links.
 
-    ``class_id`` is the least document id among all that are connected by links, a link being a
-    Jaccard similarity of the shingle sets of at least ``threshold``; ``copy_id`` is the least id
-    with an equal shingle set, ``n_copies`` the number of documents with that set, itself
-    included, and ``n_links`` the number of other documents linked. Null and empty texts have no
-    shingles and no links: each is a class of its own, with n_copies 1. Repeated rows are copies
-    of each other. A row without an id is nobody's representative. An empty table gives no rows.
-    """
+def _classified(docs: DataFrame, words: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """For a stored table (row, doc_id, text), row a number of its own: row, doc_id, key, n_shingles, and of its shingle set
+    ``node`` (the class of near-duplicates), ``copy_id``, ``n_copies`` and ``links``, all null without shingles."""
     bands, rows = plan_bands(threshold, recall)
     signed = materialise(signatures(docs, words, bands, rows), "signatures")
-    has = signed.where("key is not null")
-    one = has.groupBy("key").agg(
+    one = signed.where("key is not null").groupBy("key").agg(
         F.count("*").alias("n_copies"),
-        F.min("doc_id").alias("rep"),
+        F.min("doc_id").alias("copy_id"),
+        F.min("row").alias("row"),
         *(F.first(c).alias(c) for c in ("n_shingles", "bands", "marks")),  # equal for equal sets
     )
     classes = materialise(one, "classes")
-    near = connected_components(candidate_edges(classes, bands * rows, threshold, block))
-    near = near.withColumnRenamed("node", "rep").join(classes.select("rep", "key", "n_copies"), "rep")
-    links = materialise(verified_links(docs, materialise(near, "near"), words, threshold, block), "links")
+    near = connected_components(candidate_edges(classes, bands * rows, threshold, block)).withColumnRenamed("node", "key")
+    near = materialise(near.join(classes.select("key", "row", "n_copies", "n_shingles"), "key"), "near")
+    links = materialise(verified_links(docs, near, words, threshold, min(block, SET_BLOCK)), "links")
     groups = connected_components(links.where("b is not null").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     named = (
-        classes.select("key", "rep", "n_copies")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(counts.withColumnRenamed("a", "rep"), "rep", "left")
-        .select("key", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("links", F.lit(0)).alias("links"))
+        classes.select("key", "copy_id", "n_copies")
+        .join(groups.withColumnRenamed("node", "key"), "key", "left")
+        .join(counts.withColumnRenamed("a", "key"), "key", "left")
+        .select("key", F.coalesce("component", "key").alias("node"), "copy_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links"))
     )
-    return (
-        signed.select("doc_id", "key", "n_shingles")
-        .join(named, "key", "left")
-        .select(
-            "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("copy_id", "doc_id").alias("copy_id"),
-            F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
-            (F.coalesce("links", F.lit(0).cast("long")) + F.coalesce("n_copies", F.lit(1)) - 1).alias("n_links"),
-            "n_shingles",
-        )
+    return signed.select("row", "doc_id", "key", "n_shingles").join(named, "key", "left")
+
+
+def _numbered(docs: DataFrame, *kept: str) -> DataFrame:
+    """Columns doc_id and text and any others, stored with a number for each row."""
+    return materialise(docs.select("*" if not kept else list(kept)).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """One row per document: its class of near-duplicates and its links.
+
+    ``class_id`` is the least document id among all that are connected by links, a link being a
+    Jaccard similarity of the shingle sets of at least ``threshold``; ``copy_id`` is the least id
+    with an equal shingle set, ``n_copies`` the number of documents with that set, itself
+    included, and ``n_links`` the number of other documents linked. Null and empty texts have no
+    shingles and no links: each is a class of its own, with n_copies 1. Repeated rows are copies
+    of each other, and rows with equal ids and other texts are documents of their own. A row
+    without an id counts as any other, but gives no class its name. An empty table gives no rows.
+    """
+    found = _classified(_numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), words, threshold, recall, block)
+    found = materialise(found, "classified")
+    least = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    one = F.lit(1).cast("long")
+    return found.join(least, "node", "left").select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        F.coalesce("n_copies", one).alias("n_copies"),
+        (F.coalesce("links", F.lit(0).cast("long")) + F.coalesce("n_copies", one) - 1).alias("n_links"),
+        "n_shingles",
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but one document of each class of near-duplicates: the one with the least id stays.
+def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each class of near-duplicates: the one with the least id stays.
 
-    Of rows with equal ids one stays. Rows without an id stay. Columns stay as they are.
+    Of equal ids within a class the row with the least hash stays. Rows without an id stay only
+    where their class has no row with one. Of texts without shingles (null, empty), which are in
+    no class, one row of each id stays, and all without an id. Columns of any type stay as they
+    are, whatever they are called.
     """
-    kept = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.hint("merge").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    unique = named.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return unique.unionByName(docs.where(F.col("doc_id").isNull()))
+    held, names = under_plain_names(docs)
+    numbered = _numbered(held.withColumn("hash", row_hash(held)))
+    plain = numbered.select("row", F.col(names["doc_id"]).cast("long").alias("doc_id"), F.col(names["text"]).alias("text"))
+    found = _classified(plain, words, threshold, recall, block).select("row", "doc_id", "node")
+    found = found.join(numbered.select("row", "hash"), "row")
+    alone = F.when(F.col("doc_id").isNull(), F.col("row").cast("string")).otherwise(F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    group = F.when(F.col("node").isNull(), alone.cast("binary")).otherwise(F.col("node"))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "row")
+    kept = found.groupBy(F.col("node").isNull().alias("wordless"), group.alias("group")).agg(F.min(first)["row"].alias("row"))
+    return numbered.hint("merge").join(kept.select("row"), "row", "left_semi").select(*(F.col(p).alias(c) for c, p in names.items()))
