@@ -52,19 +52,86 @@ _GPL_NOTICE = (
     "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
     "GNU General Public License for more details."
 )
+_LGPL_NOTICE = (
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation; either version {} of the License, or (at your option) any later version. This library is distributed in the hope "
+    "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See "
+    "the GNU Lesser General Public License for more details."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+    "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software. 3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+    'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative '
+    "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices "
+    "in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in "
+    "all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in "
+    "the form of machine-executable object code generated by a source language processor."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
 _CC = "This work is licensed under a Creative Commons {} 4.0 International License."
-TEMPLATES = (
+_CC_KINDS = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+#: Identifiers for which an SPDX line stands, and older forms of them.
+_IDS = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 "
+    "CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 "
+    "GPL-1.0-only GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later "
+    "MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OpenSSL OSL-3.0 PostgreSQL Python-2.0 Unlicense UPL-1.0 WTFPL X11 Zlib ZPL-2.1"
+).split()
+_OLD_IDS = {i.removesuffix("-only"): i for i in _IDS if i.endswith("-only")}
+#: Names by which notices call a license.
+_NAMES = (
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "Apache 2.0 License"),
+    ("GPL-2.0-only", "GNU General Public License, version 2"),
+    ("GPL-3.0-only", "GNU General Public License, version 3"),
+    ("GPL-2.0-only", "GNU General Public License v2.0"),
+    ("GPL-3.0-only", "GNU General Public License v3.0"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0-only", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0-only", "GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("EPL-2.0", "Eclipse Public License 2.0"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("Zlib", "zlib License"),
+)
+_SHORT = (("MIT", "MIT"), ("Apache-2.0", "Apache 2.0"), ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("GPL-2.0-only", "GPLv2"), ("GPL-3.0-only", "GPLv3"), ("MPL-2.0", "MPL 2.0"), ("ISC", "ISC"))
+_TITLES = (
+    ("GPL-2.0-only", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0-only", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0-only", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0-only", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+)
+_TEXTS = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY_MIT),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD-2-Clause", _BSD_TOP + _BSD_END),
     ("BSD-3-Clause", _BSD_TOP + _BSD_THIRD + _BSD_END),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-2.0-or-later", _GPL_NOTICE.format(2)),
     ("GPL-3.0-or-later", _GPL_NOTICE.format(3)),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
@@ -72,28 +139,42 @@ TEMPLATES = (
     ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("LGPL-2.1-or-later", _LGPL_NOTICE.format("2.1")),
+    ("LGPL-3.0-or-later", _LGPL_NOTICE.format("3")),
+    ("AGPL-3.0-or-later", _GPL_NOTICE.replace("General", "Affero General").format(3)),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Unlicense", _UNLICENSE),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", _CC.format("Attribution")),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike")),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial")),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
+TEMPLATES = (
+    *_TEXTS,
+    *_TITLES,
+    *((f"CC-{k}-4.0", _CC.format(name)) for k, name in _CC_KINDS),
+    *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k, _ in _CC_KINDS),
+    *((i, f"{verb} under the {name}.") for verb in ("Licensed", "Released") for i, name in _NAMES),
+    *_NAMES,
+    *((i, f"License: {name}") for i, name in _SHORT),
+    *((i, f"SPDX-License-Identifier: {i}") for i in _IDS),
+    *((i, f"SPDX-License-Identifier: {old}") for old, i in _OLD_IDS.items()),
+)
 
 TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "public domain", "spdx", "hereby granted", "creative commons")
 TRIGGER = re.compile("|".join(TRIGGERS), re.I)
 WORD = re.compile(r"\w+(?:[.+-]\w+)*")
 #: Words that tell one license from another: a difference in them is never small.
-TELLING = re.compile(r"\d|^(?:mit|isc|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|cc|cc0|by|sa|nc|nd|by-sa|by-nc|by-nc-sa|by-nd|not|non|never|except|without|attribution\S*|sharealike|noncommercial)$")
+TELLING = re.compile(r"\d|^(?:mit|isc|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|cc|cc0|by|sa|nc|nd|by-sa|by-nc|by-nc-sa|by-nd|mit-0|nc-sa|nc-nd|by-nc-nd|not|non|never|except|without|attribution\S*|sharealike|noncommercial)$")
 #: Words around a trigger that belong to its stretch: few at first, more where that explains nothing.
 AROUND = (40, 160)
 #: Words around each trigger that are looked at alone where a longer stretch explains nothing.
 NARROW = 20
 #: The longest stretch looked at at once, and the words that two looks share.
 LONGEST, OVERLAP = 1200, 400
-#: Bytes that a template must save to be compared word by word.
+#: Bytes that a template must save to be compared word by word: a third of its own where it is very short.
 LEAST_SAVED = 6
 DIFFERENT = 0.1
 
@@ -167,9 +248,11 @@ def _search(words: list[str], places: list[tuple[int, int]], out: list[Finding])
         return
     best = None
     for saved, reduction, i in reductions(words):
-        if saved < LEAST_SAVED:
+        if saved <= 0:
             break
         name, template, _ = _prepared()[i]
+        if saved < min(LEAST_SAVED, sum(map(len, template)) // 3):
+            continue
         found = wording(template, words)
         if found and _confirmed(template, *found[2:]):
             # of confirmed templates the one that explains most, then with the fewest differences

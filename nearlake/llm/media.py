@@ -207,7 +207,14 @@ def _lookup(lengths: bytes, values: bytes) -> np.ndarray:
 
 @lru_cache(256)
 def read_tables(head: bytes) -> Tables:
-    """Tables of a frame from its bytes before the scan."""
+    """Tables of a frame from its bytes before the scan; what isn't a baseline frame is refused."""
+    try:
+        return _tables(head)
+    except (IndexError, KeyError) as e:
+        raise ValueError("a frame without its tables, or with broken ones") from e
+
+
+def _tables(head: bytes) -> Tables:
     at, quant, huffman, restart, size, order = 2, {}, {}, 0, None, None
     while at + 4 <= len(head):
         marker, data = head[at + 1], head[at + 4 : at + 2 + int.from_bytes(head[at + 2 : at + 4], "big")]
@@ -235,10 +242,7 @@ def read_tables(head: bytes) -> Tables:
         elif marker == 0xDA:
             if order is None or data[0] != len(order):
                 raise ValueError("a scan that doesn't hold all components")
-            try:
-                parts = tuple(Component(*order[data[k]][:2], quant[order[data[k]][2]], huffman[data[k + 1] >> 4], huffman[16 | data[k + 1] & 15]) for k in range(1, 1 + 2 * data[0], 2))
-            except KeyError as e:
-                raise ValueError("a frame without its tables") from e
+            parts = tuple(Component(*order[data[k]][:2], quant[order[data[k]][2]], huffman[data[k + 1] >> 4], huffman[16 | data[k + 1] & 15]) for k in range(1, 1 + 2 * data[0], 2))
             return Tables(size[1], size[0], restart, parts)
     raise ValueError("a frame without a scan")
 
@@ -415,10 +419,10 @@ def clips_of_all(files: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, i
         found.append((places + [at, 0], rate))
         at += len(file)
     runs = decode_runs(data, np.concatenate([np.empty((0, 2), np.int64), *(p for p, _ in found)]))
-    rows = [row for run in runs for row in run]
+    rows = np.concatenate(runs) if len({r.shape[1] for r in runs}) == 1 else [row for run in runs for row in run]
     out, first = [], 0
     for places, rate in found:
-        frames = np.array(rows[first : first + len(places)], np.uint8)
+        frames = np.asarray(rows[first : first + len(places)], np.uint8)
         first += len(places)
         starts = shot_starts(histogram_differences(frames)) if len(frames) else []
         ends = [*starts[1:], len(frames)]

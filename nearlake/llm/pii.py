@@ -222,9 +222,9 @@ def with_votes(text: Column, spans: Column) -> Column:
         )
         strict = F.when(s["loose"] == 0, 1).otherwise(_by_kind(kind, {"secret": F.lit(1), "email": F.lit(1)}, F.lit(0)))
         context = _vote(_by_kind(kind, {k: before.rlike(v) for k, v in NEARBY.items()}, F.lit(False)), before.rlike(ELSEWHERE))
-        neighbours = _vote(around.rlike(r"^[\s(\x22'<:,;]? [\s)\x22'>.,;:!?]?$"), around.rlike(r"^[A-Za-z0-9_/]|[A-Za-z0-9_/]$"))
+        neighbours = _vote(near.rlike(r"[:=(<\x22']\s?$"), around.rlike(r"^[A-Za-z0-9_/]|[A-Za-z0-9_/]$"))
         kinds_of_chars = F.size(F.array_distinct(F.split(value, "")))
-        variety = _vote(kinds_of_chars >= 6, kinds_of_chars <= 3)
+        variety = _vote(F.lit(False), kinds_of_chars <= 3)
         votes = dict(zip(LABELERS, (strict, gazetteer, context, neighbours, variety)))
         length = F.length(value)
         traits = {
@@ -270,19 +270,22 @@ def vote_patterns(found: DataFrame) -> DataFrame:
     return found.select(F.inline(F.concat("base", "added"))).groupBy("kind", *LABELERS, *TRAITS).count()
 
 
-#: What labelers are taken to do before any span is seen: chances of a vote against, none, and one for it.
-FAIR, FALSE = (0.1, 0.2, 0.7), (0.5, 0.3, 0.2)
+#: What labelers that vote are taken to do before any span is seen: chances of a vote against and one for it.
+FAIR, FALSE = (0.125, 0.875), (0.7, 0.3)
 
 
 def train(patterns: list[tuple], rounds: int = 40, steps: int = 400, rate: float = 0.5) -> Model:
-    """Expectation-maximisation over rows (kind, votes, traits, count), then a logistic classifier on the posteriors."""
+    """Expectation-maximisation over rows (kind, votes, traits, count), then a logistic classifier on the posteriors.
+
+    An abstention is no evidence: whether a labeler has a say at all depends on the kind.
+    """
     rows = np.array(sorted(patterns), np.int64).reshape(len(patterns), 2 + len(LABELERS) + len(TRAITS))
     kind, votes, traits, n = rows[:, 0], rows[:, 1 : 1 + len(LABELERS)] + 1, rows[:, 1 + len(LABELERS) : -1], rows[:, -1].astype(float)
     given = {y: np.tile(p, (len(LABELERS), 1)) for y, p in ((1, FAIR), (0, FALSE))}
     prior = np.full(len(KINDS), 0.7)
 
     def posterior() -> np.ndarray:
-        each = np.log(given[1] / given[0])
+        each = np.insert(np.log(given[1] / given[0]), 1, 0, axis=1)
         odds = np.log(prior / (1 - prior))[kind] + sum((each[j][votes[:, j]] for j in range(len(LABELERS))), np.zeros(len(rows)))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
@@ -291,7 +294,7 @@ def train(patterns: list[tuple], rounds: int = 40, steps: int = 400, rate: float
         # pseudo-counts keep every probability inside (0, 1) and the sides as they started
         prior = (np.bincount(kind, n * p, len(KINDS)) + 2.8) / (np.bincount(kind, n, len(KINDS)) + 4)
         for y, share, start in ((1, n * p, FAIR), (0, n * (1 - p), FALSE)):
-            counts = np.array([np.bincount(votes[:, j], share, 3) + 4 * np.array(start) for j in range(len(LABELERS))])
+            counts = np.array([np.bincount(votes[:, j], share, 3)[[0, 2]] + 4 * np.array(start) for j in range(len(LABELERS))])
             given[y] = counts / counts.sum(axis=1, keepdims=True)
     p = posterior()
 
@@ -302,7 +305,7 @@ def train(patterns: list[tuple], rounds: int = 40, steps: int = 400, rate: float
         z = sum(w[v] for w, v in zip(weights, values))
         wrong = n / n.sum() * (p - 1 / (1 + np.exp(-np.clip(z, -30, 30))))
         weights = [w + rate * (np.bincount(v, wrong, len(w)) - 1e-4 * w) for w, v in zip(weights, values)]
-    right = {name: float(prior[0] * given[1][j][2] + (1 - prior[0]) * given[0][j][0]) for j, name in enumerate(LABELERS)}
+    right = {name: float(prior[0] * given[1][j][1] + (1 - prior[0]) * given[0][j][0]) for j, name in enumerate(LABELERS)}
     kinds, *rest = (tuple(w.tolist()) for w in weights)
     return Model(kinds, dict(zip((*LABELERS, *TRAITS), rest)), right)
 

@@ -71,3 +71,24 @@ def test_edges(edges, empty):
     out = mix_documents(unique)
     assert out.columns == unique.columns
     assert out.groupBy("doc_id").count().where("count > 2").count() == 0
+
+
+def test_rows_with_equal_ids_are_documents_of_their_own(spark):
+    rows = [(i // 3, prose(i, 30), "abc"[i % 3], i, i, {"k": i}) for i in range(60)] + [(None, prose(99, 20), "a", 1, 2, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `__position` int, row int, `__of` map<string,int>")
+    out = mix_documents(docs)
+    assert out.columns == docs.columns
+    times = defaultdict(int)
+    for r in out.collect():
+        times[r.text] += 1
+    assert set(times) <= {r[1] for r in rows} and max(times.values()) <= 2 and sum(times.values()) >= 1.4 * 61
+
+
+def test_many_sources(spark):
+    rows = [(i, prose(i, 3 + i % 11), f"host-{i % 301:03d}") for i in range(1500)]
+    by_source = defaultdict(int)
+    for _, text, source in rows:
+        by_source[source] += len(re.findall(WORD, text))
+    want = targets_by_rounds(by_source)
+    got = {r.source: r.target for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {s: pytest.approx(t) for s, t in want.items()}

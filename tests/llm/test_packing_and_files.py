@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -88,3 +89,38 @@ def test_token_files(spark, edges, empty):
         at += r.n_tokens
     assert {r.width for r in manifest.collect()} == {2}
     assert read_token_files(write_token_files(empty, WORDS, 1)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    rows = [(-1, "b"), (None, "a"), (None, "c"), (0, "d")]
+    manifest = write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 1)
+    got = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -1, 0]
+
+
+def test_places_by_looking_at_every_bin():
+    """The bitset finds the bin that going through all open bins finds."""
+    r = random.Random(5)
+    bins, free, limit = OpenBins(64, 5), {}, 5
+    n = 0
+    for _ in range(3000):
+        length = min(64, max(1, int(r.expovariate(1 / 20))))
+        fits = [(space, -b) for b, space in free.items() if space >= length]
+        if fits:
+            least = min(s for s, _ in fits)
+            got, offset = bins.place(length)
+            assert free[got] == least and offset == 64 - least
+            free[got] -= length
+        else:
+            if len(free) == limit:
+                fullest = min(free.values())
+            got, offset = bins.place(length)
+            assert (got, offset) == (n, 0)
+            n += 1
+            if len(free) == limit:
+                still = {b for stack in bins.by_space for b in stack} | {got}
+                (closed,) = set(free) - still
+                assert free.pop(closed) == fullest
+            free[got] = 64 - length
+        if not free[got]:
+            del free[got]
