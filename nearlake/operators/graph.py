@@ -9,14 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.functions.vectors import l2
-from nearlake.operators.knn import knn
+from nearlake.operators.knn import knn_by_matrix
 from nearlake.operators.tables import settled
 
 
 def knn_graph(rows: DataFrame, k: int) -> DataFrame:
     """(src, dst, d): each row's k nearest others. Rows are queries too, block by block."""
     queries = rows.select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    found = knn(rows.select("id", "v"), queries, k, condition=F.col("id") != F.col("qid"))
+    found = knn_by_matrix(rows.select("id", "v"), queries, k, skip_self=True)
     return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "d")
 
 

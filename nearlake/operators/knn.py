@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearlake.functions.vectors import metric
+from nearlake.functions.vectors import doubles, metric
 
 #: Most queries that are broadcast at once; more are joined block by block.
 QUERY_BLOCK = 4_096
@@ -55,8 +55,11 @@ def knn(base: DataFrame, queries: DataFrame, k: int, distance: str = "l2", condi
     """(qid, rank, id, d): the k nearest base rows of each query.
 
     ``condition`` (on base and query columns) holds before the ranking, so k rows come back
-    whenever k fit it.
+    whenever k fit it. Squared distances without a condition come from matrix products, which
+    choose, and are then folded like all others, so they are the same numbers.
     """
+    if distance == "l2" and condition is None:
+        return knn_by_matrix(base, queries, k, block)
     return top_k(scored_pairs(base, queries, distance, condition, block).select("qid", "id", "d"), k).select("qid", "rank", "id", "d")
 
 
@@ -67,34 +70,61 @@ def within(base: DataFrame, queries: DataFrame, radius: Column | float, distance
     return pairs.where(F.col("d") <= r).select("qid", "id", "d")
 
 
-def knn_by_matrix(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed from left to right as in ``functions.vectors``."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        step = a[:, i] - b[:, i]
+        out += step * step
+    return out
+
+
+def knn_by_matrix(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, skip_self: bool = False) -> DataFrame:
     """As ``knn`` with squared distances, by matrix products over Arrow batches.
 
-    Each batch keeps k rows per query, so what is shuffled is batches x queries x k rows whatever
-    the size of the base. Distances may differ from the fold's in the last digits.
+    A batch's product chooses the rows that may be among the k nearest: all up to the k-th
+    distance and a margin for rounding, ties included. Their distances are then folded exactly and
+    each batch keeps k rows per query, so what is shuffled is batches x queries x k rows whatever
+    the size of the base. Rows and queries without a vector are left out. ``skip_self`` leaves out
+    the row with a query's own id.
     """
+    if k < 1:
+        raise ValueError("k must be positive")
     parts = []
     for some in query_blocks(queries, block):
-        rows = some.select("qid", "q").collect()  # at most a block
+        rows = some.select("qid", doubles(F.col("q")).alias("q")).where("q IS NOT NULL").collect()  # at most a block
         ids = np.array([r[0] for r in rows], np.int64)
-        held = base.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64)))
+        held = base.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
 
         def nearest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qids, q = held.value
             norms = (q * q).sum(axis=1)
-            for batch in batches:
-                n = batch.num_rows
-                if not n or not len(qids):
-                    continue
-                column = batch.column(1)
-                v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-                d = np.maximum(0, norms[:, None] - 2 * (q @ v.T) + (v * v).sum(axis=1)[None, :])
-                m = min(k, n)
-                best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qids, m)), pa.array(batch.column(0).to_numpy()[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())],
-                    ["qid", "id", "d"],
-                )
-
-        parts.append(base.select(F.col("id").cast("long"), "v").mapInArrow(nearest, "qid long, id long, d double"))
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(at, 2048)
+                    n = batch.num_rows
+                    if not len(qids):
+                        continue
+                    own = batch.column(0).to_numpy()
+                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                    squares = (v * v).sum(axis=1)
+                    d = norms[:, None] - 2 * (q @ v.T) + squares[None, :]
+                    if skip_self:
+                        d[qids[:, None] == own[None, :]] = np.inf
+                    m = min(k, n)
+                    limit = np.partition(d, m - 1, axis=1)[:, m - 1]
+                    margin = 1e-12 * (1 + norms + (squares.max() if n else 0))
+                    one, other = np.nonzero(d <= (limit + margin)[:, None])
+                    if skip_self:
+                        fair = qids[one] != own[other]
+                        one, other = one[fair], other[fair]
+                    exact = folded(q[one], v[other])
+                    order = np.lexsort((own[other], exact, one))
+                    one, other, exact = one[order], other[order], exact[order]
+                    first = np.searchsorted(one, np.arange(len(qids)))
+                    kept = np.arange(len(one)) - first[one] < k
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[one[kept]]), pa.array(own[other[kept]]), pa.array(exact[kept])], ["qid", "id", "d"])
+
+        rows_with = base.select(F.col("id").cast("long"), doubles(F.col("v")).alias("v")).where("v IS NOT NULL")
+        parts.append(rows_with.mapInArrow(nearest, "qid long, id long, d double"))
     return top_k(reduce(DataFrame.unionByName, parts), k).select("qid", "rank", "id", "d")

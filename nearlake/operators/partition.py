@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearlake.functions.sampling import in_sample
 from nearlake.functions.vectors import doubles, l2
+from nearlake.operators.knn import scored_pairs
 
 #: Centroids are broadcast; there may be at most this many.
 MAX_CENTROIDS = 65_536
@@ -110,6 +111,16 @@ def merge_shards(results: list[DataFrame], k: int, distinct: bool = True) -> Dat
     return ranked.where(F.col("rank") <= k)
 
 
+def search_shards(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, id, d): shards (shard, id, v) that may hold the same row are searched in one scan, and their k best merged.
+
+    A row found in several shards counts once.
+    """
+    pairs = scored_pairs(rows.select("shard", "id", "v"), queries.select("qid", "q"))
+    best = pairs.withColumn("place", F.row_number().over(W.partitionBy("qid", "shard").orderBy("d", "id"))).where(F.col("place") <= k)
+    return merge_shards([best.select("qid", "id", "d")], k)
+
+
 def split_at_middle(rows: DataFrame, value: str) -> DataFrame:
     """Adds left: whether the value is below the middle of its range, the split of a segment tree's node."""
     middle = rows.agg(((F.max(value) + F.min(value)) / 2).alias("__middle"))

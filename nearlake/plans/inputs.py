@@ -13,9 +13,13 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def stated_queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """The query vectors, the first n embeddings, as (qid, q, qlabel)."""
-    return base(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("label").alias("qlabel"))
+#: Queries are the rows whose id this divides, so their number grows with the table.
+EVERY = 20
+
+
+def stated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query vectors, every twentieth embedding, as (qid, q, qlabel)."""
+    return base(spark, sf_dir).where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("label").alias("qlabel"))
 
 
 def centroids(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:

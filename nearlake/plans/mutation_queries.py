@@ -14,22 +14,22 @@ from nearlake.plans.registry import query, table
 from nearlake.sources import text as X
 
 
-@query("insert_rows", "SELECT vec_id AS id FROM embeddings WHERE vec_id BETWEEN 100 AND 199 UNION ALL SELECT vec_id FROM embeddings WHERE vec_id BETWEEN 200 AND 249")
+@query("insert_rows", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 2 = 0")
 def insert_rows(spark, sf_dir):
     rows = base(spark, sf_dir)
-    return U.insert(rows.where("id BETWEEN 100 AND 199"), rows.where("id BETWEEN 150 AND 249 OR id = 0"))[0].select("id")
+    return U.insert(rows.where("id % 3 = 0"), rows.where("id % 2 = 0"))[0].select("id")
 
 
-@query("refused_inserts", "SELECT vec_id AS id FROM embeddings WHERE vec_id BETWEEN 150 AND 199 OR vec_id = 0")
+@query("refused_inserts", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 6 = 0")
 def refused_inserts(spark, sf_dir):
     rows = base(spark, sf_dir)
-    return U.insert(rows.where("id BETWEEN 100 AND 199"), rows.where("id BETWEEN 150 AND 249 OR id = 0"))[1].select("id")
+    return U.insert(rows.where("id % 3 = 0"), rows.where("id % 2 = 0"))[1].select("id")
 
 
 @query("failed_deletes", "SELECT vec_id + 1000000 AS id FROM embeddings WHERE vec_id < 5 UNION ALL SELECT vec_id FROM embeddings WHERE vec_id BETWEEN 10 AND 12")
 def failed_deletes(spark, sf_dir):
     rows = base(spark, sf_dir)
-    wanted = rows.where("id < 5").select((F.col("id") + 1000000).alias("id")).unionByName(rows.where("id BETWEEN 10 AND 30").select("id"))
+    wanted = rows.where("id % 20 = 0").select((F.col("id") + 1000000).alias("id")).unionByName(rows.where("id BETWEEN 10 AND 30").select("id"))
     return U.lazy_delete(rows, rows.where("id BETWEEN 10 AND 12").select("id"), wanted)[1]
 
 
@@ -55,21 +55,20 @@ def compacted_ids(spark, sf_dir):
     return U.compact(base(spark, sf_dir).where("id % 3 <> 0").select("id"))
 
 
-@query("merged_tables", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id < 300 UNION ALL SELECT vec_id + 300, label FROM embeddings WHERE vec_id < 50")
+@query("merged_tables", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings WHERE vec_id % 3 <> 0), label FROM embeddings WHERE vec_id % 3 = 0")
 def merged_tables(spark, sf_dir):
     rows = base(spark, sf_dir).select("id", "label")
-    return U.merge_tables(rows.where("id < 300"), rows.where("id < 50"))
+    return U.merge_tables(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"))
 
 
-@query("sliding_window_active", "SELECT step, count(*) AS n, min(vec_id + 1) AS oldest, max(vec_id + 1) AS newest FROM range(0, 10) s(step), embeddings WHERE vec_id < step * 50 + 50 AND vec_id >= CASE WHEN step * 50 >= 200 THEN step * 50 - 150 ELSE 0 END AND vec_id < 500 GROUP BY step")
+@query("sliding_window_active", "SELECT step, count(*) AS n, min(vec_id + 1) AS oldest, max(vec_id + 1) AS newest FROM range(0, (SELECT count(*) // 50 FROM embeddings)) s(step), embeddings WHERE vec_id < step * 50 + 50 AND vec_id >= CASE WHEN step * 50 >= 200 THEN step * 50 - 150 ELSE 0 END GROUP BY step")
 def sliding_window_active(spark, sf_dir):
-    """Active tags after each chunk of 50 with a window of 150; a tag is a place plus one."""
-    rows = base(spark, sf_dir).where("id < 500")
-    out = None
-    for step, (start, *_) in enumerate(U.window_bounds(500, 150, 50)):
-        now = rows.where(U.alive_after(F.col("id"), start, 150, 50)).agg(F.lit(step).alias("step"), F.count("*").alias("n"), F.min(F.col("id") + 1).alias("oldest"), F.max(F.col("id") + 1).alias("newest"))
-        out = now if out is None else out.unionByName(now)
-    return out
+    """Active tags after each chunk of 50 with a window of 150, over all arrivals; a tag is a place plus one."""
+    from nearlake.streaming.updates import slide
+
+    arrivals = base(spark, sf_dir).select("id", F.col("id").alias("seq"))
+    alive = slide(arrivals, 150, 50).where(F.col("step") < arrivals.count() // 50)
+    return alive.groupBy("step").agg(F.count("*").alias("n"), F.min(F.col("id") + 1).alias("oldest"), F.max(F.col("id") + 1).alias("newest"))
 
 
 @query("search_in_window", f"SELECT qid, rank, id, d FROM ({S.top(S.SCORED + ' WHERE id >= 300 AND id < 450', 10)})")
@@ -77,9 +76,15 @@ def search_in_window(spark, sf_dir):
     return knn(base(spark, sf_dir).where(U.alive_after(F.col("id"), 400, 100, 50)), stated_queries(spark, sf_dir), 10)
 
 
-@query("union_of_label_graphs", "SELECT DISTINCT src, dst FROM (SELECT vec_id AS src, vec_id + 1 AS dst FROM embeddings WHERE label < 6 UNION ALL SELECT vec_id, vec_id + 1 FROM embeddings WHERE label > 3)")
+_LABEL_GRAPH = f"SELECT src, dst FROM (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S.l2('b.embedding', 'a.embedding')}, b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.{{0}} AND b.{{0}}) WHERE n <= 3"
+
+
+@query("union_of_label_graphs", f"{_LABEL_GRAPH.format('label < 6')} UNION {_LABEL_GRAPH.format('label > 3')}")
 def union_of_label_graphs(spark, sf_dir):
-    edges = lambda where: base(spark, sf_dir).where(where).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    """Graphs of two overlapping label groups, each edge once."""
+    from nearlake.operators.graph import knn_graph
+
+    edges = lambda where: knn_graph(base(spark, sf_dir).where(where), 3).select("src", "dst")
     return edges("label < 6").unionByName(edges("label > 3")).distinct()
 
 
@@ -95,12 +100,12 @@ def result_difference(spark, sf_dir):
     return knn(rows, queries, 10).select("qid", "id").exceptAll(knn(rows, queries, 5).select("qid", "id"))
 
 
-@query("id_recovery", "WITH f AS (SELECT embedding, min(vec_id) AS first FROM embeddings GROUP BY embedding) SELECT e.vec_id AS id, f.first FROM embeddings e JOIN f ON e.embedding = f.embedding WHERE e.vec_id % 3 = 0")
+@query("id_recovery", "WITH f AS (SELECT embedding, min(vec_id) AS first FROM embeddings GROUP BY embedding) SELECT e.vec_id AS id, f.first FROM embeddings e JOIN f ON e.embedding = f.embedding")
 def id_recovery(spark, sf_dir):
     """The first row of the base with the same vector."""
     rows = base(spark, sf_dir)
     first = rows.groupBy("v").agg(F.min("id").alias("first"))
-    return rows.where("id % 3 = 0").join(first, "v").select("id", "first")
+    return rows.join(first, "v").select("id", "first")
 
 
 @query("first_rows", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id < 100")
@@ -122,10 +127,10 @@ def memory_cache_by_id(spark, sf_dir):
     return rows.where(F.col("id") < rows.count() * 0.2)
 
 
-@query("common_filter_points", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 10 AND b.vec_id < 60")
+@query("common_filter_points", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0")
 def common_filter_points(spark, sf_dir):
     labelled = base(spark, sf_dir).select("id", F.array("label").alias("labels"))
-    few, some = labelled.where("id < 10").select(F.col("id").alias("a"), F.col("labels").alias("la")), labelled.where("id < 60").select(F.col("id").alias("b"), F.col("labels").alias("lb"))
+    few, some = labelled.where("id % 20 = 0").select(F.col("id").alias("a"), F.col("labels").alias("la")), labelled.select(F.col("id").alias("b"), F.col("labels").alias("lb"))
     return some.join(F.broadcast(few), F.arrays_overlap("la", "lb") & (F.col("a") < F.col("b"))).select("a", "b")
 
 

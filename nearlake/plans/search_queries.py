@@ -16,7 +16,7 @@ _ROWS = "qid, rank, id, d"
 
 
 def _top(where: str, k: int = 10, d: str | None = None) -> str:
-    scored = f"SELECT qid, id, {d or S.l2('v', 'q')} AS d FROM {S.BASE}, (SELECT vec_id AS qid, embedding AS q, label AS qlabel FROM embeddings WHERE vec_id < 20) WHERE {where}"
+    scored = f"SELECT qid, id, {d or S.l2('v', 'q')} AS d FROM {S.BASE}, (SELECT vec_id AS qid, embedding AS q, label AS qlabel FROM embeddings WHERE vec_id % 20 = 0) WHERE {where}"
     return f"SELECT {_ROWS} FROM ({S.top(scored, k)})"
 
 
@@ -85,7 +85,7 @@ def knn_by_parts(spark, sf_dir):
     return top_k(found[0].unionByName(found[1]).unionByName(found[2]), 10).select("qid", "rank", "id", "d")
 
 
-@query("knn_within_label_groups", f"SELECT qlabel, qid, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM (SELECT a.label AS qlabel, a.vec_id AS qid, b.vec_id AS id, {S.l2('a.embedding', 'b.embedding')} AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20)) WHERE rank <= 5")
+@query("knn_within_label_groups", f"SELECT qlabel, qid, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM (SELECT a.label AS qlabel, a.vec_id AS qid, b.vec_id AS id, {S.l2('a.embedding', 'b.embedding')} AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 5")
 def knn_within_label_groups(spark, sf_dir):
     rows = base(spark, sf_dir)
     queries = stated_queries(spark, sf_dir)
@@ -105,9 +105,9 @@ def range_counts(spark, sf_dir):
     return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("range_search_per_query", f"SELECT qid, id, d FROM ({S.SCORED}) WHERE d <= 1.0 + qid / 50.0::double")
+@query("range_search_per_query", f"SELECT qid, id, d FROM ({S.SCORED}) WHERE d <= 1.0 + (qid % 100) / 250.0::double")
 def range_search_per_query(spark, sf_dir):
-    queries = stated_queries(spark, sf_dir).withColumn("radius", 1.0 + F.col("qid") / 50.0)
+    queries = stated_queries(spark, sf_dir).withColumn("radius", 1.0 + (F.col("qid") % 100) / 250.0)
     return within(base(spark, sf_dir), queries, F.col("radius"))
 
 
@@ -140,7 +140,7 @@ def _poorer(spark, sf_dir):
     return knn(base(spark, sf_dir).where("id % 5 <> 0"), stated_queries(spark, sf_dir), 10)
 
 
-@query("recall_with_ties", f"WITH t AS ({S.KNN10}), r AS ({_ODD}), h AS (SELECT count(*) AS hits FROM t JOIN r USING (qid, id)) SELECT hits, 20 AS n_queries, round(100.0 * hits / 200, 6)::double AS recall FROM h")
+@query("recall_with_ties", f"WITH t AS ({S.KNN10}), r AS ({_ODD}), h AS (SELECT count(*) AS hits FROM t JOIN r USING (qid, id)) SELECT hits, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_queries, round(100.0 * hits / (SELECT 10 * count(*) FROM embeddings WHERE vec_id % 20 = 0), 6)::double AS recall FROM h")
 def recall_with_ties(spark, sf_dir):
     return M.recall(_truth(spark, sf_dir), _poorer(spark, sf_dir), 10)
 
@@ -184,10 +184,10 @@ def range_result_ratio(spark, sf_dir):
 
 
 @query("norm_percentiles", f"""
-    WITH n AS (SELECT round(sqrt({S.norm2('embedding[1:8]')}), 9) AS n, row_number() OVER (ORDER BY round(sqrt({S.norm2('embedding[1:8]')}), 9)) - 1 AS i, count(*) OVER () AS total FROM embeddings)
+    WITH n AS (SELECT round(sqrt({S.norm2('embedding')}), 9) AS n, row_number() OVER (ORDER BY round(sqrt({S.norm2('embedding')}), 9)) - 1 AS i, count(*) OVER () AS total FROM embeddings)
     SELECT p / 20.0::double AS p, n AS value FROM n, range(0, 21) t(p) WHERE i = least(floor(p / 20.0::double * total), total - 1)""")
 def norm_percentiles(spark, sf_dir):
-    norms = base(spark, sf_dir).select(F.round(F.sqrt(V.squared_norm(V.part(F.col("v"), 0, 8))), 9).alias("n"))
+    norms = base(spark, sf_dir).select(F.round(F.sqrt(V.squared_norm(F.col("v"))), 9).alias("n"))
     return M.nearest_rank(norms, "n", [p / 20.0 for p in range(21)])
 
 
@@ -216,11 +216,11 @@ def top_labels(spark, sf_dir):
 
 
 @query("pareto_front", """
-    WITH s AS (SELECT event_type, user_id, sum(1) AS n, max(value) AS v FROM events WHERE user_id < 200 GROUP BY event_type, user_id),
+    WITH s AS (SELECT event_type, user_id, sum(1) AS n, max(value) AS v FROM events GROUP BY event_type, user_id),
     b AS (SELECT *, max(v) OVER (ORDER BY n DESC, v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s)
     SELECT n, v FROM b WHERE best IS NULL OR v > best""")
 def pareto_front(spark, sf_dir):
-    settings = table(spark, sf_dir, "events").where("user_id < 200").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.max("value").alias("v"))
+    settings = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.max("value").alias("v"))
     return M.new_maxima(settings, "n", "v").select("n", "v")
 
 

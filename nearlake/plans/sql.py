@@ -18,7 +18,7 @@ def top(scored: str, k: int, group: str = "qid", order: str = "d, id") -> str:
 
 
 #: The stated queries and the base of most oracles.
-QUERIES = "(SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 20)"
+QUERIES = "(SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
 BASE = "(SELECT vec_id AS id, embedding AS v, label FROM embeddings)"
 SCORED = f"SELECT qid, id, {l2('v', 'q')} AS d FROM {BASE}, {QUERIES}"
 KNN10 = f"SELECT qid, rank, id, d FROM ({top(SCORED, 10)})"

@@ -41,7 +41,7 @@ def replicated_assign(spark, sf_dir):
     return P.nearest_centroids(base(spark, sf_dir), centroids(spark, sf_dir), 3).select("id", "rank", "cid", "cd")
 
 
-@query("query_routing", _nearest(4, "(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id < 20)"))
+@query("query_routing", _nearest(4, "(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)"))
 def query_routing(spark, sf_dir):
     queries = stated_queries(spark, sf_dir).select(F.col("qid").alias("id"), F.col("q").alias("v"))
     return P.nearest_centroids(queries, centroids(spark, sf_dir), 4)[["id", "rank", "cid", "cd"]]
@@ -115,8 +115,8 @@ def _shards(spark, sf_dir):
 @query("multi_shard_merge", S.KNN10)
 def multi_shard_merge(spark, sf_dir):
     queries = stated_queries(spark, sf_dir)
-    overlapping = [base(spark, sf_dir).where((F.col("id") % 4).isin(i, (i + 1) % 4)) for i in range(4)]
-    return P.merge_shards([knn(s, queries, 10).drop("rank") for s in overlapping], 10).select("qid", "rank", "id", "d")
+    shards = F.explode(F.array(F.col("id") % 4, (F.col("id") + 3) % 4))
+    return P.search_shards(base(spark, sf_dir).withColumn("shard", shards), queries, 10).select("qid", "rank", "id", "d")
 
 
 @query("merge_keeping_shard", f"SELECT qid, rank, id, shard FROM ({S.top(_SHARDED.replace('SELECT qid', 'SELECT qid', 1), 10)})")
@@ -135,10 +135,10 @@ def aggregator_concatenation(spark, sf_dir):
     return both.select("qid", "shard", F.col("rank").alias("place"), "id")
 
 
-@query("shard_contributions", f"SELECT id % 4 AS shard, count(*) AS n, round(100.0 * count(*) / 200, 6)::double AS percent FROM ({S.KNN10}) GROUP BY id % 4")
+@query("shard_contributions", f"SELECT id % 4 AS shard, count(*) AS n, round(100.0 * count(*) / (SELECT 10 * count(*) FROM embeddings WHERE vec_id % 20 = 0), 6)::double AS percent FROM ({S.KNN10}) GROUP BY id % 4")
 def shard_contributions(spark, sf_dir):
     found = knn(base(spark, sf_dir), stated_queries(spark, sf_dir), 10).withColumn("shard", F.col("id") % 4)
-    return share_of(found, "shard", F.lit(200))
+    return share_of(found, "shard", F.lit(10 * stated_queries(spark, sf_dir).count()))
 
 
 @query("local_to_global_ids", f"WITH s AS (SELECT vec_id AS id, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS local, vec_id % 4 AS shard FROM embeddings) SELECT k.qid, k.rank, s.shard, s.local, k.id FROM ({S.KNN10}) k JOIN s ON s.id = k.id")
@@ -198,7 +198,7 @@ def product_decode(spark, sf_dir):
     return Q.decoded(Q.product_codes(base(spark, sf_dir), book, _WIDTH), book)
 
 
-_ADC = f"""adc AS (SELECT q.vec_id AS qid, n.id, list_sum(list({S.l2('q.embedding[n.j * 16 + 1:n.j * 16 + 16]', 'b.c')} ORDER BY n.j)) AS d FROM near n JOIN book b ON b.j = n.j AND b.code = n.code, embeddings q WHERE q.vec_id < 20 GROUP BY q.vec_id, n.id)"""
+_ADC = f"""adc AS (SELECT q.vec_id AS qid, n.id, list_sum(list({S.l2('q.embedding[n.j * 16 + 1:n.j * 16 + 16]', 'b.c')} ORDER BY n.j)) AS d FROM near n JOIN book b ON b.j = n.j AND b.code = n.code, embeddings q WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, n.id)"""
 
 
 @query("asymmetric_distance_topk", f"WITH {_CODES}, {_ADC} SELECT qid, rank, id, round(d, 9) AS d FROM ({S.top('SELECT * FROM adc', 10)})")
@@ -209,11 +209,11 @@ def asymmetric_distance_topk(spark, sf_dir):
     return top_k(d, 10).select("qid", "rank", "id", F.round("d", 9).alias("d"))
 
 
-@query("symmetric_distance", f"WITH {_CODES} SELECT q.id AS qid, n.id, round(sum({S.l2('a.c', 'b.c')}), 9) AS d FROM near n JOIN near q ON q.j = n.j AND q.id < 20 JOIN book a ON a.j = n.j AND a.code = n.code JOIN book b ON b.j = q.j AND b.code = q.code GROUP BY q.id, n.id")
+@query("symmetric_distance", f"WITH {_CODES} SELECT q.id AS qid, n.id, round(sum({S.l2('a.c', 'b.c')}), 9) AS d FROM near n JOIN near q ON q.j = n.j AND q.id % 20 = 0 JOIN book a ON a.j = n.j AND a.code = n.code JOIN book b ON b.j = q.j AND b.code = q.code GROUP BY q.id, n.id")
 def symmetric_distance(spark, sf_dir):
     book = _book(spark, sf_dir)
     coded = Q.product_codes(base(spark, sf_dir), book, _WIDTH)
-    few = coded.where("id < 20").select(F.col("id").alias("qid"), F.col("codes").alias("qcodes"))
+    few = coded.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("codes").alias("qcodes"))
     return Q.symmetric_distances(coded, few, book).withColumn("d", F.round("d", 9))
 
 
@@ -274,7 +274,7 @@ def additive_code_error(spark, sf_dir):
 # --- inverted lists -------------------------------------------------------------------------
 
 _LISTS = f"lists AS (SELECT cid, id, cd FROM ({_nearest(2)}))"
-_PROBES = f"probes AS (SELECT id AS qid, cid FROM ({_nearest(3, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id < 20)')}))"
+_PROBES = f"probes AS (SELECT id AS qid, cid FROM ({_nearest(3, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)')}))"
 _FOUND = f"found AS (SELECT c.qid, c.id, {S.l2('e.embedding', 'q.embedding')} AS d FROM (SELECT DISTINCT qid, id FROM probes JOIN lists USING (cid)) c JOIN embeddings e ON e.vec_id = c.id JOIN embeddings q ON q.vec_id = c.qid)"
 
 
@@ -289,10 +289,9 @@ def limited_postings(spark, sf_dir):
     return I.postings(base(spark, sf_dir), centroids(spark, sf_dir), 2, 30).select("cid", "id")
 
 
-@query("head_ratio_pruning", f"WITH n AS ({_nearest(8, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id BETWEEN 20 AND 39)')}) SELECT id AS qid, cid FROM (SELECT *, min(cd) OVER (PARTITION BY id) AS m FROM n) WHERE cd <= 1.1 * m")
+@query("head_ratio_pruning", f"WITH n AS ({_nearest(8, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)')}) SELECT id AS qid, cid FROM (SELECT *, min(cd) OVER (PARTITION BY id) AS m FROM n) WHERE cd <= 1.1 * m")
 def head_ratio_pruning(spark, sf_dir):
-    queries = base(spark, sf_dir).where("id BETWEEN 20 AND 39").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return I.probes(queries, centroids(spark, sf_dir), 8, 1.1).select("qid", "cid")
+    return I.probes(stated_queries(spark, sf_dir), centroids(spark, sf_dir), 8, 1.1).select("qid", "cid")
 
 
 @query("page_search", f"WITH k AS (SELECT DISTINCT qid, id // 8 AS page FROM ({S.KNN10}) WHERE rank <= 3), s AS (SELECT k.qid, e.vec_id AS id, {S.l2('e.embedding', 'q.embedding')} AS d FROM k JOIN embeddings e ON e.vec_id // 8 = k.page JOIN embeddings q ON q.vec_id = k.qid) SELECT qid, rank, id, d FROM ({S.top('SELECT * FROM s', 10)})")
@@ -305,23 +304,23 @@ def page_search(spark, sf_dir):
     return top_k(scored, 10).select("qid", "rank", "id", "d")
 
 
-@query("entry_points", f"SELECT id AS qid, cid AS entry FROM ({_nearest(1, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id < 20)')})")
+@query("entry_points", f"SELECT id AS qid, cid AS entry FROM ({_nearest(1, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)')})")
 def entry_points(spark, sf_dir):
     return I.probes(stated_queries(spark, sf_dir), centroids(spark, sf_dir), 1).select("qid", F.col("cid").alias("entry"))
 
 
 # --- graphs ---------------------------------------------------------------------------------
 
-_GRAPH = f"SELECT src, dst FROM (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S.l2('b.embedding', 'a.embedding')}, b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id < 300 AND b.vec_id < 300 AND a.vec_id <> b.vec_id) WHERE n <= 5"
+_GRAPH = f"SELECT src, dst FROM (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S.l2('b.embedding', 'a.embedding')}, b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE n <= 5"
 
 
 def _graph(spark, sf_dir):
-    return G.knn_graph(base(spark, sf_dir).where("id < 300"), 5)
+    return G.knn_graph(base(spark, sf_dir), 5)
 
 
 @query("knn_graph", _GRAPH)
 def knn_graph(spark, sf_dir):
-    """The graph of one shard: its rows against each other."""
+    """All rows against each other."""
     return _graph(spark, sf_dir).select("src", "dst")
 
 
@@ -344,14 +343,14 @@ def breadth_first_levels(spark, sf_dir):
 
 @query("neighbourhood_within_radius", f"WITH RECURSIVE g AS ({_GRAPH}), near AS (SELECT g.* FROM g JOIN embeddings e ON e.vec_id = g.dst JOIN embeddings q ON q.vec_id = 0 WHERE {S.l2('e.embedding', 'q.embedding')} <= 1.6), w(id, level) AS (SELECT 0::bigint, 0 UNION SELECT near.dst, w.level + 1 FROM w JOIN near ON near.src = w.id WHERE w.level < 3) SELECT id, min(level) AS level FROM w GROUP BY id")
 def neighbourhood_within_radius(spark, sf_dir):
-    one = stated_queries(spark, sf_dir, 1)
+    one = stated_queries(spark, sf_dir).where("qid = 0")
     near = scored_pairs(base(spark, sf_dir), one).where("d <= 1.6").select(F.col("id").alias("dst"))
     return G.levels(_graph(spark, sf_dir).join(near, "dst", "left_semi").select("src", "dst"), spark.range(1).select("id"), 3)
 
 
-@query("page_overlap", f"WITH g AS ({_GRAPH}), c AS (SELECT src, count(*) AS c FROM g WHERE src // 8 = dst // 8 GROUP BY src), p AS (SELECT vec_id AS id, vec_id // 8 AS page, count(*) OVER (PARTITION BY vec_id // 8) AS n FROM embeddings WHERE vec_id < 300) SELECT round(avg(CASE WHEN n > 1 THEN coalesce(c, 0) / (n - 1)::double ELSE 0 END), 9) AS overlap FROM p LEFT JOIN c ON c.src = p.id")
+@query("page_overlap", f"WITH g AS ({_GRAPH}), c AS (SELECT src, count(*) AS c FROM g WHERE src // 8 = dst // 8 GROUP BY src), p AS (SELECT vec_id AS id, vec_id // 8 AS page, count(*) OVER (PARTITION BY vec_id // 8) AS n FROM embeddings) SELECT round(avg(CASE WHEN n > 1 THEN coalesce(c, 0) / (n - 1)::double ELSE 0 END), 9) AS overlap FROM p LEFT JOIN c ON c.src = p.id")
 def page_overlap(spark, sf_dir):
-    pages = base(spark, sf_dir).where("id < 300").select("id", F.floor(F.col("id") / 8).alias("page"))
+    pages = base(spark, sf_dir).select("id", F.floor(F.col("id") / 8).alias("page"))
     return G.page_overlap(_graph(spark, sf_dir).select("src", "dst"), pages)
 
 
@@ -389,25 +388,25 @@ def medoid_per_label(spark, sf_dir):
 
 @query("pruned_graph")
 def pruned_graph(spark, sf_dir):
-    rows = base(spark, sf_dir).where("id < 300")
+    rows = base(spark, sf_dir)
     return G.pruned(G.knn_graph(rows, 20), rows, 8)
 
 
 @query("stitched_graph")
 def stitched_graph(spark, sf_dir):
-    return G.stitched(base(spark, sf_dir).where("id < 300"), 15, 8)
+    return G.stitched(base(spark, sf_dir), 15, 8)
 
 
 @query("grown_pages")
 def grown_pages(spark, sf_dir):
-    nodes = base(spark, sf_dir).where("id < 300").select("id", F.lit(1).alias("freq"))
+    nodes = base(spark, sf_dir).select("id", F.lit(1).alias("freq"))
     return G.pages_by_growth(_graph(spark, sf_dir), nodes, 8, 1)
 
 
 @query("graph_beam_search")
 def graph_beam_search(spark, sf_dir):
     """Results of a traversal of each shard's graph, merged."""
-    rows = base(spark, sf_dir).where("id < 300").withColumn("shard", F.lit(0))
+    rows = P.nearest_centroids(base(spark, sf_dir), centroids(spark, sf_dir, 500)).withColumnRenamed("cid", "shard").select("shard", "id", "v")
     edges = G.both_ways(G.pruned(G.knn_graph(rows, 20), rows, 8))
     return G.beam_search(edges, rows, stated_queries(spark, sf_dir), 0, 10, 60)
 
@@ -417,4 +416,4 @@ def two_hop_repair(spark, sf_dir):
     from nearlake.operators.mutate import repaired_edges
 
     edges = _graph(spark, sf_dir).select("src", "dst")
-    return repaired_edges(edges, base(spark, sf_dir).where("id < 300 AND id % 10 = 0").select("id"))
+    return repaired_edges(edges, base(spark, sf_dir).where("id % 10 = 0").select("id"))
