@@ -17,10 +17,11 @@ KINDS = ("exact", "inverted")
 class VectorIndex:
     """Vectors (id, v and any other columns) with deletions, searched exactly or by inverted lists.
 
-    Every search returns a DataFrame; nothing is computed before it is read.
+    Every search returns a DataFrame; nothing is computed before it is read. A ``fixed`` index, one
+    of lists that were laid out for good, refuses changes.
     """
 
-    def __init__(self, rows: DataFrame, metric: str = "l2", kind: str = "exact", depth: int = 4, replicas: int = 2):
+    def __init__(self, rows: DataFrame, metric: str = "l2", kind: str = "exact", depth: int = 4, replicas: int = 2, fixed: bool = False):
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}")
         if kind not in KINDS:
@@ -32,7 +33,7 @@ class VectorIndex:
             raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
         if depth < 0 or replicas < 1:
             raise ValueError("depth and replicas must be positive")
-        self.rows, self.metric, self.kind, self.depth, self.replicas = rows, metric, kind, depth, replicas
+        self.rows, self.metric, self.kind, self.depth, self.replicas, self.fixed = rows, metric, kind, depth, replicas, fixed
         self.deleted = rows.select("id").limit(0)
         self._lists: tuple[DataFrame, DataFrame] | None = None
 
@@ -58,22 +59,36 @@ class VectorIndex:
         heads, lists = self._inverted()
         return inverted.search(rows, lists, inverted.probes(queries, heads, probes), queries, k).select("qid", "rank", "id", "d")
 
+    def search_with_tags(self, queries: DataFrame, k: int, with_vectors: bool = False, **options) -> DataFrame:
+        """As ``search``, with the rows' tags in place of their ids, and their vectors if wanted. Rows have a column tag."""
+        if "tag" not in self.rows.columns:
+            raise ValueError("the rows have no tags")
+        found = self.search(queries, k, **options)
+        return found.join(self.rows.select("id", "tag", *(["v"] if with_vectors else [])), "id").drop("id")
+
     def within(self, queries: DataFrame, radius: float) -> DataFrame:
         return knn.within(self.active.select("id", "v"), queries, radius, self.metric)
 
+    def _check_open(self) -> None:
+        if self.fixed:
+            raise ValueError("a fixed index can't be changed")
+
     def insert(self, new: DataFrame) -> DataFrame:
         """Adds rows; returns those refused (id 0, null, known or repeated)."""
+        self._check_open()
         self.rows, refused = mutate.insert(self.rows, new)
         self._lists = None
         return refused
 
     def delete(self, ids: DataFrame) -> DataFrame:
         """Marks rows as deleted; returns the ids that aren't there."""
+        self._check_open()
         self.deleted, failed = mutate.lazy_delete(self.rows, self.deleted, ids)
         return failed
 
     def consolidate(self) -> DataFrame:
         """Drops the deleted rows; returns a report."""
+        self._check_open()
         self.rows, report = mutate.consolidate(self.rows, self.deleted)
         self.deleted, self._lists = self.rows.select("id").limit(0), None
         return report
@@ -89,7 +104,7 @@ class VectorIndex:
         """Rows, deletions and settings as Parquet tables in a folder."""
         self.rows.write.parquet(f"{path}/rows")
         self.deleted.write.parquet(f"{path}/deleted")
-        settings = json.dumps({"metric": self.metric, "kind": self.kind, "depth": self.depth, "replicas": self.replicas})
+        settings = json.dumps({"metric": self.metric, "kind": self.kind, "depth": self.depth, "replicas": self.replicas, "fixed": self.fixed})
         self.rows.sparkSession.createDataFrame([(settings,)], "settings string").coalesce(1).write.parquet(f"{path}/settings")
 
     @classmethod

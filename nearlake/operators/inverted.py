@@ -14,6 +14,10 @@ from nearlake.operators.partition import nearest_centroids
 from nearlake.operators.tables import settled
 
 
+#: Fixed value: limits up to this one prune no heads.
+LEAST_LIMIT = 0.1
+
+
 def postings(rows: DataFrame, heads: DataFrame, replicas: int = 8, limit: int | None = None) -> DataFrame:
     """(cid, id, cd): each row in the lists of its ``replicas`` nearest heads; of a list the nearest ``limit`` stay."""
     placed = nearest_centroids(rows.select("id", "v"), heads, replicas).select("cid", "id", "cd")
@@ -21,10 +25,13 @@ def postings(rows: DataFrame, heads: DataFrame, replicas: int = 8, limit: int |
 
 
 def probes(queries: DataFrame, heads: DataFrame, n: int, max_ratio: float = 10_000.0) -> DataFrame:
-    """(qid, cid, hd): the n nearest heads of each query, none farther than ``max_ratio`` times the nearest."""
+    """(qid, cid, hd): the n nearest heads of each query, none farther than ``max_ratio`` times the nearest.
+
+    Where that product is at most 0.1, so where a query all but is a head, nothing is left out.
+    """
     near = nearest_centroids(queries.select("qid", F.col("q").alias("v")), heads, n)
     nearest = F.min("cd").over(W.partitionBy("qid"))
-    return near.withColumn("__m", nearest).where(F.col("cd") <= max_ratio * F.col("__m")).select("qid", "cid", F.col("cd").alias("hd"))
+    return near.withColumn("__m", nearest).where((max_ratio * F.col("__m") <= LEAST_LIMIT) | (F.col("cd") <= max_ratio * F.col("__m"))).select("qid", "cid", F.col("cd").alias("hd"))
 
 
 def search(rows: DataFrame, lists: DataFrame, probed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -63,6 +70,24 @@ def adaptive_depths(ranked: DataFrame, k: int, start: int, big: int, small: int,
     return state
 
 
+def radius_rounds(ranked: DataFrame, k: int, start: int, step: int, capacity: int, factor: float = 1.0) -> DataFrame:
+    """(qid, shard, depth): depths by radius over shard rankings (qid, shard, id, d, place from 1).
+
+    All shards are read to depth ``start``. The radius of a query is ``factor`` times the k-th
+    distance among these; a shard goes on in steps of ``step`` as long as the last row that it
+    gave lies within the radius, up to ``capacity`` rows. One window per query and one per shard
+    tell all depths at once.
+    """
+    first = ranked.where(F.col("place") <= start)
+    radius = top_k(first.select("qid", "id", "d"), k).groupBy("qid").agg((F.max("d") * factor).alias("radius"))
+    # the first place, of those at which a shard decides, whose row is beyond the radius
+    decides = (F.col("place") >= start) & ((F.col("place") - start) % step == 0)
+    beyond = ranked.where(decides).join(radius, "qid").where(F.col("d") > F.col("radius")).groupBy("qid", "shard").agg(F.min("place").alias("stop"))
+    last = ranked.groupBy("qid", "shard").agg(F.max("place").alias("rows"))
+    depth = F.least(F.coalesce("stop", F.lit(capacity)), F.lit(capacity), F.col("rows"))
+    return last.join(beyond, ["qid", "shard"], "left").select("qid", "shard", depth.alias("depth"))
+
+
 def adaptive_search(shards: list[DataFrame], queries: DataFrame, k: int, start: int, big: int, small: int, end: int) -> DataFrame:
     """Rounds of ``adaptive_depths`` over exact rankings of the shards (id, v), then the best k within the depths."""
     deepest = end + big

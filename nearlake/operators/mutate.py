@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearlake.operators.partition import with_places
+from nearlake.operators.partition import nearest_centroids, with_places
 
 
 def insert(rows: DataFrame, new: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -77,3 +77,19 @@ def alive_after(place: Column, start: int, window: int, chunk: int) -> Column:
     """Whether the row at a place is active after the chunk that starts at ``start`` has been taken in."""
     oldest = max(0, (start - window)) if start >= window + chunk else 0
     return (place < start + chunk) & (place >= oldest)
+
+
+def insert_in_clustered_order(rows: DataFrame, new: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all rows, refused): as ``insert``, with the new rows (id, v) in the order of their nearest centroids (cid, c).
+
+    The rows taken in get ``batch``, the number of their centroid among those that have some, from
+    0, and ``place`` in the whole order; rows that were there have null. One range partitioning
+    gives the places, so no task holds a cluster.
+    """
+    taken, refused = insert(rows.limit(0), new.join(rows.select("id"), "id", "left_anti"))
+    known = new.join(rows.select("id"), "id", "left_semi")
+    near = nearest_centroids(taken, centroids).withColumn("key", F.struct("cid", "id"))
+    numbered = with_places(near.select("cid").distinct(), "cid", "batch").select(F.col("cid").alias("of"), "batch")
+    placed = with_places(near, "key").join(numbered, F.col("cid") == F.col("of")).select(*rows.columns, "batch", "place")
+    none = F.lit(None).cast("long")
+    return rows.select("*", none.alias("batch"), none.alias("place")).unionByName(placed), refused.unionByName(known)

@@ -9,8 +9,9 @@ from nearlake.operators import mutate as U
 from nearlake.operators.knn import knn
 from nearlake.operators.partition import with_places
 from nearlake.plans import sql as S
-from nearlake.plans.inputs import base, stated_queries
+from nearlake.plans.inputs import base, centroids, stated_queries
 from nearlake.plans.registry import query, table
+from nearlake.sources import binary as B
 from nearlake.sources import text as X
 
 
@@ -20,6 +21,16 @@ def insert_rows(spark, sf_dir):
     return U.insert(rows.where("id % 3 = 0"), rows.where("id % 2 = 0"))[0].select("id")
 
 
+@query("clustered_insert", f"""
+    WITH n AS (SELECT id, cid FROM (SELECT e.vec_id AS id, c.vec_id AS cid, row_number() OVER (PARTITION BY e.vec_id ORDER BY {S.l2('e.embedding', 'c.embedding')}, c.vec_id) AS r FROM embeddings e, embeddings c WHERE e.vec_id % 3 <> 0 AND c.vec_id % 50 = 0) WHERE r = 1),
+    p AS (SELECT id, dense_rank() OVER (ORDER BY cid) - 1 AS batch, row_number() OVER (ORDER BY cid, id) - 1 AS place FROM n)
+    SELECT e.vec_id AS id, batch, place FROM embeddings e LEFT JOIN p ON p.id = e.vec_id""")
+def clustered_insert(spark, sf_dir):
+    """Two thirds of the rows come in cluster by cluster."""
+    rows = base(spark, sf_dir)
+    return U.insert_in_clustered_order(rows.where("id % 3 = 0"), rows.where("id % 3 <> 0"), centroids(spark, sf_dir))[0].select("id", "batch", "place")
+
+
 @query("refused_inserts", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 6 = 0")
 def refused_inserts(spark, sf_dir):
     rows = base(spark, sf_dir)
@@ -190,6 +201,26 @@ def truth_long_form(spark, sf_dir):
     return X.truth_rows(wide)
 
 
+@query("vectors_from_bin", "SELECT vec_id AS id, embedding AS v FROM embeddings")
+def vectors_from_bin(spark, sf_dir):
+    """All vectors written as shards of .bin files with their ids, and read back."""
+    return _from_files(spark, sf_dir, False)
+
+
+@query("vectors_from_vecs", "SELECT vec_id AS id, embedding AS v FROM embeddings")
+def vectors_from_vecs(spark, sf_dir):
+    return _from_files(spark, sf_dir, True)
+
+
+def _from_files(spark, sf_dir, vecs):
+    from functools import reduce
+
+    shards = B.write_shards(base(spark, sf_dir).select("id", "v"), B.scratch_folder(spark), "float32", vecs).collect()  # a row per file
+    read = B.read_vecs if vecs else B.read_bin
+    parts = [read(spark, f"{s.path}.{'vecs' if vecs else 'bin'}").join(B.read_bin(spark, f"{s.path}_ids_uint32.bin", "uint32").select("id", F.col("v")[0].alias("was")), "id") for s in shards]
+    return reduce(lambda a, b: a.unionByName(b), parts).select(F.col("was").alias("id"), "v")
+
+
 @query("validated_tags", "SELECT vec_id AS id, vec_id + 1 AS tag FROM embeddings")
 def validated_tags(spark, sf_dir):
     return X.checked_tags(base(spark, sf_dir).select("id", (F.col("id") + 1).alias("tag")))

@@ -173,6 +173,22 @@ def adaptive_multi_shard_search(spark, sf_dir):
     return found.select("qid", "id", "shard")
 
 
+_RADIUS_SQL = f"""WITH r AS ({_SHARDED}), f AS (SELECT * FROM (SELECT qid, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS n FROM r WHERE place <= 3) WHERE n <= 5),
+    w AS (SELECT qid, max(d) * 1.05 AS radius FROM f GROUP BY qid),
+    b AS (SELECT r.qid, r.shard, min(place) AS stop FROM r JOIN w USING (qid) WHERE place >= 3 AND (place - 3) % 2 = 0 AND d > radius GROUP BY r.qid, r.shard),
+    n AS (SELECT qid, shard, count(*) AS n FROM r GROUP BY qid, shard)
+    SELECT n.qid, n.shard, least(coalesce(stop, 25), 25, n) AS depth FROM n LEFT JOIN b ON b.qid = n.qid AND b.shard = n.shard"""
+
+
+@query("radius_scheduled_depths", _RADIUS_SQL)
+def radius_scheduled_depths(spark, sf_dir):
+    """How deep each of four shards is read while it gives rows within each query's radius."""
+    rows = base(spark, sf_dir).withColumn("shard", F.col("id") % 4)
+    place = F.row_number().over(W.partitionBy("qid", "shard").orderBy("d", "id"))
+    ranked = scored_pairs(rows, stated_queries(spark, sf_dir)).select("qid", "shard", "id", "d").withColumn("place", place)
+    return I.radius_rounds(ranked, 5, 3, 2, 25, 1.05)
+
+
 # --- quantizers -----------------------------------------------------------------------------
 
 _CHUNKS, _WIDTH = 4, 16
@@ -289,7 +305,7 @@ def limited_postings(spark, sf_dir):
     return I.postings(base(spark, sf_dir), centroids(spark, sf_dir), 2, 30).select("cid", "id")
 
 
-@query("head_ratio_pruning", f"WITH n AS ({_nearest(8, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)')}) SELECT id AS qid, cid FROM (SELECT *, min(cd) OVER (PARTITION BY id) AS m FROM n) WHERE cd <= 1.1 * m")
+@query("head_ratio_pruning", f"WITH n AS ({_nearest(8, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)')}) SELECT id AS qid, cid FROM (SELECT *, min(cd) OVER (PARTITION BY id) AS m FROM n) WHERE 1.1 * m <= 0.1 OR cd <= 1.1 * m")
 def head_ratio_pruning(spark, sf_dir):
     return I.probes(stated_queries(spark, sf_dir), centroids(spark, sf_dir), 8, 1.1).select("qid", "cid")
 

@@ -6,6 +6,7 @@ URIs of file systems that pyarrow knows, or local paths.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,12 @@ TYPES = {"float32": ("<f4", "float"), "int8": ("i1", "tinyint"), "uint8": ("u1",
 RANGE_BYTES = 32 << 20
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; the warehouse where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/vectors-{uuid.uuid4().hex}"
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
