@@ -76,6 +76,23 @@ def test_bad_arguments(spark, line, asked):
     assert trees.shards_for_budget(1000, 512, 100_000) == 6 and trees.chunks_for_budget(1000, 128, 32_000) == 32
 
 
+def test_tags_and_fixed_indices(spark, line, asked):
+    index = VectorIndex(line.withColumn("tag", F.col("id") + 1000), fixed=True)
+    found = index.search_with_tags(asked, 1, with_vectors=True)
+    assert {r.qid: (r.tag, r.v[0]) for r in found.collect()} == {1: (1002, 2.0), 2: (1004, 4.0), 3: (1006, 6.0)}
+    for change in (lambda: index.insert(line), lambda: index.delete(line.select("id")), index.consolidate, lambda: VectorIndex(line).search_with_tags(asked, 1)):
+        with pytest.raises(ValueError):
+            change()
+
+
+def test_matrix_search_keeps_ties_and_skips_rows_without_vectors(spark):
+    rows = spark.createDataFrame([(i, [float(i // 10)] * 3) for i in range(60)] + [(99, None)], "id long, v array<double>")
+    queries = spark.createDataFrame([(7, [2.0] * 3), (8, None)], "qid long, q array<double>")
+    assert [(r.qid, r.id, r.d) for r in knn_by_matrix(rows, queries, 12).orderBy("rank").collect()] == [(7, 20 + i, 0.0) for i in range(10)] + [(7, 10, 3.0), (7, 11, 3.0)]
+    with pytest.raises(ValueError):
+        knn_by_matrix(rows, queries, 0)
+
+
 def test_query_blocks_and_matrices_agree(line, asked):
     whole = [tuple(r) for r in knn(line, asked, 5).orderBy("qid", "rank").collect()]
     assert [tuple(r) for r in knn(line, asked, 5, block=1).orderBy("qid", "rank").collect()] == whole
