@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The table computed once: checkpointed to the shared folder of spark.checkpoint.dir, or cached where none is set.
+    """The table computed once: written to the shared folder of spark.checkpoint.dir, or cached where none is set.
 
-    A cached table that is lost with an executor is computed again; a checkpoint isn't lost.
+    A cached table that is lost with an executor is computed again; a written one isn't lost. A
+    written table, unlike a checkpoint, also ends what the planner infers from earlier steps, which
+    doubles with each round of a loop.
     """
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
