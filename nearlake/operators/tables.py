@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """The table computed once: written to the shared folder of spark.checkpoint.dir, or cached where none is set.
 
-    A cached table that is lost with an executor is computed again; a written one isn't lost. A
-    written table, unlike a checkpoint, also ends what the planner infers from earlier steps, which
-    doubles with each round of a loop.
+    A cached table that is lost with an executor is computed again; a written one isn't lost. It is
+    written and not checkpointed because rounds of a loop over checkpoints took ever longer.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
