@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nearlake.functions.vectors import METRICS
 from nearlake.operators import inverted, knn, mutate
+from nearlake.operators.tables import settled
 from nearlake.operators.trees import select_heads
 
 KINDS = ("exact", "inverted")
@@ -48,7 +49,11 @@ class VectorIndex:
         return self._lists
 
     def search(self, queries: DataFrame, k: int, where: Column | None = None, probes: int = 4, with_deleted: bool = False) -> DataFrame:
-        """(qid, rank, id, d) for queries (qid, q). A condition holds before the ranking."""
+        """(qid, rank, id, d) for queries (qid, q). A condition holds before the ranking.
+
+        k rows come back whenever k exist: a query that finds fewer in the lists that it probes, as
+        with a selective condition or many deleted rows, is ranked against all rows that hold.
+        """
         if k < 1 or probes < 1:
             raise ValueError("k and probes must be positive")
         rows = self.rows if with_deleted else self.active
@@ -57,7 +62,12 @@ class VectorIndex:
         if self.kind == "exact":
             return knn.knn(rows.select("id", "v"), queries, k, self.metric)
         heads, lists = self._inverted()
-        return inverted.search(rows, lists, inverted.probes(queries, heads, probes), queries, k).select("qid", "rank", "id", "d")
+        queries = queries.select("qid", "q")
+        found = settled(inverted.search(rows, lists, inverted.probes(queries, heads, probes), queries, k).select("qid", "rank", "id", "d"))
+        # a query has k rows if it has one of rank k
+        lacking = queries.join(found.where(F.col("rank") == k).select("qid"), "qid", "left_anti")
+        exact = knn.knn(rows.select("id", "v"), lacking, k)
+        return found.join(lacking.select("qid"), "qid", "left_anti").select("qid", "rank", "id", "d").unionByName(exact)
 
     def search_with_tags(self, queries: DataFrame, k: int, with_vectors: bool = False, **options) -> DataFrame:
         """As ``search``, with the rows' tags in place of their ids, and their vectors if wanted. Rows have a column tag."""
@@ -101,9 +111,13 @@ class VectorIndex:
         return self.active.where(F.col("id") == id).select("id", "v")
 
     def save(self, path: str) -> None:
-        """Rows, deletions and settings as Parquet tables in a folder."""
+        """Rows, deletions, settings and, of an inverted index, its heads and lists as Parquet tables in a folder."""
         self.rows.write.parquet(f"{path}/rows")
         self.deleted.write.parquet(f"{path}/deleted")
+        if self.kind == "inverted":
+            heads, lists = self._inverted()
+            heads.write.parquet(f"{path}/heads")
+            lists.write.parquet(f"{path}/lists")
         settings = json.dumps({"metric": self.metric, "kind": self.kind, "depth": self.depth, "replicas": self.replicas, "fixed": self.fixed})
         self.rows.sparkSession.createDataFrame([(settings,)], "settings string").coalesce(1).write.parquet(f"{path}/settings")
 
@@ -112,4 +126,6 @@ class VectorIndex:
         settings = json.loads(spark.read.parquet(f"{path}/settings").first()[0])
         index = cls(spark.read.parquet(f"{path}/rows"), **settings)
         index.deleted = spark.read.parquet(f"{path}/deleted")
+        if index.kind == "inverted":  # as it was built; nothing is trained again
+            index._lists = spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/lists")
         return index

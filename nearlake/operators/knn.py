@@ -16,6 +16,8 @@ from nearlake.functions.vectors import doubles, metric
 #: Most queries that are broadcast at once; more are joined block by block.
 QUERY_BLOCK = 4_096
 
+PAIRS = "qid long, id long, d double"
+
 
 def top_k(scored: DataFrame, k: int, group: str = "qid", order: tuple[str, ...] = ("d", "id")) -> DataFrame:
     """The k first rows of each group, with their rank from 1. Ties in d go to the smaller id.
@@ -56,11 +58,14 @@ def knn(base: DataFrame, queries: DataFrame, k: int, distance: str = "l2", condi
 
     ``condition`` (on base and query columns) holds before the ranking, so k rows come back
     whenever k fit it. Squared distances without a condition come from matrix products, which
-    choose, and are then folded like all others, so they are the same numbers.
+    choose, and are then folded like all others, so they are the same numbers. A pair without a
+    distance (a vector that is null or has a null component, unequal lengths) is left out; a distance
+    that is no number is the greatest.
     """
     if distance == "l2" and condition is None:
         return knn_by_matrix(base, queries, k, block)
-    return top_k(scored_pairs(base, queries, distance, condition, block).select("qid", "id", "d"), k).select("qid", "rank", "id", "d")
+    pairs = scored_pairs(base, queries, distance, condition, block).select("qid", "id", "d").where("d IS NOT NULL")
+    return top_k(pairs, k).select("qid", "rank", "id", "d")
 
 
 def within(base: DataFrame, queries: DataFrame, radius: Column | float, distance: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
@@ -79,52 +84,87 @@ def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Pairs times components that are folded at once: 64 MB a side.
+FOLD_AT_ONCE = 1 << 23
+
+
+def nearest_pairs(qids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, row ids, distances): of these rows the k nearest to each query, exactly folded, ties to the smaller id.
+
+    The matrix product tells each distance up to a margin; a row is folded if its least possible
+    distance is no more than the k-th greatest possible one. Distances that aren't finite numbers
+    come last, NaN after infinity, so they are found only where k others aren't there.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms, squares = (q * q).sum(axis=1), (v * v).sum(axis=1)
+        d = norms[:, None] - 2 * (q @ v.T) + squares[None, :]
+        margin = 1e-12 * (1 + norms[:, None] + squares[None, :])
+        unsure = ~np.isfinite(d) | ~np.isfinite(margin)
+        high, low = np.where(unsure, np.inf, d + margin), np.where(unsure, 0, d - margin)
+        # what isn't finite may lie anywhere by the product alone, unless a part of it is infinite or no number
+        low[:, ~np.isfinite(v).all(axis=1)] = np.inf
+        low[~np.isfinite(q).all(axis=1)] = np.inf
+        if skip_self:
+            same = qids[:, None] == own[None, :]
+            high[same] = low[same] = np.inf
+        m = min(k, len(own))
+        one, other = np.nonzero(low <= np.partition(high, m - 1, axis=1)[:, m - 1 : m])
+        if skip_self:
+            fair = qids[one] != own[other]
+            one, other = one[fair], other[fair]
+        step = max(1, FOLD_AT_ONCE // max(1, q.shape[1]))
+        exact = np.concatenate([np.zeros(0), *(folded(q[one[at : at + step]], v[other[at : at + step]]) for at in range(0, len(one), step))])
+    order = np.lexsort((own[other], exact, one))
+    one, other, exact = one[order], other[order], exact[order]
+    kept = np.arange(len(one)) - np.searchsorted(one, np.arange(len(qids)))[one] < k
+    return qids[one[kept]], own[other[kept]], exact[kept]
+
+
+def by_length(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) for each length of the vectors; those with a null component are left out."""
+    lengths, values = vectors.value_lengths().to_numpy(zero_copy_only=False), vectors.flatten()
+    starts = np.cumsum(lengths) - lengths
+    whole = np.ones(len(ids), bool)
+    if values.null_count:
+        nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+        whole = nulls[starts + lengths] == nulls[starts]
+    flat = values.to_numpy(zero_copy_only=False)
+    for n in np.unique(lengths[whole]):
+        at = np.flatnonzero(whole & (lengths == n))
+        yield int(n), ids[at], flat[starts[at][:, None] + np.arange(n)[None, :]]
+
+
 def knn_by_matrix(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, skip_self: bool = False) -> DataFrame:
     """As ``knn`` with squared distances, by matrix products over Arrow batches.
 
     A batch's product chooses the rows that may be among the k nearest: all up to the k-th
     distance and a margin for rounding, ties included. Their distances are then folded exactly and
     each batch keeps k rows per query, so what is shuffled is batches x queries x k rows whatever
-    the size of the base. Rows and queries without a vector are left out. ``skip_self`` leaves out
-    the row with a query's own id.
+    the size of the base. Left out are rows and queries without a vector or with a null component, and pairs
+    of unequal length. A distance that is no number counts as the greatest. No queries, no rows.
+    ``skip_self`` leaves out the row with a query's own id.
     """
     if k < 1:
         raise ValueError("k must be positive")
     parts = []
+    rows_with = base.select(F.col("id").cast("long"), doubles(F.col("v")).alias("v")).where("v IS NOT NULL")
     for some in query_blocks(queries, block):
-        rows = some.select("qid", doubles(F.col("q")).alias("q")).where("q IS NOT NULL").collect()  # at most a block
-        ids = np.array([r[0] for r in rows], np.int64)
-        held = base.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
+        rows = some.select(F.col("qid").cast("long"), doubles(F.col("q")).alias("q")).where("qid IS NOT NULL AND q IS NOT NULL").collect()  # at most about a block
+        if not rows:
+            continue
+        vectors = pa.array([r[1] for r in rows], pa.list_(pa.float64()))
+        held = base.sparkSession.sparkContext.broadcast({n: (ids, q) for n, ids, q in by_length(np.array([r[0] for r in rows], np.int64), vectors)})
 
         def nearest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qids, q = held.value
-            norms = (q * q).sum(axis=1)
             for whole in batches:
                 for at in range(0, whole.num_rows, 2048):
                     batch = whole.slice(at, 2048)
-                    n = batch.num_rows
-                    if not len(qids):
-                        continue
-                    own = batch.column(0).to_numpy()
-                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                    squares = (v * v).sum(axis=1)
-                    d = norms[:, None] - 2 * (q @ v.T) + squares[None, :]
-                    if skip_self:
-                        d[qids[:, None] == own[None, :]] = np.inf
-                    m = min(k, n)
-                    limit = np.partition(d, m - 1, axis=1)[:, m - 1]
-                    margin = 1e-12 * (1 + norms + (squares.max() if n else 0))
-                    one, other = np.nonzero(d <= (limit + margin)[:, None])
-                    if skip_self:
-                        fair = qids[one] != own[other]
-                        one, other = one[fair], other[fair]
-                    exact = folded(q[one], v[other])
-                    order = np.lexsort((own[other], exact, one))
-                    one, other, exact = one[order], other[order], exact[order]
-                    first = np.searchsorted(one, np.arange(len(qids)))
-                    kept = np.arange(len(one)) - first[one] < k
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[one[kept]]), pa.array(own[other[kept]]), pa.array(exact[kept])], ["qid", "id", "d"])
-
-        rows_with = base.select(F.col("id").cast("long"), doubles(F.col("v")).alias("v")).where("v IS NOT NULL")
-        parts.append(rows_with.mapInArrow(nearest, "qid long, id long, d double"))
+                    for n, own, v in by_length(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)):
+                        if n in held.value:
+                            found = nearest_pairs(*held.value[n], own, v, k, skip_self)
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["qid", "id", "d"])
+
+        parts.append(rows_with.where("id IS NOT NULL").mapInArrow(nearest, PAIRS))
+    if not parts:
+        return base.sparkSession.createDataFrame([], "qid long, rank int, id long, d double")
     return top_k(reduce(DataFrame.unionByName, parts), k).select("qid", "rank", "id", "d")

@@ -214,3 +214,53 @@ def test_distances_against_numpy(spark):
     for name, values in want.items():
         got = [r[0] for r in rows.select(METRICS[name](F.col("a"), F.col("b"))).collect()]
         assert np.allclose(got, values), name
+
+
+def odd_rows(spark):
+    """Forty rows, of which one is NaN, one infinite, one null, one with a null component, one shorter, one huge."""
+    rows = [(i, [float(i), float(i % 7)]) for i in range(34)]
+    rows += [(34, [float("nan"), 1.0]), (35, [float("inf"), 1.0]), (36, None), (37, [None, 1.0]), (38, [1.0]), (39, [1e160, 0.0])]
+    return spark.createDataFrame(rows, "id long, v array<double>")
+
+
+def test_matrix_search_survives_odd_vectors(spark):
+    asked = spark.createDataFrame([(1, [3.0, 3.0]), (2, [float("nan"), 0.0]), (3, None), (4, [1.5]), (5, [None, 2.0]), (6, [1e5, 0.0])], "qid long, q array<double>")
+    found = ids_by_query(knn(odd_rows(spark).coalesce(1), asked, 3))
+    assert found == {1: [3, 2, 4], 2: [0, 1, 2], 4: [38], 6: [33, 32, 31]}
+
+
+def test_odd_distances_come_last(spark):
+    asked = spark.createDataFrame([(1, [3.0, 3.0])], "qid long, q array<double>")
+    for parts in (1, 5):
+        found = knn(odd_rows(spark).repartition(parts), asked, 50).orderBy("rank").collect()
+        assert [r.id for r in found][-3:] == [35, 39, 34]  # infinite, then no number
+        assert len(found) == 37
+        same = knn(odd_rows(spark), asked, 50, condition=F.lit(True)).orderBy("rank").collect()
+        assert [r.id for r in found] == [r.id for r in same]
+
+
+def test_no_queries_no_rows(spark, line):
+    none = spark.createDataFrame([], "qid long, q array<double>")
+    nulls = spark.createDataFrame([(1, None)], "qid long, q array<double>")
+    for asked in (none, nulls):
+        assert knn(line, asked, 3).collect() == []
+        for kind in ("exact", "inverted"):
+            assert VectorIndex(line, kind=kind, depth=2).search(asked, 3).collect() == []
+
+
+def test_filtered_inverted_search_finds_k(spark, line, asked):
+    index = VectorIndex(line, kind="inverted", depth=4, replicas=1)
+    rare = F.col("id") % 80 == 0  # four rows besides 80, far from the lists that are probed
+    found = ids_by_query(index.search(asked, 4, where=rare, probes=1))
+    assert found == ids_by_query(VectorIndex(line).search(asked, 4, where=rare)) and all(len(x) == 4 for x in found.values())
+    index.delete(spark.range(1, 60).select("id"))
+    assert ids_by_query(index.search(asked, 3, probes=1)) == {1: [60, 61, 62], 2: [60, 61, 62], 3: [60, 61, 62]}
+
+
+def test_loaded_index_keeps_its_lists(spark, line, asked, tmp_path):
+    index = VectorIndex(line, kind="inverted", depth=3)
+    index.save(str(tmp_path / "kept"))
+    other = VectorIndex.load(spark, str(tmp_path / "kept"))
+    for mine, saved in zip(index._inverted(), other._inverted()):
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, saved.collect()))
+    assert ids_by_query(other.search(asked, 5)) == ids_by_query(index.search(asked, 5))
