@@ -115,44 +115,6 @@ def pages_by_growth(edges: DataFrame, frequency: DataFrame, capacity: int, n_par
     return nodes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts))).groupBy("part").applyInPandas(fill, "id long, page long")
 
 
-def beam_search(edges: DataFrame, rows: DataFrame, queries: DataFrame, entry: int, k: int, width: int) -> DataFrame:
-    """(qid, rank, id, d) by best-first traversal with a candidate list of ``width``.
-
-    Shards of a graph are searched each in one group, which must fit a task: rows carry
-    ``shard``, edges stay within shards, and every shard is searched from its entry.
-    """
-    near = edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
-    nodes = rows.join(near, rows["id"] == near["src"], "left").select("shard", "id", F.col("v").cast("array<double>").alias("v"), F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"))
-    wanted = [(r[0], r[1]) for r in queries.select("qid", F.col("q").cast("array<double>")).collect()]  # the stated queries
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        at = {x: i for i, x in enumerate(group["id"])}
-        v, near = np.array(group["v"].tolist()), group["nbrs"].tolist()
-        first = at.get(entry, int(group["id"].to_numpy().argmin()))
-        out = []
-        for qid, q in wanted:
-            d = lambda i, q=np.array(q): float(((v[i] - q) ** 2).sum())
-            best, seen, done = [(d(first), group["id"].iloc[first])], {first}, set()
-            while True:
-                todo = next((x for _, x in best if x not in done), None)
-                if todo is None:
-                    break
-                done.add(todo)
-                for y in near[at[todo]]:
-                    if y in at and at[y] not in seen:
-                        seen.add(at[y])
-                        best.append((d(at[y]), y))
-                best = sorted(best)[:width]
-            out += [(qid, x, s) for s, x in best[:k]]
-        return pd.DataFrame(out, columns=["qid", "id", "d"])
-
-    from nearlake.operators.knn import top_k
-
-    return top_k(nodes.groupBy("shard").applyInPandas(search, "qid long, id long, d double"), k).select("qid", "rank", "id", "d")
-
-
-
-
 def deterministic_greedy_pages(edges: DataFrame, nodes: DataFrame, capacity: int, rounds: int, n_parts: int) -> DataFrame:
     """(id, page) by streaming placement: a node goes to the page with the best count * (1 - size / capacity).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearlake.functions import vectors as V
 from nearlake.operators import measures as M
+from nearlake.operators import multiscan
 from nearlake.operators.knn import knn, knn_by_matrix, scored_pairs, top_k, within
 from nearlake.plans import sql as S
 from nearlake.plans.inputs import base, stated_queries
@@ -257,6 +258,40 @@ def multi_index_weighted_sum(spark, sf_dir):
     return top_k(scored, 10).select("qid", "rank", "id", F.round("d", 9).alias("d"))
 
 
+_PARTS = [("v1", "q1", 0.5, 0), ("v2", "q2", 0.3, 20), ("v3", "q3", 0.2, 40)]
+
+
+def _indices(spark, sf_dir):
+    """Rows and queries with three vectors each, which three indices hold, the pairs of columns, and the weighted score."""
+    cut = lambda c, at: V.part(F.col(c), at, 24 if at == 40 else 20)
+    rows = base(spark, sf_dir).select("id", *(cut("v", at).alias(v) for v, _, _, at in _PARTS))
+    queries = stated_queries(spark, sf_dir).select("qid", *(cut("q", at).alias(q) for _, q, _, at in _PARTS))
+    score = lambda d: F.lit(0.5) * d[0] + F.lit(0.3) * d[1] + F.lit(0.2) * d[2]
+    return rows, queries, [(v, q) for v, q, _, _ in _PARTS], score
+
+
+_IN_PARTS = ", ".join(f"{S.l2(f'v[{at + 1}:{44 if at == 40 else at + 20}]', f'q[{at + 1}:{44 if at == 40 else at + 20}]')} AS d{i}".replace(":44]", ":64]") for i, (_, _, _, at) in enumerate(_PARTS))
+_ROUNDS = f"""
+    WITH s AS (SELECT qid, id, {_IN_PARTS} FROM {S.BASE}, {S.QUERIES}),
+    r AS (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY qid ORDER BY d{i}, id) AS r{i}" for i in range(3))} FROM s),
+    m AS (SELECT qid, id, 0.5::double * d0 + 0.3::double * d1 + 0.2::double * d2 AS d FROM r WHERE least(r0, r1, r2) <= 12)
+    SELECT qid, rank, id, round(d, 9) AS d FROM ({S.top('SELECT * FROM m', 10)})"""
+
+
+@query("multi_index_rounds", _ROUNDS)
+def multi_index_rounds(spark, sf_dir):
+    """Twelve rounds over three indices, each of which gives one row a round; what was met is ranked by the weighted score."""
+    rows, queries, columns, score = _indices(spark, sf_dir)
+    return multiscan.fixed_rounds(rows, queries, columns, score, 10, 12).withColumn("d", F.round("d", 9))
+
+
+@query("multi_index_scan")
+def multi_index_scan(spark, sf_dir):
+    """The same indices in turn until 40 rows in a row don't get in, or 400 have been seen."""
+    rows, queries, columns, score = _indices(spark, sf_dir)
+    return multiscan.multi_index_scan(rows, queries, columns, score, 10, 40, 400)
+
+
 @query("mips_as_l2", f"SELECT qid, id FROM ({_top('true', d=f'-({S.ip("v", "q")})')})")
 def mips_as_l2(spark, sf_dir):
     """Largest inner products as nearest neighbours of augmented vectors: the same rows."""

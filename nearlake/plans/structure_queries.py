@@ -6,12 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.functions import vectors as V
+from nearlake.operators import frontier as X
 from nearlake.operators import graph as G
 from nearlake.operators import inverted as I
 from nearlake.operators import partition as P
 from nearlake.operators import quantize as Q
 from nearlake.operators.knn import knn, scored_pairs, top_k
 from nearlake.operators.measures import share_of
+from nearlake.operators.tables import settled
 from nearlake.plans import sql as S
 from nearlake.plans.inputs import base, centroids, stated_queries
 from nearlake.plans.registry import query
@@ -419,12 +421,42 @@ def grown_pages(spark, sf_dir):
     return G.pages_by_growth(_graph(spark, sf_dir), nodes, 8, 1)
 
 
+def _searchable(spark, sf_dir):
+    """Rows, stated queries, a pruned graph with its reverse edges, and seeds."""
+    rows, queries = base(spark, sf_dir), stated_queries(spark, sf_dir)
+    edges = settled(G.both_ways(G.pruned(G.knn_graph(rows, 20), rows, 8)))
+    return rows, queries, edges, X.head_seeds(rows, queries)
+
+
 @query("graph_beam_search")
 def graph_beam_search(spark, sf_dir):
-    """Results of a traversal of each shard's graph, merged."""
-    rows = P.nearest_centroids(base(spark, sf_dir), centroids(spark, sf_dir, 500)).withColumnRenamed("cid", "shard").select("shard", "id", "v")
-    edges = G.both_ways(G.pruned(G.knn_graph(rows, 20), rows, 8))
-    return G.beam_search(edges, rows, stated_queries(spark, sf_dir), 0, 10, 60)
+    """Best-first search of one graph by all queries at once, a round of joins for every eight expansions."""
+    rows, queries, edges, seeds = _searchable(spark, sf_dir)
+    return X.frontier_search(edges, rows, queries, seeds, 10, 60, 8)
+
+
+@query("graph_search_with_max_check")
+def graph_search_with_max_check(spark, sf_dir):
+    """As above, but a query stops once 100 rows have been compared with it."""
+    rows, queries, edges, seeds = _searchable(spark, sf_dir)
+    return X.frontier_search(edges, rows, queries, seeds, 10, 60, 8, 100)
+
+
+@query("resumed_graph_search")
+def resumed_graph_search(spark, sf_dir):
+    """A search of width 20 whose state is then deepened to 60: no pair is scored again."""
+    rows, queries, edges, seeds = _searchable(spark, sf_dir)
+    near = settled(X.neighbours(edges))
+    first = X.deepen(X.start(rows, queries, seeds), rows, near, 20, 8)
+    return X.nearest_of(X.deepen(first, rows, near, 60, 8), 10)
+
+
+@query("inserted_graph")
+def inserted_graph(spark, sf_dir):
+    """The graph of a quarter of the rows, into which the others are inserted in two batches, the second twice as large."""
+    rows = base(spark, sf_dir).select("id", "v")
+    turn = F.pmod(F.xxhash64("id"), F.lit(4))
+    return X.grow_graph(rows, turn == 0, F.when(turn == 1, 0).otherwise(1), 2, 10, 32, beam=8).select("src", "dst")
 
 
 @query("two_hop_repair", f"WITH g AS ({_GRAPH}), kept AS (SELECT src, dst FROM g WHERE src % 10 <> 0 AND dst % 10 <> 0), hop AS (SELECT a.src, b.dst FROM g a JOIN g b ON a.dst = b.src WHERE a.dst % 10 = 0 AND a.src % 10 <> 0 AND b.dst % 10 <> 0 AND a.src <> b.dst) SELECT src, dst FROM kept UNION SELECT src, dst FROM hop")
