@@ -58,11 +58,13 @@ def stitched(rows: DataFrame, k: int, degree: int, alpha: float = 1.2) -> DataFr
 
 def levels(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, level): least number of steps from the start ids, up to ``depth``."""
+    edges = settled(edges.select("src", "dst"))
     reached = start.select("id", F.lit(0).alias("level"))
     frontier = reached
     for step in range(1, depth + 1):
         next_ids = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = next_ids.join(reached.select("id"), "id", "left_anti").withColumn("level", F.lit(step))
+        # settled, as the next step reads it twice
+        frontier = settled(next_ids.join(reached.select("id"), "id", "left_anti").withColumn("level", F.lit(step)))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -73,7 +75,7 @@ def medoid(rows: DataFrame, by: str | None = None) -> DataFrame:
 
     keyed = rows.withColumn("__k", F.col(by) if by else F.lit(0))
     means = mean_vectors(keyed, "__k").select("__k", "c")
-    near = keyed.join(F.broadcast(means), "__k").groupBy("__k").agg(F.min(F.struct(F.round(l2(F.col("v"), F.col("c")), 9).alias("d"), F.col("id").alias("id")))["id"].alias("id"))
+    near = keyed.join(means if by else F.broadcast(means), "__k").groupBy("__k").agg(F.min(F.struct(F.round(l2(F.col("v"), F.col("c")), 9).alias("d"), F.col("id").alias("id")))["id"].alias("id"))
     return near.select(F.col("__k").alias(by), "id") if by else near.select("id")
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearlake.functions.vectors import l2
-from nearlake.operators.knn import top_k
-from nearlake.operators.partition import nearest_centroids
+from nearlake.functions.vectors import doubles, l2
+from nearlake.operators.knn import folded, top_k
+from nearlake.operators.partition import CENTROID_BLOCK, nearest_array, nearest_centroids
 from nearlake.operators.tables import settled
 
 
@@ -24,6 +27,53 @@ def postings(rows: DataFrame, heads: DataFrame, replicas: int = 8, limit: int |
     return placed if limit is None else top_k(placed, limit, "cid", ("cd", "id")).drop("rank")
 
 
+def spread_postings(rows: DataFrame, heads: DataFrame, replicas: int = 8, candidates: int = 32, factor: float = 1.0, limit: int | None = None) -> DataFrame:
+    """(cid, id, cd): each row in the lists of at most ``replicas`` heads that lie in different directions from it.
+
+    Of the ``candidates`` nearest heads, nearest first, one is dropped if ``factor`` times its distance to a kept one is no
+    more than its distance to the row: that row is found by way of the kept head. Of a list the nearest ``limit``
+    rows stay. Heads' vectors are looked up in the broadcast heads; where these are more than a block, they are joined.
+    """
+    if not 1 <= replicas <= candidates:
+        raise ValueError("replicas must be from 1 to the number of candidates")
+    heads = heads.select(F.col("cid").cast("long").alias("cid"), doubles(F.col("c")).alias("c")).where("cid IS NOT NULL AND c IS NOT NULL")
+    near = nearest_array(rows.select("id", "v"), heads, candidates).select("id", "__near")
+    if heads.count() <= CENTROID_BLOCK:
+        got = heads.orderBy("cid").toArrow().combine_chunks()
+        held = rows.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), list(got.column(1).to_pylist())))
+    else:
+        each = near.select("id", F.inline("__near")).join(heads, "cid").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", "cid", "c"))).alias("__near"))
+        near, held = each.select("id", F.transform("__near", lambda x: F.struct(x["d"].alias("d"), x["cid"].alias("cid"))).alias("__near"), F.transform("__near", lambda x: x["c"]).alias("__c")), None
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            lists = batch.column(1).to_pylist()
+            for i, (own, found) in enumerate(zip(ids, lists)):
+                d, cid = np.array([x["d"] for x in found]), np.array([x["cid"] for x in found], np.int64)
+                if held is None:
+                    c = np.array(batch.column(2)[i].as_py(), float)
+                else:
+                    names, vectors = held.value
+                    c = np.array([vectors[at] for at in np.searchsorted(names, cid)], float)
+                out += [(int(cid[j]), own, float(d[j])) for j in unoccluded(d, c, replicas, factor)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["cid", "id", "cd"])
+
+    placed = near.mapInArrow(choose, "cid long, id long, cd double")
+    return placed if limit is None else top_k(placed, limit, "cid", ("cd", "id")).drop("rank")
+
+
+def unoccluded(d: np.ndarray, c: np.ndarray, most: int, factor: float) -> list[int]:
+    """The places of the heads c, in order of their distances d, that no kept one occludes."""
+    kept: list[int] = []
+    for j in range(len(d)):
+        if len(kept) == most:
+            break
+        if not kept or (factor * folded(c[kept], np.broadcast_to(c[j], (len(kept), c.shape[1]))) > d[j]).all():
+            kept.append(j)
+    return kept
+
+
 def probes(queries: DataFrame, heads: DataFrame, n: int, max_ratio: float = 10_000.0) -> DataFrame:
     """(qid, cid, hd): the n nearest heads of each query, none farther than ``max_ratio`` times the nearest.
 

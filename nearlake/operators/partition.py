@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearlake.functions.sampling import in_sample
 from nearlake.functions.vectors import doubles, l2
-from nearlake.operators.knn import scored_pairs
+from nearlake.operators.knn import by_length, nearest_pairs, scored_pairs
+from nearlake.operators.tables import settled
 
-#: Centroids are broadcast; there may be at most this many.
-MAX_CENTROIDS = 65_536
+#: Centroids that are broadcast at once.
+CENTROID_BLOCK = 65_536
+
+#: The driver moves at most so many centroids in Lloyd's iterations.
+MAX_CENTROIDS = 1_048_576
+
+NEAR = "array<struct<d: double, cid: long>>"
 
 
 def natural_split(rows: DataFrame, n_shards: int, key: str = "id") -> DataFrame:
@@ -52,21 +62,63 @@ def with_places(rows: DataFrame, key: str = "id", name: str = "place") -> DataFr
 
 
 def nearest_centroids(rows: DataFrame, centroids: DataFrame, k: int = 1) -> DataFrame:
-    """Adds rank, cid and cd: each row with its k nearest centroids, k rows each.
+    """Adds rank, cid and cd: each row with its k nearest centroids (cid, c), k rows each.
 
-    The centroids (cid, c), at most MAX_CENTROIDS, are broadcast as one array; ranking happens
-    within the row, so nothing is shuffled.
+    Distances come from matrix products over Arrow batches and are then folded exactly, as in ``knn``.
+    Centroids are broadcast in blocks of ``CENTROID_BLOCK``, so what a task holds doesn't grow with their number: each
+    block takes one pass over the rows, which carry their k nearest so far; nothing is shuffled. More
+    than one pass is written between passes. Rows without a vector or of another length, or with a null component, are left out.
     """
-    n = centroids.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"{n} centroids; at most {MAX_CENTROIDS} can be broadcast")
-    held = centroids.agg(F.sort_array(F.collect_list(F.struct("cid", "c"))).alias("__cs"))
-    nearest = F.slice(F.sort_array(F.transform("__cs", lambda x: F.struct(l2(F.col("v"), x["c"]).alias("d"), x["cid"].alias("cid")))), 1, k)
-    found = rows.crossJoin(F.broadcast(held)).withColumn("__near", nearest)
-    # the outer form, as Spark would compute the array a second time to leave out empty ones
-    return found.select(*rows.columns, F.posexplode_outer("__near").alias("rank", "__one")).where("rank IS NOT NULL").select(
-        *rows.columns, (F.col("rank") + 1).alias("rank"), F.col("__one.cid").alias("cid"), F.col("__one.d").alias("cd")
-    )
+    return ranked_centroids(rows, nearest_array(rows, centroids, k))
+
+
+def ranked_centroids(rows: DataFrame, near: DataFrame) -> DataFrame:
+    found = near.select(*rows.columns, F.posexplode("__near").alias("rank", "__one"))
+    return found.select(*rows.columns, (F.col("rank") + 1).alias("rank"), F.col("__one.cid").alias("cid"), F.col("__one.d").alias("cd"))
+
+
+def nearest_array(rows: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
+    """Adds __near: the k nearest centroids of each row as an array of (d, cid), nearest first."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    spark = rows.sparkSession
+    kept = centroids.select(F.col("cid").cast("long").alias("cid"), doubles(F.col("c")).alias("c")).where("cid IS NOT NULL AND c IS NOT NULL")
+    n_blocks = max(1, -(-kept.count() // CENTROID_BLOCK))
+    near = rows.withColumn("__near", F.array().cast(NEAR))
+    for i in range(n_blocks):
+        some = kept if n_blocks == 1 else kept.where(F.pmod(F.xxhash64("cid"), F.lit(n_blocks)) == i)
+        got = some.toArrow()  # at most about a block
+        lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (got.column(0), got.column(1))]
+        held = spark.sparkContext.broadcast({n: x for n, *x in by_length(lists[0].to_numpy(), lists[1])} if got.num_rows else {})
+        schema = T.StructType([f for f in near.schema if f.name != "__near"] + [near.schema["__near"]])
+
+        def nearest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            books = held.value
+            step = max(16, (1 << 21) // max([1, *(len(ids) for ids, _ in books.values())]))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    parts = [nearest_pairs(own, v, *books[n], k, False) for n, own, v in by_length(np.arange(batch.num_rows), batch.column(0)) if n in books]
+                    row, cid, d = (np.concatenate([p[j] for p in parts] or [np.zeros(0, np.int64)]) for j in range(3))
+                    before = batch.column(batch.num_columns - 1)
+                    seen = np.repeat(np.arange(batch.num_rows), before.value_lengths().to_numpy(zero_copy_only=False))
+                    if len(seen):
+                        row = np.concatenate([row, seen])
+                        cid = np.concatenate([cid, before.flatten().field("cid").to_numpy(zero_copy_only=False)])
+                        d = np.concatenate([d, before.flatten().field("d").to_numpy(zero_copy_only=False)])
+                    order = np.lexsort((cid, d, row))
+                    row, cid, d = row[order], cid[order], d[order]
+                    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, cid, d = row[first], cid[first], d[first]
+                    ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                    pairs = pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(cid, pa.int64())], ["d", "cid"])
+                    columns = [*batch.columns[1:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+                    yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+
+        near = near.select(doubles(F.col("v")).alias("__x"), *rows.columns, "__near").where("__x IS NOT NULL").mapInArrow(nearest, schema)
+        if n_blocks > 1:
+            near = settled(near)
+    return near
 
 
 def mean_vectors(assigned: DataFrame, key: str = "cid", digits: int = 9) -> DataFrame:
@@ -83,6 +135,8 @@ def lloyd(rows: DataFrame, centroids: DataFrame, steps: int = 10, tolerance: flo
     MAX_CENTROIDS. A centroid without rows stays where it is.
     """
     spark, schema = rows.sparkSession, "cid long, c array<double>"
+    if centroids.count() > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
     now, last = centroids.select("cid", doubles(F.col("c")).alias("c")), None
     for _ in range(steps):
         assigned = nearest_centroids(rows, now).select("cid", "v", "cd")

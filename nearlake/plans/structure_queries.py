@@ -11,6 +11,7 @@ from nearlake.operators import graph as G
 from nearlake.operators import inverted as I
 from nearlake.operators import partition as P
 from nearlake.operators import quantize as Q
+from nearlake.operators import trees as T
 from nearlake.operators.knn import knn, scored_pairs, top_k
 from nearlake.operators.measures import share_of
 from nearlake.operators.tables import settled
@@ -86,6 +87,13 @@ def segment_tree_split(spark, sf_dir):
     return P.split_at_middle(means, "m").select("id", "left")
 
 
+@query("segment_tree_search", S.KNN10)
+def segment_tree_search(spark, sf_dir):
+    """Exact search by a tree over eight segments, five levels deep, and the bounds of its leaves."""
+    leaves = T.segment_tree(base(spark, sf_dir).select("id", "v"), 8, 8, 5)
+    return T.segment_search(leaves, stated_queries(spark, sf_dir), 8, 8, 10, 2)
+
+
 @query("dimension_variances", "SELECT i, round(var_pop(x), 6) AS var, round(avg(x), 6) AS mean FROM (SELECT unnest(embedding)::double AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY i ORDER BY var DESC, i LIMIT 5")
 def dimension_variances(spark, sf_dir):
     """The five dimensions with the largest variance, from which a tree's split is drawn."""
@@ -307,6 +315,25 @@ def limited_postings(spark, sf_dir):
     return I.postings(base(spark, sf_dir), centroids(spark, sf_dir), 2, 30).select("cid", "id")
 
 
+_SPREAD = f"""WITH RECURSIVE n AS (SELECT n.*, c.embedding AS c FROM ({_nearest(8)}) n JOIN embeddings c ON c.vec_id = n.cid),
+    o AS (SELECT b.id, b.rank, list(a.cid) AS by FROM n a JOIN n b ON a.id = b.id AND a.rank < b.rank WHERE {S.l2('a.c', 'b.c')} <= b.cd GROUP BY b.id, b.rank),
+    f(id, rank, kept) AS (SELECT vec_id, 0::bigint, []::bigint[] FROM embeddings UNION ALL SELECT f.id, n.rank, CASE WHEN len(f.kept) < 4 AND NOT list_has_any(f.kept, coalesce(o.by, []::bigint[])) THEN list_append(f.kept, n.cid) ELSE f.kept END
+        FROM f JOIN n ON n.id = f.id AND n.rank = f.rank + 1 LEFT JOIN o ON o.id = n.id AND o.rank = n.rank)
+    SELECT id, unnest(kept) AS cid FROM f WHERE rank = (SELECT max(rank) FROM n)"""
+
+
+@query("spread_postings", _SPREAD)
+def spread_postings(spark, sf_dir):
+    """Each row in the lists of up to four heads of its nearest eight, none of which another one hides."""
+    return I.spread_postings(base(spark, sf_dir), centroids(spark, sf_dir), 4, 8).select("id", "cid")
+
+
+@query("heads_by_ratio")
+def heads_by_ratio(spark, sf_dir):
+    """A fifth of the rows as heads, from a tree whose largest leaves are split first."""
+    return T.heads_by_ratio(base(spark, sf_dir)).select("cid")
+
+
 @query("head_ratio_pruning", f"WITH n AS ({_nearest(8, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)')}) SELECT id AS qid, cid FROM (SELECT *, min(cd) OVER (PARTITION BY id) AS m FROM n) WHERE 1.1 * m <= 0.1 OR cd <= 1.1 * m")
 def head_ratio_pruning(spark, sf_dir):
     return I.probes(stated_queries(spark, sf_dir), centroids(spark, sf_dir), 8, 1.1).select("qid", "cid")
