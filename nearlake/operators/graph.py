@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.functions.vectors import l2
-from nearlake.operators.knn import knn_by_matrix
+from nearlake.operators.knn import knn_by_matrix, top_k
+from nearlake.operators.partition import with_places
 from nearlake.operators.tables import settled
 
 
@@ -48,14 +51,39 @@ def pruned(candidates: DataFrame, rows: DataFrame, degree: int, alpha: float = 1
 
 
 def stitched(rows: DataFrame, k: int, degree: int, alpha: float = 1.2) -> DataFrame:
-    """Graph of rows with labels: k nearest others within each label, united, then pruned."""
-    a = rows.select(F.col("id").alias("src"), F.col("v").alias("sv"), "label")
-    b = rows.select(F.col("id").alias("dst"), F.col("v").alias("dv"), "label")
-    pairs = a.join(b, "label").where("src <> dst").select("src", "dst", l2(F.col("sv"), F.col("dv")).alias("d")).distinct()
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("d", "dst"))).where(F.col("r") <= k).drop("r")
+    """Graph of rows with labels: k nearest others within each label, united, then pruned.
+
+    Each label's rows are searched by matrix products, block by block, so no label is joined with itself; labels
+    come to the driver, as many as there are. Rows without a label are in no graph of a label.
+    """
+    kept = settled(rows.select("id", "v", "label"))
+    labels = [r[0] for r in kept.select("label").distinct().where("label IS NOT NULL").orderBy("label").collect()]
+    parts = [knn_graph(kept.where(F.col("label") == x), k) for x in labels]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "src long, dst long, d double")
+    near = reduce(DataFrame.unionByName, parts)
+    near = near.groupBy("src", "dst").agg(F.min("d").alias("d"))
+    near = top_k(near, k, "src", ("d", "dst")).drop("rank")
     return pruned(near, rows, degree, alpha)
 
 
+def local_ids(members: DataFrame) -> DataFrame:
+    """(shard, local, id): the rows (shard, id) of each shard numbered from 0 in order of their ids, by prefix sums over ranges."""
+    placed = settled(with_places(members.select(F.struct("shard", "id").alias("key")), "key"))
+    starts = placed.groupBy(F.col("key.shard").alias("shard")).agg(F.min("place").alias("start"))  # a row per shard
+    return placed.select("key.shard", "key.id", "place").join(starts, "shard").select("shard", (F.col("place") - F.col("start")).alias("local"), "id")
+
+
+def merged_shard_graphs(edges: DataFrame, ids: DataFrame, degree: int) -> DataFrame:
+    """(src, dst, d): graphs of shards that may share rows as one. edges has (shard, src, dst, d) in local ids, ids (shard, local, id).
+
+    An edge that several shards have counts once; of a node's edges the ``degree`` nearest stay, ties to the smaller id.
+    """
+    named = edges.join(ids.select("shard", F.col("local").alias("src"), F.col("id").alias("from")), ["shard", "src"]).join(ids.select("shard", F.col("local").alias("dst"), F.col("id").alias("to")), ["shard", "dst"])
+    once = named.where(F.col("from") != F.col("to")).groupBy(F.col("from").alias("src"), F.col("to").alias("dst")).agg(F.min("d").alias("d"))
+    return top_k(once, degree, "src", ("d", "dst")).select("src", "dst", "d")
+
+
 def levels(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, level): least number of steps from the start ids, up to ``depth``."""
     edges = settled(edges.select("src", "dst"))

@@ -51,6 +51,26 @@ def recall_by_distance(truth: DataFrame, results: DataFrame, k: int, slack: floa
     return by.agg(F.round(F.avg(share), 9).alias("mean"), F.round(F.stddev_pop(share), 9).alias("std"))
 
 
+def recall_by_slot(truth: DataFrame, results: DataFrame, k: int, slack: float = 1e-6) -> DataFrame:
+    """(qid, hits, recall): each of the first k results answers for one truth row at most.
+
+    Truth rows are taken in order of their ids; each takes the first result left that has its id, or whose distance d differs from
+    its own by less than slack * (d + slack). Recall is hits over the truth rows of the query; a query without results gets 0.
+    """
+    wanted = truth.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("id", "d"))).alias("truth"))
+    slots = results.where(F.col("rank") <= k).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "d"))).alias("slots"))
+
+    def take(s: Column, t: Column) -> Column:
+        fits = F.transform(s["left"], lambda x: F.coalesce((x["id"] == t["id"]) | (F.abs(x["d"] - t["d"]) < slack * (x["d"] + slack)), F.lit(False)))
+        at = F.array_position(fits, F.lit(True)).cast("int")
+        rest = F.concat(F.slice(s["left"], F.lit(1), at - 1), F.slice(s["left"], at + 1, F.size(s["left"])))
+        return F.when(at > 0, F.struct((s["hits"] + 1).alias("hits"), rest.alias("left"))).otherwise(F.struct(s["hits"].alias("hits"), s["left"].alias("left")))
+
+    begin = F.struct(F.lit(0).alias("hits"), F.coalesce("slots", F.expr("array()").cast("array<struct<rank: int, id: bigint, d: double>>")).alias("left"))
+    hits = F.aggregate("truth", begin, take, lambda s: s["hits"])
+    return wanted.join(slots, "qid", "left").select("qid", hits.alias("hits"), (hits / F.size("truth")).alias("recall"))
+
+
 def nearest_rank(rows: DataFrame, value: str, fractions: list[float], by: str | None = None) -> DataFrame:
     """Percentiles that are values of the data: the one at place floor(p * n) in order, from 0.
 

@@ -162,6 +162,12 @@ def recall_by_distance(spark, sf_dir):
     return M.recall_by_distance(_truth(spark, sf_dir), _poorer(spark, sf_dir), 10)
 
 
+@query("recall_by_slot", f"WITH t AS ({S.KNN10}), r AS ({_ODD}) SELECT t.qid, count(r.id)::int AS hits, count(r.id) / 10.0::double AS recall FROM t LEFT JOIN r ON t.qid = r.qid AND t.id = r.id GROUP BY t.qid")
+def recall_by_slot(spark, sf_dir):
+    """Each result answers for one true neighbour at most; no distances of these rows are within the slack."""
+    return M.recall_by_slot(_truth(spark, sf_dir), _poorer(spark, sf_dir), 10, 1e-12)
+
+
 @query("mean_reciprocal_rank", f"WITH t AS ({S.KNN10}), r AS ({_ODD}), b AS (SELECT qid, min(r.rank) AS best FROM r JOIN t USING (qid, id) GROUP BY qid) SELECT round(avg(coalesce(1.0::double / best, 0)), 9) AS mrr FROM (SELECT DISTINCT qid FROM t) LEFT JOIN b USING (qid)")
 def mean_reciprocal_rank(spark, sf_dir):
     return M.reciprocal_rank(_truth(spark, sf_dir), _poorer(spark, sf_dir))

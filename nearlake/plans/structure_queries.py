@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.functions import vectors as V
+from nearlake.operators import clusters as C
 from nearlake.operators import frontier as X
 from nearlake.operators import graph as G
 from nearlake.operators import inverted as I
@@ -70,6 +71,19 @@ def kmeans_residual(spark, sf_dir):
     return total(start).withColumn("stage", F.lit("start")).unionByName(total(end).withColumn("stage", F.lit("end")))
 
 
+@query("kmeans_plus_plus")
+def kmeans_plus_plus(spark, sf_dir):
+    """Twelve centroids drawn by squared distances, the best of 15 starts."""
+    return C.plus_plus(base(spark, sf_dir), 12)
+
+
+@query("fitting_partition")
+def fitting_partition(spark, sf_dir):
+    """Parts of at most an eighth of the rows each."""
+    rows = base(spark, sf_dir)
+    return C.fitting_partition(rows, max(1, rows.count() // 8))
+
+
 @query("residual_vectors", f"SELECT a.id, list_transform(list_zip(e.embedding, c.embedding), lambda z: z[1]::double - z[2]::double) AS r FROM ({_nearest(1)}) a JOIN embeddings e ON e.vec_id = a.id JOIN embeddings c ON c.vec_id = a.cid")
 def residual_vectors(spark, sf_dir):
     return P.residuals(P.nearest_centroids(base(spark, sf_dir), centroids(spark, sf_dir)), centroids(spark, sf_dir)).select("id", "r")
@@ -279,13 +293,27 @@ def trained_codebook_error(spark, sf_dir):
     return rows.join(back, "id").agg(F.avg(V.l2(F.col("v"), F.col("w"))).alias("error"))
 
 
+def _centers(spark, sf_dir, k):
+    """Centers of all rows: a start by squared distances, then five steps of Lloyd's."""
+    rows = base(spark, sf_dir)
+    return P.lloyd(rows, C.plus_plus(rows, k, 3), 5)
+
+
 @query("rotated_bit_search")
 def rotated_bit_search(spark, sf_dir):
-    """Candidates by estimates from 4-bit codes after a random rotation, ranked exactly."""
-    rows, queries = base(spark, sf_dir), stated_queries(spark, sf_dir)
-    center = P.mean_vectors(rows.withColumn("g", F.lit(0)), "g").first()["c"]
-    d = Q.bit_code_distances(Q.rotated_bit_codes(rows, center, 4), queries, center, 4)
-    return I.rerank(d, rows, queries, 40, 10).select("qid", "rank", "id", "d")
+    """Candidates by estimates from 4-bit codes of what lies between rows and 16 centers, rotated at random; ranked exactly."""
+    rows, queries, centers = base(spark, sf_dir), stated_queries(spark, sf_dir), _centers(spark, sf_dir, 16)
+    near = Q.bit_code_candidates(settled(Q.rotated_bit_codes(rows, centers, 4)), queries, centers, 40, 4)
+    return I.rerank(near, rows, queries, 40, 10).select("qid", "rank", "id", "d")
+
+
+@query("rotated_bit_error")
+def rotated_bit_error(spark, sf_dir):
+    """Mean squared error of rows rebuilt from codes of 1, 4 and 8 bits."""
+    rows, centers = base(spark, sf_dir), _centers(spark, sf_dir, 16)
+    dim = rows.select(F.size("v")).first()[0]
+    error = lambda bits: rows.join(Q.decoded_bit_codes(Q.rotated_bit_codes(rows, centers, bits), centers, dim, bits).toDF("id", "w"), "id").agg(F.lit(bits).alias("bits"), F.avg(V.l2(F.col("v"), F.col("w"))).alias("error"))
+    return error(1).unionByName(error(4)).unionByName(error(8))
 
 
 @query("additive_code_error")
@@ -369,6 +397,22 @@ def knn_graph(spark, sf_dir):
     return _graph(spark, sf_dir).select("src", "dst")
 
 
+_MERGED = f"""WITH m AS (SELECT vec_id AS id, embedding AS v, unnest([vec_id % 4, (vec_id + 1) % 4]) AS shard FROM embeddings),
+    e AS (SELECT src, dst, min(d) AS d FROM (SELECT *, row_number() OVER (PARTITION BY shard, src ORDER BY d, dst) AS n FROM (SELECT a.shard, a.id AS src, b.id AS dst, {S.l2('b.v', 'a.v')} AS d FROM m a JOIN m b ON a.shard = b.shard AND a.id <> b.id)) WHERE n <= 6 GROUP BY src, dst)
+    SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS n FROM e) WHERE n <= 8"""
+
+
+@query("merged_shard_graph", _MERGED)
+def merged_shard_graph(spark, sf_dir):
+    """Four shards, each row in two of them, with graphs in local ids; merged by their id maps, eight edges a node at most."""
+    rows = base(spark, sf_dir).select("id", "v", F.explode(F.array(F.col("id") % 4, (F.col("id") + 1) % 4)).alias("shard"))
+    ids = settled(G.local_ids(rows))
+    local = settled(rows.join(ids, ["shard", "id"]).select("shard", F.col("local").alias("id"), "v"))
+    graphs = [G.knn_graph(local.where(F.col("shard") == i), 6).withColumn("shard", F.lit(i).cast("long")) for i in range(4)]
+    both = graphs[0].unionByName(graphs[1]).unionByName(graphs[2]).unionByName(graphs[3])
+    return G.merged_shard_graphs(both, ids, 8).select("src", "dst")
+
+
 @query("undirected_graph", f"WITH g AS ({_GRAPH}) SELECT src, dst FROM g UNION SELECT dst, src FROM g")
 def undirected_graph(spark, sf_dir):
     return G.both_ways(_graph(spark, sf_dir))
