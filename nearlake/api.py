@@ -63,7 +63,8 @@ class VectorIndex:
             return knn.knn(rows.select("id", "v"), queries, k, self.metric)
         heads, lists = self._inverted()
         queries = queries.select("qid", "q")
-        found = settled(inverted.search(rows, lists, inverted.probes(queries, heads, probes), queries, k).select("qid", "rank", "id", "d"))
+        held = lists if with_deleted and where is None else lists.join(rows.select("id"), "id", "left_semi")
+        found = settled(inverted.search(rows, held, inverted.probes(queries, heads, probes), queries, k, self.replicas).select("qid", "rank", "id", "d"))
         # a query has k rows if it has one of rank k
         lacking = queries.join(found.where(F.col("rank") == k).select("qid"), "qid", "left_anti")
         exact = knn.knn(rows.select("id", "v"), lacking, k)

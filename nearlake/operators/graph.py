@@ -16,10 +16,17 @@ from nearlake.operators.partition import with_places
 from nearlake.operators.tables import settled
 
 
+#: Rows that are broadcast as queries at once.
+GRAPH_BLOCK = 32_768
+
+
 def knn_graph(rows: DataFrame, k: int) -> DataFrame:
-    """(src, dst, d): each row's k nearest others. Rows are queries too, block by block."""
+    """(src, dst, d): each row's k nearest others. Rows are queries too, in blocks of ``GRAPH_BLOCK``, each of which takes a scan.
+
+    Exact, so its work is quadratic; a graph of very many rows grows by insertion (``frontier.grow_graph``).
+    """
     queries = rows.select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    found = knn_by_matrix(rows.select("id", "v"), queries, k, skip_self=True)
+    found = knn_by_matrix(rows.select("id", "v"), queries, k, GRAPH_BLOCK, skip_self=True)
     return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "d")
 
 

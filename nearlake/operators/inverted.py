@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.functions.vectors import doubles, l2
-from nearlake.operators.knn import folded, top_k
+from nearlake.operators.knn import folded, knn_by_group, top_k
 from nearlake.operators.partition import CENTROID_BLOCK, nearest_array, nearest_centroids
 from nearlake.operators.tables import settled
 
@@ -22,8 +22,8 @@ LEAST_LIMIT = 0.1
 
 
 def postings(rows: DataFrame, heads: DataFrame, replicas: int = 8, limit: int | None = None) -> DataFrame:
-    """(cid, id, cd): each row in the lists of its ``replicas`` nearest heads; of a list the nearest ``limit`` stay."""
-    placed = nearest_centroids(rows.select("id", "v"), heads, replicas).select("cid", "id", "cd")
+    """(cid, id, cd, v): each row in the lists of its ``replicas`` nearest heads; of a list the nearest ``limit`` stay."""
+    placed = nearest_centroids(rows.select("id", "v"), heads, replicas).select("cid", "id", "cd", "v")
     return placed if limit is None else top_k(placed, limit, "cid", ("cd", "id")).drop("rank")
 
 
@@ -84,8 +84,19 @@ def probes(queries: DataFrame, heads: DataFrame, n: int, max_ratio: float = 10_0
     return near.withColumn("__m", nearest).where((max_ratio * F.col("__m") <= LEAST_LIMIT) | (F.col("cd") <= max_ratio * F.col("__m"))).select("qid", "cid", F.col("cd").alias("hd"))
 
 
-def search(rows: DataFrame, lists: DataFrame, probed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, id, d): exact ranking of all rows in the probed lists. A row in several lists counts once."""
+def search(rows: DataFrame, lists: DataFrame, probed: DataFrame, queries: DataFrame, k: int, replicas: int | None = None) -> DataFrame:
+    """(qid, rank, id, d): exact ranking of all rows in the probed lists. A row in several lists counts once.
+
+    Lists that hold the vectors (cid, id, v) are scored where they are read: they meet their probes by cid, and of each query
+    the best k * replicas rows, among which k different ones are, go on. Lists of ids alone are joined with the rows.
+    ``replicas`` is how often a row may be in lists; unknown, all repeats are dropped before ranking.
+    """
+    asked = probed.select("cid", "qid").join(queries.select("qid", "q"), "qid")
+    if "v" in lists.columns:
+        near = lists.select("cid", "id", "v").join(asked, "cid").select("qid", "id", l2(F.col("v"), F.col("q")).alias("d"))
+        if replicas:
+            near = top_k(near, k * replicas).drop("rank")
+        return top_k(near.groupBy("qid", "id").agg(F.min("d").alias("d")), k)
     candidates = lists.select("cid", "id").join(probed.select("cid", "qid"), "cid").select("qid", "id").distinct()
     scored = candidates.join(rows.select("id", "v"), "id").join(queries.select("qid", "q"), "qid")
     return top_k(scored.select("qid", "id", l2(F.col("v"), F.col("q")).alias("d")), k)
@@ -98,25 +109,29 @@ def rerank(approximate: DataFrame, rows: DataFrame, queries: DataFrame, first: i
     return top_k(scored.select("qid", "id", l2(F.col("v"), F.col("q")).alias("d")), k)
 
 
-def adaptive_depths(ranked: DataFrame, k: int, start: int, big: int, small: int, end: int, max_rounds: int = 64) -> DataFrame:
+def adaptive_depths(ranked: DataFrame, k: int, start: int, big: int, small: int, end: int) -> DataFrame:
     """(qid, shard, depth) after adaptive rounds over shard rankings (qid, shard, id, d, place from 1).
 
     All shards start at depth ``start``. While a query's depths sum to less than ``end``, shards
     that own some of its best k so far go ``big`` deeper, the others ``small``. Only depths, one
-    number per query and shard, pass from round to round; a query that is done keeps its depths.
+    number per query and shard, pass from round to round; a query that is done keeps its depths. Every round adds
+    ``small`` to each shard at least, which bounds their number; every fourth one is written.
     """
-    shards = ranked.select("qid", "shard").distinct()
-    n = shards.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
-    depth = F.array(F.lit(start))
-    state = shards.select("qid", "shard", depth[0].alias("depth"))
+    if min(big, small) < 1:
+        raise ValueError("big and small must be positive")
+    shards = settled(ranked.select("qid", "shard").distinct())
+    n = shards.groupBy("qid").count().agg(F.min("count")).first()[0] or 0
+    state = shards.select("qid", "shard", F.lit(start).alias("depth"))
     rounds = 0
-    while rounds < max_rounds and n * (start + rounds * small) < end:
+    while n and n * (start + rounds * small) < end:
         seen = ranked.join(state, ["qid", "shard"]).where(F.col("place") <= F.col("depth"))
         own = top_k(seen.select("qid", "shard", "id", "d"), k).select("qid", "shard").distinct().withColumn("own", F.lit(True))
         total = F.sum("depth").over(W.partitionBy("qid"))
         grown = F.when(F.col("total") < end, F.col("depth") + F.when(F.col("own"), big).otherwise(small)).otherwise(F.col("depth"))
         state = state.join(own, ["qid", "shard"], "left").withColumn("total", total).select("qid", "shard", grown.alias("depth"))
         rounds += 1
+        if rounds % 4 == 0:
+            state = settled(state)
     return state
 
 
@@ -138,14 +153,12 @@ def radius_rounds(ranked: DataFrame, k: int, start: int, step: int, capacity: in
     return last.join(beyond, ["qid", "shard"], "left").select("qid", "shard", depth.alias("depth"))
 
 
-def adaptive_search(shards: list[DataFrame], queries: DataFrame, k: int, start: int, big: int, small: int, end: int) -> DataFrame:
-    """Rounds of ``adaptive_depths`` over exact rankings of the shards (id, v), then the best k within the depths."""
-    deepest = end + big
-    scored = [
-        s.crossJoin(F.broadcast(queries)).select("qid", F.lit(i).alias("shard"), "id", l2(F.col("v"), F.col("q")).alias("d")) for i, s in enumerate(shards)
-    ]
-    place = F.row_number().over(W.partitionBy("qid", "shard").orderBy("d", "id"))
-    # every round reads it; it has at most queries x shards x deepest rows
-    ranked = settled(reduce(DataFrame.unionByName, scored).withColumn("place", place).where(F.col("place") <= deepest))
+def adaptive_search(rows: DataFrame, queries: DataFrame, k: int, start: int, big: int, small: int, end: int) -> DataFrame:
+    """Rounds of ``adaptive_depths`` over exact rankings of the shards of rows (shard, id, v), then the best k within the depths.
+
+    All shards are ranked in one scan, as deep as a round can reach.
+    """
+    # every round reads it; it has at most queries x shards x (end + big) rows
+    ranked = settled(knn_by_group(rows, queries, end + big, "shard"))
     depths = adaptive_depths(ranked, k, start, big, small, end)
     return top_k(ranked.join(depths, ["qid", "shard"]).where(F.col("place") <= F.col("depth")), k).select("qid", "rank", "id", "shard", "d")

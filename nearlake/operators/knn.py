@@ -44,13 +44,15 @@ def scored_pairs(base: DataFrame, queries: DataFrame, distance: str = "l2", cond
     base has (id, v), queries (qid, q). Only the stated queries are broadcast, in blocks.
     """
     d = metric(distance)
-    parts = []
-    for some in query_blocks(queries, block):
-        pairs = base.crossJoin(F.broadcast(some))
-        if condition is not None:
-            pairs = pairs.where(condition)
-        parts.append(pairs.withColumn("d", d(F.col("v"), F.col("q"))).drop("v", "q"))
-    return reduce(DataFrame.unionByName, parts)
+    pairs = paired(base, queries, block)
+    if condition is not None:
+        pairs = pairs.where(condition)
+    return pairs.withColumn("d", d(F.col("v"), F.col("q"))).drop("v", "q")
+
+
+def paired(base: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Every base row beside every stated query, which are broadcast in blocks of about ``block`` rows."""
+    return reduce(DataFrame.unionByName, (base.crossJoin(F.broadcast(some)) for some in query_blocks(queries, block)))
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, distance: str = "l2", condition: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
@@ -114,10 +116,15 @@ def nearest_pairs(qids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarra
             one, other = one[fair], other[fair]
         step = max(1, FOLD_AT_ONCE // max(1, q.shape[1]))
         exact = np.concatenate([np.zeros(0), *(folded(q[one[at : at + step]], v[other[at : at + step]]) for at in range(0, len(one), step))])
-    order = np.lexsort((own[other], exact, one))
-    one, other, exact = one[order], other[order], exact[order]
+    return least(qids, own, one, other, exact, k)
+
+
+def least(qids: np.ndarray, own: np.ndarray, one: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, row ids, distances): of pairs (place of a query, place of a row, d) the k least of each query, ties to the smaller id."""
+    order = np.lexsort((own[other], d, one))
+    one, other, d = one[order], other[order], d[order]
     kept = np.arange(len(one)) - np.searchsorted(one, np.arange(len(qids)))[one] < k
-    return qids[one[kept]], own[other[kept]], exact[kept]
+    return qids[one[kept]], own[other[kept]], d[kept]
 
 
 def by_length(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -146,25 +153,47 @@ def knn_by_matrix(base: DataFrame, queries: DataFrame, k: int, block: int = QUER
     """
     if k < 1:
         raise ValueError("k must be positive")
-    parts = []
-    rows_with = base.select(F.col("id").cast("long"), doubles(F.col("v")).alias("v")).where("v IS NOT NULL")
+    found = matrix_pairs(base, queries, k, block, skip_self)
+    return top_k(found.drop("by"), k).select("qid", "rank", "id", "d")
+
+
+def knn_by_group(base: DataFrame, queries: DataFrame, k: int, by: str, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, by, place, id, d): the k nearest rows of each group, such as a shard, to each query; all groups in one scan.
+
+    ``by`` is a column of whole numbers of the base. Each batch keeps k rows per query and group.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    found = matrix_pairs(base, queries, k, block, by=by)
+    place = F.row_number().over(W.partitionBy("qid", "by").orderBy("d", "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("qid", F.col("by").alias(by), "place", "id", "d")
+
+
+def matrix_pairs(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, skip_self: bool = False, by: str | None = None) -> DataFrame:
+    """(qid, by, id, d): of each batch of rows and each group of ``by`` in it the k nearest to each query."""
+    parts, schema = [], "qid long, by long, id long, d double"
+    group = F.col(by).cast("long") if by else F.lit(0).cast("long")
+    rows_with = base.select(F.col("id").cast("long"), doubles(F.col("v")).alias("v"), group.alias("by")).where("v IS NOT NULL AND id IS NOT NULL AND by IS NOT NULL")
     for some in query_blocks(queries, block):
         rows = some.select(F.col("qid").cast("long"), doubles(F.col("q")).alias("q")).where("qid IS NOT NULL AND q IS NOT NULL").collect()  # at most about a block
         if not rows:
             continue
         vectors = pa.array([r[1] for r in rows], pa.list_(pa.float64()))
         held = base.sparkSession.sparkContext.broadcast({n: (ids, q) for n, ids, q in by_length(np.array([r[0] for r in rows], np.int64), vectors)})
+        step = max(64, min(2048, (1 << 23) // len(rows)))
 
-        def nearest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def nearest(batches: Iterator[pa.RecordBatch], held=held, step=step) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    for n, own, v in by_length(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)):
-                        if n in held.value:
-                            found = nearest_pairs(*held.value[n], own, v, k, skip_self)
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["qid", "id", "d"])
-
-        parts.append(rows_with.where("id IS NOT NULL").mapInArrow(nearest, PAIRS))
-    if not parts:
-        return base.sparkSession.createDataFrame([], "qid long, rank int, id long, d double")
-    return top_k(reduce(DataFrame.unionByName, parts), k).select("qid", "rank", "id", "d")
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    groups = batch.column(2).to_numpy()
+                    for n, place, v in by_length(np.arange(batch.num_rows), batch.column(1)):
+                        if n not in held.value:
+                            continue
+                        own, of = batch.column(0).to_numpy()[place], groups[place]
+                        for g in np.unique(of):
+                            qid, id_, d = nearest_pairs(*held.value[n], own[of == g], v[of == g], k, skip_self)
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid, np.full(len(qid), g, np.int64), id_, d)], ["qid", "by", "id", "d"])
+
+        parts.append(rows_with.mapInArrow(nearest, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else base.sparkSession.createDataFrame([], schema)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearlake.operators.tables import settled
+
 
 def truth_with_ties(truth: DataFrame, k: int) -> DataFrame:
     """The first k truth rows (qid, rank, id, d) of each query and all that tie with the k-th."""
@@ -72,25 +74,41 @@ def recall_by_slot(truth: DataFrame, results: DataFrame, k: int, slack: float =
 
 
 def nearest_rank(rows: DataFrame, value: str, fractions: list[float], by: str | None = None) -> DataFrame:
-    """Percentiles that are values of the data: the one at place floor(p * n) in order, from 0.
+    """Percentiles that are values of the data: the one at place floor(p * n) in order, from 0, of all rows or of each group.
 
-    Values are counted first, so the running sums cover distinct values.
+    Values are counted before they are ordered, as many rows may share one; places of the counted ones come from sums over ranges
+    of values, so neither the whole table nor a large group is one task's work. Nulls are left out.
     """
-    groups = [by] if by else []
-    counted = rows.groupBy(*groups, value).agg(F.count("*").alias("__n"))
-    within = W.partitionBy(*groups).orderBy(value)
-    placed = counted.withColumn("__end", F.sum("__n").over(within)).withColumn("__total", F.sum("__n").over(W.partitionBy(*groups)))
-    wanted = placed.withColumn("p", F.explode(F.array(*(F.lit(p) for p in fractions)))).withColumn(
-        "__at", F.least(F.floor(F.col("p") * F.col("__total")), F.col("__total") - 1)
-    )
-    return wanted.where((F.col("__end") - F.col("__n") <= F.col("__at")) & (F.col("__at") < F.col("__end"))).select(*groups, "p", F.col(value).alias("value"))
+    from nearlake.operators.partition import in_ranges
+
+    group = F.col(by) if by else F.lit(0)
+    counted = settled(rows.where(F.col(value).isNotNull()).groupBy(F.struct(group.alias("g"), F.col(value).alias("x")).alias("key")).agg(F.count("*").alias("n")))
+    ranged = in_ranges(counted, "key")
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("__part").agg(F.sum("n").alias("m")).select("__part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))  # a row per range
+    end = F.sum("n").over(W.partitionBy("__part").orderBy("key"))
+    placed = ranged.withColumn("__end", end).join(starts, "__part").select("key.g", "key.x", "n", (F.col("start") + F.col("__end")).alias("end"))
+    placed = settled(placed)
+    groups = placed.groupBy("g").agg(F.sum("n").alias("total"), F.min(F.col("end") - F.col("n")).alias("first"))  # a row per group
+    wanted = groups.select("g", F.explode(F.array(*(F.lit(float(p)) for p in fractions))).alias("p"), "total", "first").withColumn("at", F.col("first") + F.least(F.floor(F.col("p") * F.col("total")), F.col("total") - 1))
+    found = placed.join(wanted.select("g", "p", "at"), "g").where((F.col("end") - F.col("n") <= F.col("at")) & (F.col("at") < F.col("end")))
+    return found.select(*([F.col("g").alias(by)] if by else []), "p", F.col("x").alias("value"))
 
 
 def new_maxima(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """The rows whose y exceeds that of every row with a larger x: a Pareto front. Meant for small tables of settings."""
-    before = W.orderBy(F.col(x).desc(), F.col(y).desc()).rowsBetween(W.unboundedPreceding, -1)
-    best = F.max(y).over(before)
-    return rows.withColumn("__best", best).where(F.col("__best").isNull() | (F.col(y) > F.col("__best"))).drop("__best")
+    """The rows whose y exceeds that of every row with a larger x, and of equal x with a larger y: a Pareto front.
+
+    Rows are dealt to ranges of x; the greatest y of the ranges before one bounds it from below.
+    """
+    from nearlake.operators.partition import in_ranges
+
+    ranged = in_ranges(rows.withColumn("__key", F.struct((-F.col(x)).alias("x"), (-F.col(y)).alias("y"))), "__key")
+    before = W.orderBy("__of").rowsBetween(W.unboundedPreceding, -1)
+    tops = ranged.groupBy(F.col("__part").alias("__of")).agg(F.max(y).alias("__top")).select("__of", F.max("__top").over(before).alias("__before"))  # a row per range
+    within = F.max(y).over(W.partitionBy("__part").orderBy("__key").rowsBetween(W.unboundedPreceding, -1))
+    best = F.greatest("__within", "__before")
+    joined = ranged.withColumn("__within", within).join(tops, F.col("__part") == F.col("__of"))
+    return joined.where(best.isNull() | (F.col(y) > best)).select(*rows.columns)
 
 
 def share_of(rows: DataFrame, key: str, total: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from nearlake.functions.sampling import in_sample
 from nearlake.functions.vectors import doubles, l2
-from nearlake.operators.knn import by_length, nearest_pairs, scored_pairs
+from nearlake.operators.knn import by_length, knn_by_group, nearest_pairs
 from nearlake.operators.tables import settled
 
 #: Centroids that are broadcast at once.
@@ -41,11 +41,11 @@ def natural_split(rows: DataFrame, n_shards: int, key: str = "id") -> DataFrame:
     return placed.withColumn("shard", shard.cast("int")).withColumn("local", place - start).drop("place")
 
 
-def with_places(rows: DataFrame, key: str = "id", name: str = "place") -> DataFrame:
-    """Adds the place of each row in key order, from 0, by prefix sums over ranges of keys.
+def in_ranges(rows: DataFrame, key: str) -> DataFrame:
+    """Adds __part, the number of the range of keys that a row is in.
 
     The ranges' bounds come from a sample by a hash, about 50 keys for each range, so they are the
-    same whenever a part of the plan runs. Only windows within a range see its rows.
+    same whenever a part of the plan runs.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, 50 * parts / max(1, rows.count()))
@@ -53,7 +53,12 @@ def with_places(rows: DataFrame, key: str = "id", name: str = "place") -> DataFr
     numbered = sample.agg(F.sort_array(F.collect_list("__key")).alias("__keys"))
     step = F.greatest(F.lit(1), F.floor(F.size("__keys") / parts).cast("int"))
     bounds = numbered.select(F.filter("__keys", lambda k, i: (i > 0) & (i % step == 0)).alias("__bounds"))
-    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__part", F.size(F.filter("__bounds", lambda b: b <= F.col(key)))).drop("__bounds")
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("__part", F.size(F.filter("__bounds", lambda b: b <= F.col(key)))).drop("__bounds")
+
+
+def with_places(rows: DataFrame, key: str = "id", name: str = "place") -> DataFrame:
+    """Adds the place of each row in key order, from 0, by prefix sums over ranges of keys. Only windows within a range see its rows."""
+    ranged = in_ranges(rows, key)
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     # one row per range
     starts = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
@@ -170,9 +175,7 @@ def search_shards(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     A row found in several shards counts once.
     """
-    pairs = scored_pairs(rows.select("shard", "id", "v"), queries.select("qid", "q"))
-    best = pairs.withColumn("place", F.row_number().over(W.partitionBy("qid", "shard").orderBy("d", "id"))).where(F.col("place") <= k)
-    return merge_shards([best.select("qid", "id", "d")], k)
+    return merge_shards([knn_by_group(rows, queries, k, "shard").select("qid", "id", "d")], k)
 
 
 def split_at_middle(rows: DataFrame, value: str) -> DataFrame:

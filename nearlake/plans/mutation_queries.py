@@ -142,7 +142,9 @@ def memory_cache_by_id(spark, sf_dir):
 def common_filter_points(spark, sf_dir):
     labelled = base(spark, sf_dir).select("id", F.array("label").alias("labels"))
     few, some = labelled.where("id % 20 = 0").select(F.col("id").alias("a"), F.col("labels").alias("la")), labelled.select(F.col("id").alias("b"), F.col("labels").alias("lb"))
-    return some.join(F.broadcast(few), F.arrays_overlap("la", "lb") & (F.col("a") < F.col("b"))).select("a", "b")
+    # by each label on both sides, so points meet by an equal key; a pair that shares several labels counts once
+    a, b = few.select("a", F.explode("la").alias("label")), some.select("b", F.explode("lb").alias("label"))
+    return a.join(b, "label").where("a < b").select("a", "b").distinct()
 
 
 # --- text formats and labels ----------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearlake.functions import vectors as V
 from nearlake.operators import measures as M
 from nearlake.operators import multiscan
-from nearlake.operators.knn import knn, knn_by_matrix, scored_pairs, top_k, within
+from nearlake.operators.knn import knn, knn_by_group, knn_by_matrix, paired, scored_pairs, top_k, within
 from nearlake.plans import sql as S
 from nearlake.plans.inputs import base, stated_queries
 from nearlake.plans.registry import query, table
@@ -82,16 +82,16 @@ def knn_tagged(spark, sf_dir):
 @query("knn_by_parts", S.KNN10)
 def knn_by_parts(spark, sf_dir):
     rows, queries = base(spark, sf_dir), stated_queries(spark, sf_dir)
-    found = [knn(rows.where(F.col("id") % 3 == i), queries, 10).drop("rank") for i in range(3)]
-    return top_k(found[0].unionByName(found[1]).unionByName(found[2]), 10).select("qid", "rank", "id", "d")
+    found = knn_by_group(rows.withColumn("part", F.col("id") % 3), queries, 10, "part")
+    return top_k(found, 10).select("qid", "rank", "id", "d")
 
 
 @query("knn_within_label_groups", f"SELECT qlabel, qid, rank, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM (SELECT a.label AS qlabel, a.vec_id AS qid, b.vec_id AS id, {S.l2('a.embedding', 'b.embedding')} AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 5")
 def knn_within_label_groups(spark, sf_dir):
     rows = base(spark, sf_dir)
     queries = stated_queries(spark, sf_dir)
-    pairs = rows.join(F.broadcast(queries), (F.col("label") == F.col("qlabel")) & (F.col("id") != F.col("qid")))
-    return top_k(pairs.withColumn("d", V.l2(F.col("v"), F.col("q"))), 5).select("qlabel", "qid", "rank", "id")
+    pairs = scored_pairs(rows, queries, condition=(F.col("label") == F.col("qlabel")) & (F.col("id") != F.col("qid")))
+    return top_k(pairs, 5).select("qlabel", "qid", "rank", "id")
 
 
 @query("range_search", f"SELECT qid, id, d FROM ({S.SCORED}) WHERE d <= 1.4")
@@ -243,8 +243,7 @@ def iterator_next_batch(spark, sf_dir):
     """The next five neighbours after a given last one: paging by (d, id), without the earlier pages."""
     rows, queries = base(spark, sf_dir), stated_queries(spark, sf_dir)
     last = knn(rows, queries, 5).where("rank = 5").select("qid", F.col("d").alias("ld"), F.col("id").alias("lid"))
-    pairs = scored_pairs(rows, queries).join(F.broadcast(last), "qid")
-    after = pairs.where((F.col("d") > F.col("ld")) | ((F.col("d") == F.col("ld")) & (F.col("id") > F.col("lid"))))
+    after = scored_pairs(rows, queries.join(last, "qid")).where((F.col("d") > F.col("ld")) | ((F.col("d") == F.col("ld")) & (F.col("id") > F.col("lid"))))
     return top_k(after.select("qid", "id", "d"), 5).select("qid", "id", "d")
 
 
@@ -260,7 +259,7 @@ def multi_index_weighted_sum(spark, sf_dir):
     halves = rows.select("id", V.part(F.col("v"), 0, 32).alias("v1"), V.part(F.col("v"), 32, 32).alias("v2"))
     parts = queries.select("qid", V.part(F.col("q"), 0, 32).alias("q1"), V.part(F.col("q"), 32, 32).alias("q2"))
     score = F.lit(0.7) * V.l2(F.col("v1"), F.col("q1")) + F.lit(0.3) * V.l2(F.col("v2"), F.col("q2"))
-    scored = halves.crossJoin(F.broadcast(parts)).select("qid", "id", score.alias("d"))
+    scored = paired(halves, parts).select("qid", "id", score.alias("d"))
     return top_k(scored, 10).select("qid", "rank", "id", F.round("d", 9).alias("d"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.functions import vectors as V
@@ -13,7 +12,7 @@ from nearlake.operators import inverted as I
 from nearlake.operators import partition as P
 from nearlake.operators import quantize as Q
 from nearlake.operators import trees as T
-from nearlake.operators.knn import knn, scored_pairs, top_k
+from nearlake.operators.knn import knn, knn_by_group, scored_pairs, top_k
 from nearlake.operators.measures import share_of
 from nearlake.operators.tables import settled
 from nearlake.plans import sql as S
@@ -132,8 +131,8 @@ def page_layout(spark, sf_dir):
 _SHARDED = f"SELECT qid, id, d, id % 4 AS shard, row_number() OVER (PARTITION BY qid, id % 4 ORDER BY d, id) AS place FROM ({S.SCORED})"
 
 
-def _shards(spark, sf_dir):
-    return [base(spark, sf_dir).where(F.col("id") % 4 == i) for i in range(4)]
+def _sharded(spark, sf_dir):
+    return base(spark, sf_dir).withColumn("shard", F.col("id") % 4)
 
 
 @query("multi_shard_merge", S.KNN10)
@@ -145,18 +144,13 @@ def multi_shard_merge(spark, sf_dir):
 
 @query("merge_keeping_shard", f"SELECT qid, rank, id, shard FROM ({S.top(_SHARDED.replace('SELECT qid', 'SELECT qid', 1), 10)})")
 def merge_keeping_shard(spark, sf_dir):
-    queries = stated_queries(spark, sf_dir)
-    found = [knn(s, queries, 10).drop("rank").withColumn("shard", F.lit(i)) for i, s in enumerate(_shards(spark, sf_dir))]
-    both = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
-    return top_k(both, 10).select("qid", "rank", "id", "shard")
+    found = knn_by_group(_sharded(spark, sf_dir), stated_queries(spark, sf_dir), 10, "shard")
+    return top_k(found, 10).select("qid", "rank", "id", "shard")
 
 
 @query("aggregator_concatenation", f"SELECT qid, shard, place, id FROM ({_SHARDED}) WHERE place <= 3")
 def aggregator_concatenation(spark, sf_dir):
-    queries = stated_queries(spark, sf_dir)
-    found = [knn(s, queries, 3).withColumn("shard", F.lit(i)) for i, s in enumerate(_shards(spark, sf_dir))]
-    both = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
-    return both.select("qid", "shard", F.col("rank").alias("place"), "id")
+    return knn_by_group(_sharded(spark, sf_dir), stated_queries(spark, sf_dir), 3, "shard").select("qid", "shard", "place", "id")
 
 
 @query("shard_contributions", f"SELECT id % 4 AS shard, count(*) AS n, round(100.0 * count(*) / (SELECT 10 * count(*) FROM embeddings WHERE vec_id % 20 = 0), 6)::double AS percent FROM ({S.KNN10}) GROUP BY id % 4")
@@ -168,7 +162,7 @@ def shard_contributions(spark, sf_dir):
 @query("local_to_global_ids", f"WITH s AS (SELECT vec_id AS id, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS local, vec_id % 4 AS shard FROM embeddings) SELECT k.qid, k.rank, s.shard, s.local, k.id FROM ({S.KNN10}) k JOIN s ON s.id = k.id")
 def local_to_global_ids(spark, sf_dir):
     found = knn(base(spark, sf_dir), stated_queries(spark, sf_dir), 10)
-    ids = base(spark, sf_dir).select("id", (F.col("id") % 4).alias("shard")).withColumn("local", F.row_number().over(W.partitionBy("shard").orderBy("id")) - 1)
+    ids = G.local_ids(_sharded(spark, sf_dir).select("shard", "id"))
     return found.join(ids, "id").select("qid", "rank", "shard", "local", "id")
 
 
@@ -193,7 +187,7 @@ def _adaptive_sql(k: int, start: int, big: int, small: int, end: int, rounds: in
 
 @query("adaptive_multi_shard_search", _adaptive_sql(10, 2, 2, 1, 16, 4))
 def adaptive_multi_shard_search(spark, sf_dir):
-    found = I.adaptive_search(_shards(spark, sf_dir), stated_queries(spark, sf_dir), 10, start=2, big=2, small=1, end=16)
+    found = I.adaptive_search(_sharded(spark, sf_dir), stated_queries(spark, sf_dir), 10, start=2, big=2, small=1, end=16)
     return found.select("qid", "id", "shard")
 
 
@@ -207,9 +201,8 @@ _RADIUS_SQL = f"""WITH r AS ({_SHARDED}), f AS (SELECT * FROM (SELECT qid, d, ro
 @query("radius_scheduled_depths", _RADIUS_SQL)
 def radius_scheduled_depths(spark, sf_dir):
     """How deep each of four shards is read while it gives rows within each query's radius."""
-    rows = base(spark, sf_dir).withColumn("shard", F.col("id") % 4)
-    place = F.row_number().over(W.partitionBy("qid", "shard").orderBy("d", "id"))
-    ranked = scored_pairs(rows, stated_queries(spark, sf_dir)).select("qid", "shard", "id", "d").withColumn("place", place)
+    # a shard is never read beyond the capacity
+    ranked = settled(knn_by_group(_sharded(spark, sf_dir), stated_queries(spark, sf_dir), 25, "shard"))
     return I.radius_rounds(ranked, 5, 3, 2, 25, 1.05)
 
 
@@ -219,12 +212,17 @@ _CHUNKS, _WIDTH = 4, 16
 
 
 def _book(spark, sf_dir):
-    return Q.codebook_from_rows(base(spark, sf_dir).where("id < 16"), _CHUNKS, _WIDTH)
+    """256 centroids a chunk, trained on all rows: the chunks of the rows of the smallest ids, moved once."""
+    return Q.train_codebook(base(spark, sf_dir), _CHUNKS, _WIDTH, Q.CENTROIDS, 1)
 
 
-_PIECE = "embedding[{j} * 16 + 1:{j} * 16 + 16]"
-_CODES = f"""book AS (SELECT vec_id AS code, j, embedding[j * 16 + 1:j * 16 + 16] AS c FROM embeddings, range(0, 4) t(j) WHERE vec_id < 16),
-    near AS (SELECT id, j, code FROM (SELECT e.vec_id AS id, b.j, b.code, row_number() OVER (PARTITION BY e.vec_id, b.j ORDER BY {S.l2('e.embedding[b.j * 16 + 1:b.j * 16 + 16]', 'b.c')}, b.code) AS n FROM embeddings e, book b) WHERE n = 1)"""
+_CHUNK = "e.embedding[b.j * 16 + 1:b.j * 16 + 16]"
+_ASSIGN = f"SELECT id, j, code FROM (SELECT e.vec_id AS id, b.j, b.code, row_number() OVER (PARTITION BY e.vec_id, b.j ORDER BY {S.l2(_CHUNK, 'b.c')}, b.code) AS n FROM embeddings e, {{book}} b) WHERE n = 1"
+_CODES = f"""b0 AS (SELECT code, j, embedding[j * 16 + 1:j * 16 + 16] AS c FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS code FROM embeddings) r, range(0, 4) t(j) WHERE code < 256),
+    n0 AS ({_ASSIGN.format(book='b0')}),
+    m0 AS (SELECT j, code, list(x ORDER BY i) AS c FROM (SELECT j, code, i, round(avg(x), 9) AS x FROM (SELECT n.j, n.code, unnest(e.embedding[n.j * 16 + 1:n.j * 16 + 16])::double AS x, generate_subscripts(e.embedding[n.j * 16 + 1:n.j * 16 + 16], 1) AS i FROM n0 n JOIN embeddings e ON e.vec_id = n.id) GROUP BY j, code, i) GROUP BY j, code),
+    book AS (SELECT b.code, b.j, coalesce(m.c, b.c::double[]) AS c FROM b0 b LEFT JOIN m0 m ON m.j = b.j AND m.code = b.code),
+    near AS ({_ASSIGN.format(book='book')})"""
 
 
 @query("product_codes", f"WITH {_CODES} SELECT id, list(code ORDER BY j) AS codes FROM near GROUP BY id")
@@ -244,15 +242,14 @@ _ADC = f"""adc AS (SELECT q.vec_id AS qid, n.id, list_sum(list({S.l2('q.embeddin
 @query("asymmetric_distance_topk", f"WITH {_CODES}, {_ADC} SELECT qid, rank, id, round(d, 9) AS d FROM ({S.top('SELECT * FROM adc', 10)})")
 def asymmetric_distance_topk(spark, sf_dir):
     book = _book(spark, sf_dir)
-    coded = Q.product_codes(base(spark, sf_dir), book, _WIDTH)
-    d = Q.asymmetric_distances(coded, Q.query_tables(stated_queries(spark, sf_dir), book, _WIDTH))
-    return top_k(d, 10).select("qid", "rank", "id", F.round("d", 9).alias("d"))
+    near = Q.asymmetric_nearest(Q.product_codes(base(spark, sf_dir), book, _WIDTH), stated_queries(spark, sf_dir), book, _WIDTH, 10)
+    return near.select("qid", "rank", "id", F.round("d", 9).alias("d"))
 
 
 @query("symmetric_distance", f"WITH {_CODES} SELECT q.id AS qid, n.id, round(sum({S.l2('a.c', 'b.c')}), 9) AS d FROM near n JOIN near q ON q.j = n.j AND q.id % 20 = 0 JOIN book a ON a.j = n.j AND a.code = n.code JOIN book b ON b.j = q.j AND b.code = q.code GROUP BY q.id, n.id")
 def symmetric_distance(spark, sf_dir):
     book = _book(spark, sf_dir)
-    coded = Q.product_codes(base(spark, sf_dir), book, _WIDTH)
+    coded = settled(Q.product_codes(base(spark, sf_dir), book, _WIDTH))
     few = coded.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("codes").alias("qcodes"))
     return Q.symmetric_distances(coded, few, book).withColumn("d", F.round("d", 9))
 
@@ -261,19 +258,17 @@ def symmetric_distance(spark, sf_dir):
 def two_phase_search(spark, sf_dir):
     """Approximate distances choose forty rows of each query, exact ones rank them."""
     book, queries = _book(spark, sf_dir), stated_queries(spark, sf_dir)
-    coded = Q.product_codes(base(spark, sf_dir), book, _WIDTH)
-    d = Q.asymmetric_distances(coded, Q.query_tables(queries, book, _WIDTH))
-    return I.rerank(d, base(spark, sf_dir), queries, 40, 10).select("qid", "rank", "id", "d")
+    near = Q.asymmetric_nearest(Q.product_codes(base(spark, sf_dir), book, _WIDTH), queries, book, _WIDTH, 40)
+    return I.rerank(near.drop("rank"), base(spark, sf_dir), queries, 40, 10).select("qid", "rank", "id", "d")
 
 
 @query("approximate_prefilter", f"WITH {_CODES}, {_ADC}, best AS ({S.top('SELECT qid, id, d FROM adc', 10)}), w AS (SELECT qid, max(d) AS worst FROM best GROUP BY qid) SELECT a.qid, count(*) AS n FROM adc a JOIN w ON a.qid = w.qid WHERE a.d < w.worst * 1.2 GROUP BY a.qid")
 def approximate_prefilter(spark, sf_dir):
     """Rows whose approximate distance is below 1.2 times that of the tenth best."""
-    book = _book(spark, sf_dir)
-    coded = Q.product_codes(base(spark, sf_dir), book, _WIDTH)
-    d = Q.asymmetric_distances(coded, Q.query_tables(stated_queries(spark, sf_dir), book, _WIDTH))
-    worst = top_k(d, 10).groupBy("qid").agg(F.max("d").alias("worst"))
-    return d.join(F.broadcast(worst), "qid").where(F.col("d") < F.col("worst") * 1.2).groupBy("qid").agg(F.count("*").alias("n"))
+    book, queries = _book(spark, sf_dir), stated_queries(spark, sf_dir)
+    coded = settled(Q.product_codes(base(spark, sf_dir), book, _WIDTH))
+    worst = Q.asymmetric_nearest(coded, queries, book, _WIDTH, 10).groupBy("qid").agg((F.max("d") * 1.2).alias("limit"))
+    return Q.asymmetric_counts(coded, queries.join(worst, "qid"), book, _WIDTH)
 
 
 @query("scalar_codes", """
@@ -288,7 +283,7 @@ def scalar_codes(spark, sf_dir):
 def trained_codebook_error(spark, sf_dir):
     """Mean squared error of a trained product codebook."""
     rows = base(spark, sf_dir)
-    book = Q.train_product_codebook(rows, _CHUNKS, _WIDTH, 64)
+    book = Q.train_codebook(rows, _CHUNKS, _WIDTH)
     back = Q.decoded(Q.product_codes(rows, book, _WIDTH), book).withColumnRenamed("v", "w")
     return rows.join(back, "id").agg(F.avg(V.l2(F.col("v"), F.col("w"))).alias("error"))
 
@@ -335,7 +330,7 @@ _FOUND = f"found AS (SELECT c.qid, c.id, {S.l2('e.embedding', 'q.embedding')} AS
 @query("inverted_list_search", f"WITH {_LISTS}, {_PROBES}, {_FOUND} SELECT qid, rank, id, d FROM ({S.top('SELECT * FROM found', 10)})")
 def inverted_list_search(spark, sf_dir):
     rows, heads, queries = base(spark, sf_dir), centroids(spark, sf_dir), stated_queries(spark, sf_dir)
-    return I.search(rows, I.postings(rows, heads, 2), I.probes(queries, heads, 3), queries, 10).select("qid", "rank", "id", "d")
+    return I.search(rows, I.postings(rows, heads, 2), I.probes(queries, heads, 3), queries, 10, 2).select("qid", "rank", "id", "d")
 
 
 @query("limited_postings", f"WITH {_LISTS} SELECT cid, id FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY cd, id) AS n FROM lists) WHERE n <= 30")
@@ -373,7 +368,7 @@ def page_search(spark, sf_dir):
     rows, queries = base(spark, sf_dir), stated_queries(spark, sf_dir)
     probed = knn(rows, queries, 3).select("qid", F.floor(F.col("id") / 8).alias("page")).distinct()
     paged = rows.withColumn("page", F.floor(F.col("id") / 8))
-    scored = paged.join(F.broadcast(probed), "page").join(F.broadcast(queries), "qid").select("qid", "id", V.l2(F.col("v"), F.col("q")).alias("d"))
+    scored = paged.join(probed, "page").join(queries, "qid").select("qid", "id", V.l2(F.col("v"), F.col("q")).alias("d"))
     return top_k(scored, 10).select("qid", "rank", "id", "d")
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearlake.operators import graph as G
 from nearlake.operators import inverted as I
 from nearlake.operators import trees as T
-from nearlake.operators.knn import knn, scored_pairs
+from nearlake.operators.knn import knn, knn_by_group
 from nearlake.operators.measures import recall
 from nearlake.plans import sql as S
 from nearlake.plans.inputs import base, centroids, stated_queries
@@ -88,9 +87,8 @@ def recall_of_shards(spark, sf_dir):
     """What each of four shards, searched without a fifth of the base, finds of the true neighbours that it holds."""
     rows, queries = base(spark, sf_dir), stated_queries(spark, sf_dir)
     truth = knn(rows, queries, 10).select("qid", "id", (F.col("id") % 4).alias("shard"))
-    searched = scored_pairs(rows.where("id % 5 <> 0").select("id", "v", (F.col("id") % 4).alias("shard")), queries.select("qid", "q"))
-    place = F.row_number().over(W.partitionBy("qid", "shard").orderBy("d", "id"))
-    found = searched.withColumn("place", place).where("place <= 10").select("qid", "id", "shard", F.lit(1).alias("hit"))
+    searched = knn_by_group(rows.where("id % 5 <> 0").withColumn("shard", F.col("id") % 4), queries, 10, "shard")
+    found = searched.select("qid", "id", "shard", F.lit(1).alias("hit"))
     return truth.join(found, ["qid", "id", "shard"], "left").groupBy("shard").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
 
 

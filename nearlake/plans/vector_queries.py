@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nearlake.functions import vectors as V
+from nearlake.operators.knn import paired
 from nearlake.plans import sql as S
 from nearlake.plans.inputs import base, stated_queries
 from nearlake.plans.registry import query
@@ -17,7 +18,7 @@ def _distance(name: str, expression, sql: str) -> None:
 
     @query(name, f"SELECT qid, id, {sql} AS d FROM {_PAIRS} ")
     def run(spark, sf_dir):
-        pairs = base(spark, sf_dir).crossJoin(F.broadcast(stated_queries(spark, sf_dir)))
+        pairs = paired(base(spark, sf_dir), stated_queries(spark, sf_dir))
         return pairs.select("qid", "id", expression(F.col("v"), F.col("q")).alias("d"))
 
 
@@ -60,7 +61,9 @@ _DEV = "round(sqrt(list_sum(list_transform({s}, lambda x: (x::double - list_sum(
 _row("segment_deviations", lambda v: {f"s{i}": F.round(V.deviation(V.part(v, 16 * i, 16)), 9) for i in range(4)}, {f"s{i}": _DEV.format(s=f"embedding[{16 * i + 1}:{16 * i + 16}]") for i in range(4)})
 #: A fixed orthogonal matrix: a rotation by 0.6/0.8 in the first two of four coordinates, the others swapped.
 ROTATION = [[0.6, -0.8, 0.0, 0.0], [0.8, 0.6, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 1.0, 0.0]]
-_row("rotate", lambda v: {f"r{i}": V.matrix_times([row], V.part(v, 0, 4))[0] for i, row in enumerate(ROTATION)}, {f"r{i}": S.ip("embedding[1:4]", f"[{', '.join(f'{x}::double' for x in row)}]") for i, row in enumerate(ROTATION)})
+#: The same in each run of four of 64 coordinates: every vector is rotated whole.
+_TURNS = [(4 * block, f"r{4 * block + i}", row) for block in range(16) for i, row in enumerate(ROTATION)]
+_row("rotate", lambda v: {r: V.matrix_times([row], V.part(v, at, 4))[0] for at, r, row in _TURNS}, {r: S.ip(f"embedding[{at + 1}:{at + 4}]", f"[{', '.join(f'{x}::double' for x in row)}]") for at, r, row in _TURNS})
 _row("full_precision_codes", lambda v: {"v": v}, {"v": "embedding"})
 _row("vector_text", lambda v: {"line": F.concat(F.col("id").cast("string"), F.lit("\t"), F.array_join(F.transform(V.doubles(v), lambda x: F.round(x * 1000).cast("int").cast("string")), "|"))}, {"line": "vec_id::varchar || chr(9) || array_to_string(list_transform(embedding, lambda x: round(x::double * 1000)::int::varchar), '|')"})
 
@@ -85,7 +88,7 @@ def augment_for_inner_product(spark, sf_dir):
 def hamming_of_signs(spark, sf_dir):
     signs = base(spark, sf_dir).select("id", F.transform("v", lambda x: F.when(x > 0, 1).otherwise(0)).alias("s"))
     queries = signs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("s").alias("q"))
-    return signs.crossJoin(F.broadcast(queries)).select("qid", "id", V.hamming(F.col("s"), F.col("q")).alias("d"))
+    return paired(signs, queries).select("qid", "id", V.hamming(F.col("s"), F.col("q")).alias("d"))
 
 
 @query("jaccard_of_large_coordinates", """
@@ -97,7 +100,7 @@ def jaccard_of_large_coordinates(spark, sf_dir):
     places = F.filter(F.transform("v", lambda x, i: F.when(x > 0.15, i + 1)), lambda i: i.isNotNull())
     sets = base(spark, sf_dir).select("id", places.alias("s"))
     queries = sets.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("s").alias("q"))
-    pairs = sets.crossJoin(F.broadcast(queries)).select("qid", "id", V.jaccard(F.col("s"), F.col("q")).alias("d"))
+    pairs = paired(sets, queries).select("qid", "id", V.jaccard(F.col("s"), F.col("q")).alias("d"))
     return pairs.where(F.col("d") < 1 - 1e-5)
 
 
