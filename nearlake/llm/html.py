@@ -29,9 +29,11 @@ BLOCKS = frozenset(
     "p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption address details summary dialog menu center hgroup search".split()
 )
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre li dt dd tr caption figcaption summary".split())
-BOILERPLATE = frozenset("head nav aside footer form fieldset dialog menu search".split())
+BOILERPLATE = frozenset("head nav aside footer menu search".split())
+#: Boilerplate as well, unless the whole page lies in one.
+FORMS = frozenset("form fieldset dialog".split())
 ROOTS = frozenset("html body main article".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar toolbar".split())
 NEGATIVE = re.compile(
     r"(?:^|[-_\s])(?<!\bwith[-_])(?<!\bhas[-_])(?<!\bno[-_])(?<!\bwithout[-_])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|side-?bar\w*|footer\w*|"
     r"cookies?|consent|gdpr|notices?|notification\w*|alerts?|popup\w*|modal\w*|overlay|newsletter|subscri\w*|sign-?up|log-?in|share|sharing|social|"
@@ -71,6 +73,8 @@ class Node:
     in_article: bool
     #: Whether its own class or id is one of boilerplate.
     named: bool = False
+    #: Whether it is a form or a dialog.
+    form: bool = False
     prose: int = 0
     linked: int = 0
 
@@ -106,15 +110,16 @@ def _open(tag: str, source: str, parent: Node) -> Node:
     label = tag + ("." + re.sub(r"\d+", "#", classes[0]) if classes else "")
     in_article = tag in ("article", "main") or parent.in_article
     bad = parent.bad or tag in BOILERPLATE
-    named = False
+    named, form = False, tag in FORMS
     if tag not in ROOTS:
+        form = form or attributes.get("role", "").lower() in ("form", "dialog")
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
         bad = bad or attributes.get("role", "").lower() in ROLES
         bad = bad or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
         bad = bad or not in_article and tag == "header"
         named = bool(NEGATIVE.search(names)) or not in_article and bool(HEADER.search(names))
     path = xxhash.xxh64_intdigest(label.encode("utf-8", "replace"), parent.path) >> 1
-    return Node(tag, path, parent.depth + 1, bad, parent, in_article, named)
+    return Node(tag, path, parent.depth + 1, bad, parent, in_article, named, form)
 
 
 def _add_up(page: Page, prose: Callable[[Block], int], linked: Callable[[Block], int] = lambda b: 0) -> None:
@@ -144,11 +149,26 @@ def _judge(page: Page) -> None:
 
     Layouts are named after their parts, too, so a class or an id doesn't count on an element that
     holds main or the page's longest article, nor on one that holds most of the page's prose if
-    these are missing or in doubt, too, nor where nothing would remain.
+    these are missing or in doubt, too, nor where nothing would remain. Forms and dialogs go, but
+    for those around the whole page, as some frameworks write them: such a one holds main or an article, or
+    where there is neither four fifths of the prose.
     """
     for block in page.blocks:
         block.bad = block.node.bad
     _add_up(page, lambda b: 0 if b.bad else b.prose)
+    if any(n.form for n in page.nodes):
+        around: set[Node] = set()
+        for node in page.nodes:
+            if node.tag in ("main", "article") and node.prose:
+                while node is not None and node not in around:
+                    around.add(node)
+                    node = node.parent
+        total = page.nodes[0].prose
+        whole = lambda n: n in around if around else 5 * n.prose >= 4 * total > 0
+        forms = _within(page, lambda n: n.form and not whole(n))
+        for block in page.blocks:
+            block.bad = block.bad or block.node in forms
+        _add_up(page, lambda b: 0 if b.bad else b.prose)
     total = page.nodes[0].prose
     held = [n for n in page.nodes if n.tag == "main" and n.prose]
     articles = [n for n in page.nodes if n.tag == "article" and n.prose]
