@@ -32,11 +32,12 @@ IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-# Looser patterns: (kind, pattern, what a text must contain to be searched).
+# Looser patterns: (kind, pattern, what a text must contain to be searched). Names, labels and secrets may be of any
+# length; a domain has at most the 127 labels that the domain system allows, an IBAN the 34 characters of its standard.
 LOOSE = (
-    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]{1,63}){1,5}", r"(?i)[\[(]\x20?at\x20?[\])]"),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]++){1,126}", r"(?i)[\[(]\x20?at\x20?[\])]"),
     ("phone", r"(?<![0-9+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
-    ("secret", r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?\x22[^\x22\s]{8,200}\x22", r"[=:]\x20?\x22"),
+    ("secret", r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[=:]\x20?\x22[^\x22\s]{8,}+\x22", r"[=:]\x20?\x22"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
 )

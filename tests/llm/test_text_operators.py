@@ -563,3 +563,23 @@ def test_shots_are_cut_where_the_picture_changes():
     flat = lambda level, n: np.full((n, 64), level, np.uint8)
     _, clips = media.clips_of(media.write_avi(np.concatenate([flat(10, 20), flat(200, 15), flat(90, 5)]).tobytes()))
     assert [c[:4] for c in clips] == [(0, 20, 0, 800), (20, 15, 800, 1400), (35, 5, 1400, 1600)]
+
+
+def test_pages_inside_a_form_keep_their_article(spark):
+    prose_ = "<p>The river runs past the old mill and into the lake, where boats lie in the evening.</p><p>Nobody had seen the bridge since the winter of that year.</p>"
+    want = "The river runs past the old mill and into the lake, where boats lie in the evening.\nNobody had seen the bridge since the winter of that year."
+    around = [
+        f"<body><form id='aspnetForm'>{prose_}</form></body>",
+        f"<body><form><nav><a href='/'>Home</a></nav><main>{prose_}</main><footer>f</footer></form></body>",
+        f"<body><div role='dialog'><article>{prose_}</article></div><form><p>Your mail, please, for our letter of every week</p></form></body>",
+        f"<body><main>{prose_}<form><p>{'Say what you think about it. ' * 40}</p></form></main></body>",
+        f"<body>{prose_}<form><p>Leave your comment</p><input></form></body>",
+    ]
+    pages = spark.createDataFrame([(i, f"https://h{i}.example/a", h) for i, h in enumerate(around)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract_main_text(pages).collect()} == dict.fromkeys(range(len(around)), want)
+
+
+def test_long_secrets_and_names_are_found(spark):
+    texts = [f'token = "{"x1" * 400}" and more', f"{'long.name' * 30} [at] example [dot] org", 'password: "' + "y" * 50_000 + '"', 'key="' * 5_000]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "secret:0:" in found[0] and found[1].startswith("email:0:") and "secret:0:" in found[2] and "secret" not in found[3]
