@@ -144,10 +144,13 @@ def pack_documents(
 
     Every row of ``docs`` is packed, repeated rows and equal ids too. Columns other than
     ``doc_id`` and ``text`` are not read. An empty table gives no rows. ``with_ids`` adds the
-    ids of each piece as little-endian unsigned 32-bit integers.
+    ids of each piece as little-endian unsigned 32-bit integers. There is a task for every ``rows_per_task``
+    pieces that are expected: a document gives one, and another for every 2 * capacity bytes, as tokens have
+    two bytes or more but for rare texts.
     """
     cut = pieces(docs, tokenizer, end_id, capacity, with_ids)
-    return pack(cut, tasks_for(docs.count(), rows_per_task), capacity, open_bins)
+    expected = docs.agg(F.sum(1 + F.floor(F.octet_length(text_of()) / (2 * capacity)))).first()[0] or 0
+    return pack(cut, tasks_for(expected, rows_per_task), capacity, open_bins)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
