@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
 
     A label without a document, or a null label, doesn't count; of repeated labels the largest
     holds. The sample takes the rows whose hash is below a fraction of its range, however small
-    that fraction is. Only hashed terms of its rows come to the driver.
+    that fraction is. Of documents of one id the least text counts, so there is one row for each sampled label
+    however often an id repeats. Only hashed terms of these rows come to the driver.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").cast("double").alias("y"))
     share = min(1.0, max_rows / max(1, known.count()))
@@ -162,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
 
     # The sample is bounded by max_rows, so it may be broadcast.
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("of"))
+    rows = rows.groupBy("of").agg(F.max("y").alias("y"), F.min("text").alias("text"))
     got = rows.select("y", "text").mapInArrow(hashed, "y double, terms array<int>").toArrow()
     parts = got.column("terms").combine_chunks()
     if isinstance(parts, pa.ChunkedArray):
