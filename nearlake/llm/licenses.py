@@ -174,9 +174,11 @@ AROUND = (40, 160)
 NARROW = 20
 #: The longest stretch looked at at once, and the words that two looks share.
 LONGEST, OVERLAP = 1200, 400
-#: Bytes that a template must save to be compared word by word: a third of its own where it is very short.
-LEAST_SAVED = 6
 DIFFERENT = 0.1
+# Words that join licenses in an expression, that stand right before an identifier, and that may stand between a negation and what it denies.
+JOINING = frozenset("and or with".split())
+BEFORE_ID = frozenset("license licence licenses licences licensed spdx-license-identifier".split())
+DENIED = re.compile(r"(?:\b(?:not|never|cannot|nor|neither|no longer)|n't)\s+(?:(?:yet|been|being|be|is|are|made|released|licensed|distributed|available|covered|provided|published|offered|governed|under|by|for|use|as|in|the|terms|of|a|an|any|either)\s+)*$", re.I)
 
 
 @dataclass(frozen=True)
@@ -242,72 +244,177 @@ def _confirmed(template: list[str], missing: tuple[str, ...], added: tuple[str,
     return len(missing) <= allowed and len(added) <= allowed and not any(TELLING.search(w) for w in missing + added)
 
 
-def _search(words: list[str], places: list[tuple[int, int]], out: list[Finding]) -> None:
-    """Findings in a stretch: the best confirmed one, then those before and after it."""
+def _gram(n: int) -> int:
+    """Words in a row that a place has in common with a template of n words wherever the differences stand that are allowed, but for two beside each other in a short one."""
+    return n if n <= 4 else 2 if n < 10 else 3
+
+
+@lru_cache(1)
+def _grams() -> dict[tuple[str, ...], list[tuple[int, int]]]:
+    """From words in a row to (template, place in it)."""
+    out: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for i, (_, words, _) in enumerate(_prepared()):
+        g = _gram(len(words))
+        for at in range(len(words) - g + 1):
+            out.setdefault(tuple(words[at : at + g]), []).append((i, at))
+    return out
+
+
+def _anchors(words: list[str]) -> dict[int, list[tuple[int, int]]]:
+    """For each template (where it would begin, place in it) of the words in a row that it shares."""
+    grams, out = _grams(), {}
+    for g in (2, 3, 4):
+        for at in range(len(words) - g + 1):
+            for i, place in grams.get(tuple(words[at : at + g]), ()):
+                out.setdefault(i, []).append((at - place, place))
+    return out
+
+
+def _windows(n: int, anchors: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The ranges of words where a template of n words may stand: bounded ones, around anchors that agree on its beginning.
+
+    With at most d words missing and d added, all but 2 d * g of its words in a row are found at one place.
+    """
+    g = _gram(n)
+    d = max(1, int(DIFFERENT * n)) if n > 4 else 0
+    anchors.sort()
+    k = 0
+    while k < len(anchors):
+        first, stop, places = anchors[k][0], k, set()
+        while stop < len(anchors) and anchors[stop][0] - first <= 2 * d:
+            places.add(anchors[stop][1])
+            stop += 1
+        if len(places) >= max(1, n - g + 1 - 2 * d * g):
+            yield max(0, first - d - 1), first + n + 3 * d + 1
+        # the next one may begin within this one's slack
+        k = next((j for j in range(k + 1, stop) if anchors[j][0] - first > d), stop)
+
+
+def _search(words: list[str], places: list[tuple[int, int]], out: list[Finding], narrow: bool = True) -> None:
+    """Findings in a look: of all templates that make it smaller every confirmed place, those that explain most first."""
     if len(words) < 2 or not TRIGGER.search(" ".join(words)):
         return
-    best = None
-    for saved, reduction, i in reductions(words):
+    anchors = _anchors(words)
+    confirmed: dict[tuple[int, int, int], tuple] = {}
+    for saved, reduction, i in reductions(words) if anchors else ():
         if saved <= 0:
             break
         name, template, _ = _prepared()[i]
-        if saved < min(LEAST_SAVED, sum(map(len, template)) // 3):
-            continue
-        found = wording(template, words)
-        if found and _confirmed(template, *found[2:]):
-            # of confirmed templates the one that explains most, then with the fewest differences
-            rank = (found[1] - found[0] - 2 * len(found[2]) - 2 * len(found[3]), reduction)
-            if best is None or rank > best[0]:
-                best = (rank, found, Finding(name, i, places[found[0]][0], places[found[1] - 1][1], round(reduction, 4), *found[2:]))
-    if best is None:
-        _search_narrowly(words, places, out)
-        return
-    a, b = best[1][:2]
-    out.append(best[2])
-    _search(words[:a], places[:a], out)
-    _search(words[b:], places[b:], out)
-
-
-def _search_narrowly(words: list[str], places: list[tuple[int, int]], out: list[Finding]) -> None:
-    """Findings in windows around each trigger: there no text nearby hides what a short notice saves, or where it stands."""
-    if len(words) <= 2 * NARROW + 1:
-        return
-    starts = [0]
-    for w in words:
-        starts.append(starts[-1] + len(w) + 1)
+        for a, b in _windows(len(template), anchors.get(i, [])):
+            found = wording(template, words[a:b])
+            if found and _confirmed(template, *found[2:]):
+                start, end = a + found[0], a + found[1]
+                # of confirmed templates the one that explains most, then with the fewest differences
+                rank = (end - start - 2 * len(found[2]) - 2 * len(found[3]), reduction, -i, -start)
+                confirmed[i, start, end] = rank, start, end, Finding(name, i, places[start][0], places[end - 1][1], round(reduction, 4), *found[2:])
+    taken = bytearray(len(words))
+    for _, start, end, finding in sorted(confirmed.values(), key=lambda c: c[0], reverse=True):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
+            out.append(finding)
+    if narrow and len(words) > 2 * NARROW + 1:
+        _search_narrowly(words, places, taken, out)
+
+
+def _search_narrowly(words: list[str], places: list[tuple[int, int]], taken: bytearray, out: list[Finding]) -> None:
+    """Findings in windows around each trigger without one: there no text nearby hides what a short notice saves, or where it stands."""
     at = 0
-    for m in TRIGGER.finditer(" ".join(words)):
-        k = bisect_right(starts, m.start()) - 1
-        if k < at:
+    for k, word in enumerate(words):
+        if k < at or taken[k] or not TRIGGER.search(word) and not TRIGGER.search(" ".join(words[k : k + 2])):
             continue
-        a, b = max(at, k - NARROW), k + NARROW + 1
+        a = next((i + 1 for i in range(k, max(at, k - NARROW) - 1, -1) if taken[i]), max(at, k - NARROW))
+        b = next((i for i in range(k, min(len(words), k + NARROW + 1)) if taken[i]), min(len(words), k + NARROW + 1))
         found: list[Finding] = []
-        _search(words[a:b], places[a:b], found)
+        _search(words[a:b], places[a:b], found, False)
         out += found
-        if found:
-            end = max(f.end for f in found)
-            at = next((i for i in range(a, len(words)) if places[i][0] >= end), len(words))
+        # what was looked at isn't looked at again, but for what follows the last finding
+        end = max((f.end for f in found), default=0)
+        at = next((i for i in range(a, b) if places[i][0] >= end), b) if found else k + NARROW // 2
+
+
+@lru_cache(1)
+def _identifiers() -> dict[tuple[str, ...], tuple[str, int]]:
+    """From the words of an identifier or a name without the word license to (identifier, template)."""
+    line = {name: i for i, (name, text) in enumerate(TEMPLATES) if text.startswith("SPDX-License-Identifier: ")}
+    named = [*((i, i) for i in _IDS), *((i, old) for old, i in _OLD_IDS.items()), *_NAMES, *_SHORT]
+    out = {}
+    for i, name in named:
+        words = [w.lower() for w in WORD.findall(name)]
+        for form in (words, words[:-1] if words[-1] == "license" else words, [w for w in words if w != "license"]):
+            if form:
+                out.setdefault(tuple(form), (i, line[i]))
+    return out
+
+
+def _expressions(words: list[str], spans: list[tuple[int, int]], out: list[Finding]) -> None:
+    """Adds what an expression joins to a finding, before and after it, and identifiers right after the word license."""
+    names = _identifiers()
+    longest = max(map(len, names))
+    begin = {s: k for k, (s, _) in enumerate(spans)}
+    stop = {e: k + 1 for k, (_, e) in enumerate(spans)}
+    taken = bytearray(len(words))
+    for f in out:
+        taken[begin[f.start] : stop[f.end]] = b"\1" * (stop[f.end] - begin[f.start])
+
+    def named(a: int, forward: bool) -> tuple[int, int] | None:
+        """The longest name that begins, or ends, at a word."""
+        for n in range(longest, 0, -1):
+            x, y = (a, a + n) if forward else (a - n, a)
+            if 0 <= x and y <= len(words) and tuple(words[x:y]) in names and not any(taken[x:y]):
+                return x, y
+        return None
+
+    def add(x: int, y: int) -> None:
+        taken[x:y] = b"\1" * (y - x)
+        name, template = names[tuple(words[x:y])]
+        data = " ".join(words[x:y]).encode()
+        alone = len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(data))
+        saved = alone - len(_prepared()[template][2].compress(data))
+        out.append(Finding(name, template, spans[x][0], spans[y - 1][1], round(max(0, saved) / alone, 4), (), ()))
+
+    for k, word in enumerate(words[:-1]):
+        if word in BEFORE_ID and not taken[k + 1] and (found := named(k + 1, True)):
+            add(*found)
+    for f in list(out):
+        a, b = begin[f.start], stop[f.end]
+        while b + 1 < len(words) and words[b] in JOINING and (found := named(b + 1, True)):
+            add(*found)
+            b = found[1]
+        while a >= 2 and words[a - 1] in JOINING and (found := named(a - 1, False)):
+            add(*found)
+            a = found[0]
 
 
 def find_licenses(text: str) -> list[Finding]:
-    """Confirmed licenses of a whole text by place."""
+    """Confirmed licenses of a whole text by place; one that the words before it deny isn't one."""
     lower = text.lower()
     if not any(t in lower for t in TRIGGERS):
         return []
     spans = [m.span() for m in WORD.finditer(text)]
+    words = [text[s:e].lower() for s, e in spans]
+    hits = [m.start() for m in TRIGGER.finditer(text)]
     out: list[Finding] = []
     for around in AROUND:
-        hits = [m.start() for m in TRIGGER.finditer(text)]
-        hits = [h for h in hits if all(h < f.start or h >= f.end for f in out)]
-        for a, b in _stretches(hits, spans, around):
+        # findings don't overlap, so in order of their places the last that begins before a hit tells
+        done = sorted((f.start, f.end) for f in out)
+        starts = [s for s, _ in done]
+        left = [h for h in hits if not ((k := bisect_right(starts, h)) and h < done[k - 1][1])]
+        for a, b in _stretches(left, spans, around):
             while a < b:
                 stop = min(b, a + LONGEST)
                 found: list[Finding] = []
-                _search([text[s:e].lower() for s, e in spans[a:stop]], spans[a:stop], found)
+                _search(words[a:stop], spans[a:stop], found)
                 # what lies in the overlap of two looks is found by one of them whole
-                out += [f for f in found if all(f.end <= g.start or f.start >= g.end for g in out)]
+                for f in found:
+                    k = bisect_right(starts, f.start)
+                    if (k == 0 or done[k - 1][1] <= f.start) and (k == len(done) or f.end <= starts[k]):
+                        done.insert(k, (f.start, f.end))
+                        starts.insert(k, f.start)
+                        out.append(f)
                 a = b if stop == b else stop - OVERLAP
-    return sorted(out, key=lambda f: (f.start, f.end, f.template))
+    out = [f for f in out if not DENIED.search(text[max(0, f.start - 80) : f.start])]
+    _expressions(words, spans, out)
+    return sorted((f for f in out if not DENIED.search(text[max(0, f.start - 80) : f.start])), key=lambda f: (f.start, f.end, f.template))
 
 
 def _stretches(hits: list[int], spans: list[tuple[int, int]], around: int) -> list[tuple[int, int]]:
@@ -331,8 +438,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per license found in a document, with its place in code points (end exclusive).
 
     ``exact`` says that the wording has no difference; else ``missing`` and ``added`` hold the
-    differing words. Documents without a license, null and empty texts give no rows, repeated
-    rows repeated results, and an empty table none.
+    differing words. What an expression joins (A or B, A and B) gives a row for each license; a license that is denied (not
+    released under ...) gives none. Documents without a license, null and empty texts give no rows, repeated
+    rows repeated results, and an empty table none. Very long and repetitive texts take time in proportion to their length.
     """
     types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
     names = [f.split()[0] for f in FINDINGS.split(", ")]

@@ -583,3 +583,20 @@ def test_long_secrets_and_names_are_found(spark):
     texts = [f'token = "{"x1" * 400}" and more', f"{'long.name' * 30} [at] example [dot] org", 'password: "' + "y" * 50_000 + '"', 'key="' * 5_000]
     found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert "secret:0:" in found[0] and found[1].startswith("email:0:") and "secret:0:" in found[2] and "secret" not in found[3]
+
+
+@pytest.mark.parametrize("text, names", [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("SPDX-License-Identifier: (MIT AND BSD-3-Clause)", ["MIT", "BSD-3-Clause"]),
+    ('license = "Apache-2.0 OR MIT OR Zlib"', ["Apache-2.0", "MIT", "Zlib"]), ("This is dual licensed under the MIT and Apache 2.0 licenses.", ["MIT", "Apache-2.0"]),
+    ("It is not released under the MIT License.", []), ("This isn't licensed under the MIT License or Apache-2.0.", []), ("We do not ship it. Released under the MIT License.", ["MIT"]),
+    ("NOT FOR SALE\nMIT License", ["MIT"]),
+])
+def test_expressions_and_denials(text, names):
+    assert [f.license_id for f in licenses.find_licenses(f"{prose(8, 30)}\n{text}\n")] == names
+
+
+@pytest.mark.parametrize("text", ["warranty license " * 2_000, "MIT License. " * 3_000, "the software is licensed " * 5_000, "copyright notice and this permission notice shall " * 2_000, dict(licenses.TEMPLATES)["Unlicense"] * 60])
+def test_repetitive_license_texts_take_linear_time(text):
+    began = time.perf_counter()
+    licenses.find_licenses(text)
+    assert time.perf_counter() - began < 15
