@@ -125,65 +125,64 @@ def page_overlap(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return each.agg(F.round(F.avg(share), 9).alias("overlap"))
 
 
-def pages_by_growth(edges: DataFrame, frequency: DataFrame, capacity: int, n_parts: int) -> DataFrame:
-    """(id, page): pages filled with a node and then its neighbours, often visited nodes first.
+def pages_by_growth(edges: DataFrame, frequency: DataFrame, capacity: int) -> DataFrame:
+    """(id, page): pages filled with a node and then its neighbours that are free, in order of their ids, often visited nodes first.
 
-    Nodes are dealt to ``n_parts`` parts and laid out within each; a part must fit a task.
+    frequency has (id, freq). A page is named by the node that it began with. Nodes are taken in rounds: one may begin its page
+    once no earlier free node could touch the same nodes, that is, none within two steps, whichever way edges point. That
+    gives what taking all nodes in one order does. A round is a few joins on nodes; its number grows with the longest run of
+    ever later nodes that touch each other.
     """
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["freq", "id"], ascending=[False, True])
-        near = dict(zip(group["id"], group["nbrs"]))
-        page_of: dict[int, int] = {}
-        page, room = -1, 0
-        for node in group["id"]:
-            if node in page_of:
-                continue
-            page, room = page + 1, capacity
-            for x in [node, *near[node]]:
-                if room and x in near and x not in page_of:
-                    page_of[x] = page
-                    room -= 1
-        first = int(group["part"].iloc[0]) << 32
-        return pd.DataFrame({"id": list(page_of), "page": [first + p for p in page_of.values()]})
-
-    near = edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
-    nodes = frequency.join(near, frequency["id"] == near["src"], "left").select("id", "freq", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"))
-    return nodes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts))).groupBy("part").applyInPandas(fill, "id long, page long")
-
-
-def deterministic_greedy_pages(edges: DataFrame, nodes: DataFrame, capacity: int, rounds: int, n_parts: int) -> DataFrame:
-    """(id, page) by streaming placement: a node goes to the page with the best count * (1 - size / capacity).
-
-    Counts are of neighbours, out and in, on the page. Each round clears the pages but keeps the
-    earlier places as votes. Nodes are dealt to ``n_parts`` parts; a part must fit a task.
+    edges = settled(edges.select("src", "dst").where("src <> dst").distinct())
+    free = settled(frequency.select("id", F.struct((-F.col("freq")).alias("f"), "id").alias("turn")))
+    done = []
+    while True:
+        here = edges.join(free.select(F.col("id").alias("src")), "src", "left_semi").join(free.select(F.col("id").alias("dst")), "dst", "left_semi")
+        here = settled(here.select("src", "dst"))
+        # the first turn that could take a node: its own, or that of a free node with an edge to it
+        own = free.select(F.col("id").alias("node"), "turn")
+        claims = own.unionByName(here.join(free.toDF("src", "turn"), "src").select(F.col("dst").alias("node"), "turn"))
+        first = claims.groupBy("node").agg(F.min("turn").alias("first"))
+        # a node begins its page if it is the first at all nodes that it could take
+        touched = free.select("id", F.col("id").alias("node"), "turn").unionByName(here.join(free.toDF("src", "turn"), "src").select(F.col("src").alias("id"), F.col("dst").alias("node"), "turn"))
+        begins = touched.join(first, "node").groupBy("id").agg(F.max(F.col("first") < F.col("turn")).alias("late")).where("NOT late").select(F.col("id").alias("src"))
+        room = top_k(begins.join(here, "src"), capacity - 1, "src", ("dst",)) if capacity > 1 else None
+        pages = begins.select(F.col("src").alias("id"), F.col("src").alias("page"))
+        if room is not None:
+            pages = pages.unionByName(room.select(F.col("dst").alias("id"), F.col("src").alias("page")))
+        pages = settled(pages)
+        if pages.isEmpty():
+            break
+        done.append(pages)
+        free = settled(free.join(pages.select("id"), "id", "left_anti"))
+    return reduce(DataFrame.unionByName, done) if done else free.select("id", F.col("id").alias("page"))
+
+
+def pages_by_votes(edges: DataFrame, nodes: DataFrame, capacity: int, rounds: int) -> DataFrame:
+    """(id, page): pages of at most ``capacity`` nodes that link to each other, by rounds of greedy placement.
+
+    Pages begin as runs of ids. In each round every node votes for the page where most of its neighbours, out and in, are;
+    of those who chose a page its most linked ones are
+    placed, up to its capacity. The others take the places that are left, in order of their ids. All nodes choose at once by
+    the places of the round before, so a round is an aggregation by node and one by page; places that are left are numbered by
+    prefix sums. Ties go to the smaller page and the smaller id.
     """
-    both = both_ways(edges)
-    near = both.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        near = dict(zip(group["id"], group["nbrs"]))
-        page_of: dict[int, int] = {}
-        n_pages = -(-len(group) // capacity)
-        for _ in range(rounds):
-            size = [0] * n_pages
-            open_page = 0
-            for node, others in near.items():
-                count: dict[int, int] = {}
-                for x in others:
-                    if x in page_of:
-                        count[page_of[x]] = count.get(page_of[x], 0) + 1
-                best = max(((c * (1 - size[p] / capacity), -p) for p, c in count.items() if size[p] < capacity), default=None)
-                while size[open_page] >= capacity:
-                    open_page += 1
-                page_of[node] = -best[1] if best and best[0] > 0 else open_page
-                size[page_of[node]] += 1
-        first = int(group["part"].iloc[0]) << 32
-        return pd.DataFrame({"id": list(page_of), "page": [first + p for p in page_of.values()]})
-
-    joined = nodes.join(near, nodes["id"] == near["src"], "left").select("id", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"))
-    return joined.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts))).groupBy("part").applyInPandas(place, "id long, page long")
+    links = settled(both_ways(edges))
+    placed = with_places(nodes.select("id"))
+    pages = settled(placed.select("id", F.floor(F.col("place") / capacity).alias("page")))
+    n_pages = -(-pages.count() // capacity)
+    for _ in range(rounds):
+        votes = links.join(pages.withColumnRenamed("id", "dst"), "dst").groupBy("src", "page").agg(F.count("*").alias("c"))
+        choice = votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct((-F.col("c")).alias("c"), "page")).alias("x")).select("id", "x.page", "x.c")
+        taken = settled(top_k(choice, capacity, "page", ("c", "id")).select("id", "page"))
+        others = with_places(pages.select("id").join(taken.select("id"), "id", "left_anti"))
+        sizes = taken.groupBy("page").agg(F.count("*").alias("n"))
+        every = nodes.sparkSession.range(n_pages).select(F.col("id").alias("page")).join(sizes, "page", "left")
+        room = every.select("page", (capacity - F.coalesce("n", F.lit(0))).alias("room")).where("room > 0")
+        slots = room.select("page", F.explode(F.sequence(F.lit(1), F.col("room").cast("int"))).alias("slot")).select(F.struct("page", "slot").alias("key"))
+        filled = others.join(with_places(slots, "key"), "place").select("id", "key.page")
+        pages = settled(taken.unionByName(filled))
+    return pages
 
 
 def heavy_edge_pages(edges: DataFrame, capacity: int) -> DataFrame:

@@ -241,12 +241,15 @@ def hash_sample(spark, sf_dir):
 
 @query("synthetic_vectors")
 def synthetic_vectors(spark, sf_dir):
-    return X.random_vectors(spark, 200, 16, norm=1.0)
+    """A random table of the shape of the embeddings: as many rows, components and the same norms."""
+    return X.random_vectors(base(spark, sf_dir))
 
 
 @query("synthetic_labels")
 def synthetic_labels(spark, sf_dir):
-    return X.zipf_labels(spark, 200, 10)
+    """Random labels for every embedding, as many different ones as the table has."""
+    rows = base(spark, sf_dir)
+    return X.zipf_labels(rows, max(1, rows.select("label").distinct().count()))
 
 
 @query("event_windows", "SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::bigint AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -484,7 +484,7 @@ def stitched_graph(spark, sf_dir):
 @query("grown_pages")
 def grown_pages(spark, sf_dir):
     nodes = base(spark, sf_dir).select("id", F.lit(1).alias("freq"))
-    return G.pages_by_growth(_graph(spark, sf_dir), nodes, 8, 1)
+    return G.pages_by_growth(_graph(spark, sf_dir), nodes, 8)
 
 
 def _searchable(spark, sf_dir):

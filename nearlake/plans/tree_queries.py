@@ -71,7 +71,7 @@ def recall_by_probes(spark, sf_dir):
 
 @query("greedy_pages")
 def greedy_pages(spark, sf_dir):
-    return G.deterministic_greedy_pages(_graph(spark, sf_dir), base(spark, sf_dir).select("id"), 8, 4, 1)
+    return G.pages_by_votes(_graph(spark, sf_dir), base(spark, sf_dir).select("id"), 8, 4)
 
 
 @query("heavy_edge_pages")

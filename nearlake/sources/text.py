@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,17 +66,20 @@ def checked_tags(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tag", F.when(fair, F.col("tag")).otherwise(F.raise_error(F.lit("a tag is 0 or beyond 32 bits"))))
 
 
-def random_vectors(spark: SparkSession, n: int, dim: int, norm: float | None = None, seed: int = 1) -> DataFrame:
-    """(id, v): normal components, scaled to a norm if one is given."""
-    rows = spark.range(n).select("id", F.array(*(F.randn(seed + i) for i in range(dim))).alias("v"))
-    if norm is None:
-        return rows
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("__n", length).select("id", F.transform("v", lambda x: x / F.col("__n") * norm).alias("v"))
+def random_vectors(like: DataFrame, seed: int = 1) -> DataFrame:
+    """(id, v): for each row (id, v) a vector of normal components, as long in both senses: as many components, the same norm.
+
+    Components follow from hashes of the id, so the table is the same whenever it is computed. A null vector stays null.
+    """
+    part = lambda i, s: (F.shiftrightunsigned(F.xxhash64(F.col("id"), i, F.lit(s)), 11) + 0.5) / float(1 << 53)
+    normal = lambda x, i: F.sqrt(-2 * F.log(part(i, 2 * seed))) * F.cos(2 * math.pi * part(i, 2 * seed + 1))
+    length = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
+    drawn = like.select("id", length(F.col("v")).alias("__n"), F.transform("v", normal).alias("v"))
+    return drawn.withColumn("__m", length(F.col("v"))).select("id", F.transform("v", lambda x: x / F.col("__m") * F.col("__n")).alias("v"))
 
 
-def zipf_labels(spark: SparkSession, n: int, n_labels: int, seed: int = 2) -> DataFrame:
-    """(id, labels): label i with probability 0.7 / i; a point without one gets 0."""
-    drawn = F.array(*(F.when(F.rand(seed + i) < 0.7 / i, F.lit(i)) for i in range(1, n_labels + 1)))
-    found = F.filter(drawn, lambda x: x.isNotNull())
-    return spark.range(n).withColumn("__l", found).select("id", F.when(F.size("__l") > 0, F.col("__l")).otherwise(F.array(F.lit(0))).alias("labels"))
+def zipf_labels(points: DataFrame, n_labels: int, seed: int = 2) -> DataFrame:
+    """(id, labels): for each point label i with probability 0.7 / i, by hashes of its id; a point without one gets 0."""
+    drawn = lambda i: (F.shiftrightunsigned(F.xxhash64(F.col("id"), i, F.lit(seed)), 11) + 0.5) / float(1 << 53) < 0.7 / i
+    found = F.filter(F.sequence(F.lit(1), F.lit(n_labels)), drawn)
+    return points.select("id", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(0))).alias("labels"))

@@ -170,8 +170,8 @@ def test_pages_hold_at_most_their_capacity(spark):
     rows = base(spark, DATA).where("id < 200")
     edges = graph.knn_graph(rows, 4)
     for pages in (
-        graph.pages_by_growth(edges, rows.select("id", F.lit(1).alias("freq")), 8, 2),
-        graph.deterministic_greedy_pages(edges, rows.select("id"), 8, 3, 2),
+        graph.pages_by_growth(edges, rows.select("id", F.lit(1).alias("freq")), 8),
+        graph.pages_by_votes(edges, rows.select("id"), 8, 3),
     ):
         assert pages.count() == 200 and pages.groupBy("page").count().agg(F.max("count")).first()[0] <= 8
 

@@ -179,3 +179,51 @@ def test_each_result_answers_once(spark):
 
     assert {r.qid: r.hits for r in got.collect()} == {q: plain(q) for q in (1, 2, 3)} == {1: 2, 2: 0, 3: 1}
     assert {r.qid: r.recall for r in got.collect()}[1] == 2 / 3
+
+
+# --- pages ----------------------------------------------------------------------------------
+
+
+def test_pages_by_growth_equal_one_pass_over_all_nodes(spark, rows):
+    edges = settled(graph.knn_graph(rows, 5).select("src", "dst"))
+    visits = settled(rows.select("id", (F.col("id") % 5).alias("freq")))
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r.src, []).append(r.dst)
+    page_of = {}
+    for r in sorted(visits.collect(), key=lambda r: (-r.freq, r.id)):
+        if r.id not in page_of:
+            page_of[r.id] = r.id
+            for x in [x for x in sorted(near.get(r.id, ())) if x not in page_of][:3]:
+                page_of[x] = r.id
+    got = graph.pages_by_growth(edges, visits, 4).collect()
+    assert len(got) == len(page_of) and {r.id: r.page for r in got} == page_of
+    assert graph.pages_by_growth(edges, visits.limit(0), 4).count() == 0
+
+
+def test_pages_by_votes_against_a_plain_version(spark, rows):
+    edges = settled(graph.knn_graph(rows, 5).select("src", "dst"))
+    ids, capacity = sorted(r.id for r in rows.collect()), 8
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    page = {x: n // capacity for n, x in enumerate(ids)}
+    for _ in range(3):
+        wants = {}
+        for x in ids:
+            counts = {}
+            for y in near.get(x, ()):
+                counts[page[y]] = counts.get(page[y], 0) + 1
+            if counts:
+                c, p = min((-c, p) for p, c in counts.items())
+                wants.setdefault(p, []).append((c, x))
+        after = {x: p for p, xs in wants.items() for _, x in sorted(xs)[:capacity]}
+        left = [p for p in range(-(-len(ids) // capacity)) for _ in range(capacity - sum(q == p for q in after.values()))]
+        after |= dict(zip([x for x in ids if x not in after], left))
+        page = after
+    got = graph.pages_by_votes(edges, rows.select("id"), capacity, 3)
+    assert {r.id: r.page for r in got.collect()} == page
+    runs = rows.select("id", F.floor(F.col("id") / capacity).alias("page"))
+    overlap = lambda pages: graph.page_overlap(edges, pages).first()[0]
+    assert overlap(got) > 2 * overlap(runs)
