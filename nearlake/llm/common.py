@@ -71,7 +71,8 @@ def under_plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
-def row_hash(docs: DataFrame) -> Column:
-    """A hash of a whole row; types without a hash of their own (maps) count as JSON."""
+def row_hash(docs: DataFrame, seed: int | None = None) -> Column:
+    """A hash of a whole row, another one for each seed; nulls count, and types without a hash of their own (maps) count as JSON."""
     plain = lambda t: not re.search(r"\b(?:map|variant)\b", t)
-    return F.xxhash64(*(F.col(f"`{c}`") if plain(t) else F.to_json(F.col(f"`{c}`")) for c, t in docs.dtypes))
+    columns = [F.col(f"`{c}`") if plain(t) else F.to_json(F.col(f"`{c}`")) for c, t in docs.dtypes]
+    return F.xxhash64(*columns) if seed is None else F.xxhash64(F.lit(seed), *(x for c in columns for x in (c, c.isNull())))

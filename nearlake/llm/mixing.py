@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearlake.llm.common import WORD, materialise, partitions, tasks_for, text_of, under_plain_names
+from nearlake.llm.common import WORD, materialise, partitions, row_hash, tasks_for, text_of, under_plain_names
 from nearlake.operators.partition import with_places
 
 WEIGHTS = (5, 2, 1)
@@ -138,16 +138,20 @@ def mix_documents(docs: DataFrame, n_sorted: int | None = None, **options) -> Da
     Documents stay whole, so one that an epoch takes in part is there if at least half of its
     words are. Documents without words, which no target counts, are there once, at the end.
     Columns stay as they are, whatever they are called. Every row counts as a document of its
-    own, with or without an id or one that repeats: rows are numbered once, in a table of the
-    shared folder, and told apart by that number.
+    own, with or without an id or one that repeats. Rows are known by two hashes of all their columns, so no numbered
+    copy of the table is written; rows that are equal in all columns, if there are any, are read as one and
+    are there as often as the mix takes them all.
     """
     held, names = under_plain_names(docs)
-    numbered = materialise(held.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    renamed = numbered.select("row", *(F.col(names[c]).alias(c) for c in ("doc_id", "source", "text")))
-    sizes = materialise(document_sizes(renamed, "row"), "sizes")
+    keyed = held.withColumns({"k1": row_hash(held), "k2": row_hash(held, 1)})
+    renamed = keyed.select("k1", "k2", *(F.col(names[c]).alias(c) for c in ("doc_id", "source", "text")))
+    sizes = materialise(document_sizes(renamed, "k1", "k2"), "sizes")
     mixed = materialise(mix_sizes(sizes, **options), "mix")
-    taken = occurrences(mixed, "row").where(2 * F.col("words") >= F.col("size")).select("row", "position")
-    places = taken.unionAll(sizes.where("size = 0").select("row", F.lit(2.0).alias("position")))
-    parts = n_sorted or partitions(docs.sparkSession, sizes.count())
-    found = numbered.join(places, "row").repartitionByRange(parts, "position", names["doc_id"]).sortWithinPartitions("position", names["doc_id"])
+    taken = occurrences(mixed, "k1", "k2").where(2 * F.col("words") >= F.col("size")).select("k1", "k2", "position")
+    places = taken.unionAll(sizes.where("size = 0").select("k1", "k2", F.lit(2.0).alias("position")))
+    n = sizes.count()
+    if sizes.select("k1", "k2").distinct().count() < n:
+        keyed = keyed.dropDuplicates(["k1", "k2"])  # one a task before they are shuffled
+    parts = n_sorted or partitions(docs.sparkSession, n)
+    found = keyed.join(places, ["k1", "k2"]).repartitionByRange(parts, "position", names["doc_id"]).sortWithinPartitions("position", names["doc_id"])
     return found.select(*(F.col(plain).alias(c) for c, plain in names.items()))
