@@ -170,6 +170,20 @@ def merge_shards(results: list[DataFrame], k: int, distinct: bool = True) -> Dat
     return ranked.where(F.col("rank") <= k)
 
 
+def concatenated_ranking(results: list[DataFrame], k: int, fill: bool = False) -> DataFrame:
+    """Result tables (qid, id, d) of several shards as one ranking by distance alone; an id that several have counts each time.
+
+    ``fill`` gives every query k rows: those that are missing have the id 0 and no distance. Ties go to the earlier table, then the smaller id.
+    """
+    numbered = [r.select("qid", "id", "d", F.lit(i).alias("table")) for i, r in enumerate(results)]
+    both = reduce(DataFrame.unionByName, numbered)
+    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("d", "table", "id"))).where(F.col("rank") <= k).select("qid", "rank", "id", "d")
+    if not fill:
+        return ranked
+    places = both.select("qid").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    return places.join(ranked, ["qid", "rank"], "left").select("qid", "rank", F.coalesce("id", F.lit(0)).alias("id"), "d")
+
+
 def search_shards(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, rank, id, d): shards (shard, id, v) that may hold the same row are searched in one scan, and their k best merged.
 

@@ -184,9 +184,9 @@ def vectors_from_text(spark, sf_dir):
     return X.vectors_of_lines(lines)
 
 
-@query("vectors_from_tsv", "SELECT vec_id AS id, list_transform(embedding[1:4], lambda x: round(x::double * 1000)::int::float) AS v FROM embeddings")
+@query("vectors_from_tsv", "SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::double * 1000)::int::float) AS v FROM embeddings")
 def vectors_from_tsv(spark, sf_dir):
-    lines = base(spark, sf_dir).select("id", F.array_join(F.transform(F.slice(V.doubles(F.col("v")), 1, 4), lambda x: F.round(x * 1000).cast("int").cast("string")), "  ").alias("value"))
+    lines = base(spark, sf_dir).select("id", F.array_join(F.transform(V.doubles(F.col("v")), lambda x: F.round(x * 1000).cast("int").cast("string")), "  ").alias("value"))
     return lines.select("id", X.numbers(F.col("value"), r"\s+").alias("v"))
 
 
@@ -233,6 +233,15 @@ def train_test_split(spark, sf_dir):
     return base(spark, sf_dir).select("id", (F.col("id") % 10 == 3).alias("test"))
 
 
+@query("train_test_truth", f"""WITH h AS (SELECT vec_id AS id, embedding AS v, md5(vec_id::varchar) AS h FROM embeddings), t AS (SELECT id AS qid, v AS q FROM h WHERE h < '1999'), b AS (SELECT id, v FROM h WHERE h >= '1999')
+    SELECT qid, rank, id, d FROM ({S.top(f"SELECT qid, id, {S.l2('v', 'q')} AS d FROM b, t", 5)})""")
+def train_test_truth(spark, sf_dir):
+    """A tenth of the rows, by a digest of their ids, as test queries, and their true neighbours among the others."""
+    dealt = base(spark, sf_dir).select("id", "v", F.md5(F.col("id").cast("string")).alias("h"))
+    test = dealt.where("h < '1999'").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return knn(dealt.where("h >= '1999'"), test, 5)
+
+
 @query("hash_sample")
 def hash_sample(spark, sf_dir):
     """About a tenth of the rows, the same ones each time."""

@@ -67,6 +67,14 @@ def knn_with_metadata_filter(spark, sf_dir):
     return knn(base(spark, sf_dir).where(F.col("id").cast("string") != "2"), stated_queries(spark, sf_dir), 10)
 
 
+@query("knn_with_metadata_predicate", _top("('item-' || id || '-' || coalesce(label, 0)) LIKE '%7-%' AND id % 20 <> 0"))
+def knn_with_metadata_predicate(spark, sf_dir):
+    """A condition on text that belongs to each row, which holds before the ranking."""
+    meta = F.concat_ws("-", F.lit("item"), F.col("id"), F.coalesce("label", F.lit(0)))
+    rows = base(spark, sf_dir).withColumn("meta", meta).where("meta LIKE '%7-%' AND id % 20 <> 0")
+    return knn(rows, stated_queries(spark, sf_dir), 10)
+
+
 @query("knn_without_deleted", _top("id % 7 <> 0"))
 def knn_without_deleted(spark, sf_dir):
     rows = base(spark, sf_dir)

@@ -206,6 +206,24 @@ def radius_scheduled_depths(spark, sf_dir):
     return I.radius_rounds(ranked, 5, 3, 2, 25, 1.05)
 
 
+@query("radius_scheduled_search", f"WITH z AS ({_RADIUS_SQL}) SELECT qid, rank, id, shard FROM ({S.top(f'SELECT r.qid, r.id, r.d, r.shard FROM ({_SHARDED}) r JOIN z ON z.qid = r.qid AND z.shard = r.shard AND r.place <= z.depth', 8)})")
+def radius_scheduled_search(spark, sf_dir):
+    """The best eight of what the shards give within those depths."""
+    ranked = settled(knn_by_group(_sharded(spark, sf_dir), stated_queries(spark, sf_dir), 25, "shard"))
+    depths = I.radius_rounds(ranked, 5, 3, 2, 25, 1.05)
+    return top_k(ranked.join(depths, ["qid", "shard"]).where(F.col("place") <= F.col("depth")), 8).select("qid", "rank", "id", "shard")
+
+
+_TABLES = f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, t, id) AS rank FROM (SELECT qid, id, d, 0 AS t FROM ({S.KNN10}) WHERE rank <= 4 UNION ALL SELECT qid, id, d, 1 AS t FROM ({S.KNN10}) WHERE rank BETWEEN 2 AND 3)"
+
+
+@query("merge_with_repeats", f"WITH m AS ({_TABLES}) SELECT q.qid, q.rank, coalesce(m.id, 0) AS id, m.d FROM (SELECT vec_id AS qid, unnest(range(1, 9)) AS rank FROM embeddings WHERE vec_id % 20 = 0) q LEFT JOIN m ON m.qid = q.qid AND m.rank = q.rank")
+def merge_with_repeats(spark, sf_dir):
+    """Two result tables that share ids as one, by distance alone; each query has eight rows, those beyond what there is filled."""
+    found = settled(knn(base(spark, sf_dir), stated_queries(spark, sf_dir), 4))
+    return P.concatenated_ranking([found, found.where("rank BETWEEN 2 AND 3")], 8, fill=True)
+
+
 # --- quantizers -----------------------------------------------------------------------------
 
 _CHUNKS, _WIDTH = 4, 16
@@ -279,6 +297,27 @@ def scalar_codes(spark, sf_dir):
     return Q.scalar_codes(rows, Q.minmax_per_dimension(rows))
 
 
+_SQ = """x AS (SELECT vec_id AS id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), r AS (SELECT i, min(x) AS lo, max(x) AS hi FROM x GROUP BY i),
+    dec AS (SELECT id, list(lo + (CASE WHEN hi > lo THEN round((x - lo) / ((hi - lo) / 255.0::double))::int ELSE 0 END) * ((hi - lo) / 255.0::double) ORDER BY x.i) AS v FROM x JOIN r ON x.i = r.i GROUP BY id)"""
+
+
+@query("scalar_code_search", f"WITH {_SQ}, best AS ({S.top(f'SELECT qid, id, {S.l2("v", "q")} AS d FROM dec, {S.QUERIES} t', 30)}), f AS (SELECT b.qid, b.id, {S.l2('e.embedding', 'q.embedding')} AS d FROM best b JOIN embeddings e ON e.vec_id = b.id JOIN embeddings q ON q.vec_id = b.qid) SELECT qid, rank, id, d FROM ({S.top('SELECT * FROM f', 10)})")
+def scalar_code_search(spark, sf_dir):
+    """Thirty candidates by what one byte a component tells, ranked exactly."""
+    rows, queries = base(spark, sf_dir), stated_queries(spark, sf_dir)
+    ranges = settled(Q.minmax_per_dimension(rows))
+    near = knn(Q.scalar_decoded(Q.scalar_codes(rows, ranges), ranges), queries, 30)
+    return I.rerank(near.drop("rank"), rows, queries, 30, 10).select("qid", "rank", "id", "d")
+
+
+@query("packed_codes", "SELECT vec_id AS id, list_transform(embedding[1:15], lambda x: least(15, greatest(0, floor(x::double * 16 + 8)))::int) AS codes, 8::bigint AS n_bytes FROM embeddings")
+def packed_codes(spark, sf_dir):
+    """Codes of four bits, two a byte, packed and read back."""
+    code = F.transform(F.slice(V.doubles(F.col("v")), 1, 15), lambda x: F.least(F.lit(15), F.greatest(F.lit(0), F.floor(x * 16 + 8))).cast("int"))
+    packed = base(spark, sf_dir).select("id", Q.packed_nibbles(code).alias("p"))
+    return packed.select("id", Q.unpacked_nibbles(F.col("p"), 15).alias("codes"), F.octet_length("p").cast("long").alias("n_bytes"))
+
+
 @query("trained_codebook_error")
 def trained_codebook_error(spark, sf_dir):
     """Mean squared error of a trained product codebook."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearlake.functions.vectors import l2
 from nearlake.operators import graph as G
 from nearlake.operators import inverted as I
 from nearlake.operators import trees as T
 from nearlake.operators.knn import knn, knn_by_group
 from nearlake.operators.measures import recall
+from nearlake.operators.tables import settled
 from nearlake.plans import sql as S
 from nearlake.plans.inputs import base, centroids, stated_queries
 from nearlake.plans.registry import query, table
@@ -69,6 +72,37 @@ def recall_by_probes(spark, sf_dir):
     return runs[0].unionByName(runs[1])
 
 
+def _grid_sql() -> str:
+    parts, runs = [f"truth AS (SELECT qid, id FROM ({S.KNN10}))"], []
+    for r in (1, 2):
+        parts.append(f"l{r} AS (SELECT cid, id FROM ({_nearest(r)}))")
+        for n in (1, 2, 4):
+            parts.append(f"p{r}{n} AS (SELECT id AS qid, cid FROM ({_nearest(n, '(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)')}))")
+            parts.append(f"f{r}{n} AS (SELECT c.qid, c.id, {S.l2('e.embedding', 'q.embedding')} AS d FROM (SELECT DISTINCT p.qid, l.id FROM p{r}{n} p JOIN l{r} l USING (cid)) c JOIN embeddings e ON e.vec_id = c.id JOIN embeddings q ON q.vec_id = c.qid)")
+            runs.append(f"SELECT {r} AS replicas, {n} AS probes, (SELECT count(*) FROM truth JOIN (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM f{r}{n}) x USING (qid, id) WHERE x.rank <= 10) AS hits, (SELECT count(*) FROM f{r}{n}) AS scored")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(runs)}"
+
+
+@query("recall_grid", _grid_sql())
+def recall_grid(spark, sf_dir):
+    """Six settings of replicas and probes: hits among the ten nearest, and rows scored for them."""
+    rows, heads, queries = base(spark, sf_dir), centroids(spark, sf_dir), stated_queries(spark, sf_dir)
+    truth = settled(knn(rows, queries, 10).select("qid", "id"))
+    probed = settled(I.probes(queries, heads, 4).withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("hd", "cid"))))
+    runs = []
+    for r in (1, 2):
+        lists = settled(I.postings(rows, heads, r))
+        asked = lists.select("cid", "id", "v").join(probed.join(queries.select("qid", "q"), "qid"), "cid")
+        # all numbers of probes at once: a row found by the n-th probe is there for n and more
+        met = asked.groupBy("qid", "id").agg(F.min("n").alias("n"), F.min(l2(F.col("v"), F.col("q"))).alias("d"))
+        each = met.select("qid", "id", "d", F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda p: p >= F.col("n"))).alias("probes"))
+        ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("qid", "probes").orderBy("d", "id")))
+        hit = F.when(F.col("rank") <= 10, F.col("true"))
+        marked = ranked.join(truth.withColumn("true", F.lit(1)), ["qid", "id"], "left")
+        runs.append(marked.groupBy("probes").agg(F.count(hit).alias("hits"), F.count("*").alias("scored")).select(F.lit(r).alias("replicas"), "probes", "hits", "scored"))
+    return runs[0].unionByName(runs[1])
+
+
 @query("greedy_pages")
 def greedy_pages(spark, sf_dir):
     return G.pages_by_votes(_graph(spark, sf_dir), base(spark, sf_dir).select("id"), 8, 4)
