@@ -264,3 +264,42 @@ def test_loaded_index_keeps_its_lists(spark, line, asked, tmp_path):
     for mine, saved in zip(index._inverted(), other._inverted()):
         assert sorted(map(repr, mine.collect())) == sorted(map(repr, saved.collect()))
     assert ids_by_query(other.search(asked, 5)) == ids_by_query(index.search(asked, 5))
+
+
+def test_graph_index_through_its_life(spark, asked, tmp_path):
+    """Built, searched, grown, thinned out, saved and read: as the exact index on points of a line."""
+    points = spark.range(1, 241).select("id", F.array_repeat(F.col("id").cast("float"), 6).alias("v"))
+    queries = asked.select("qid", F.slice("q", 1, 6).alias("q"))
+    first, more = points.where("id % 3 <> 0"), points.where("id % 3 = 0")
+    index, exact = (VectorIndex(first, kind=kind, degree=6, width=12) for kind in ("graph", "exact"))
+    assert ids_by_query(index.search(queries, 3)) == ids_by_query(exact.search(queries, 3))
+    for each in (index, exact):
+        assert [r.id for r in each.insert(more.unionByName(points.where("id = 5"))).collect()] == [5]
+        each.delete(points.where("id between 4 and 7").select("id"))
+    edges = index._graph()
+    assert edges.groupBy("src").count().agg(F.max("count")).first()[0] <= 6
+    assert edges.where("src % 3 = 0").select("src").distinct().count() == 80
+    want = ids_by_query(exact.search(queries, 4))
+    assert ids_by_query(index.search(queries, 4)) == want
+    assert ids_by_query(index.search(queries, 2, where=F.col("id") > 200)) == ids_by_query(exact.search(queries, 2, where=F.col("id") > 200))
+    assert index.consolidate().first().released == 4
+    assert index._graph().where("src between 4 and 7 OR dst between 4 and 7").count() == 0
+    index.save(str(tmp_path / "graph"))
+    again = VectorIndex.load(spark, str(tmp_path / "graph"))
+    assert again._edges is not None and ids_by_query(again.search(queries, 4)) == want
+
+
+def test_codebooks_are_saved_and_codes_packed(spark, tmp_path):
+    rows = base(spark, DATA)
+    book = quantize.train_codebook(rows, 8, 8, 16, 4)
+    quantize.save_codebook(book, str(tmp_path / "book"))
+    kept = quantize.load_codebook(spark, str(tmp_path / "book"))
+    codes = lambda b: {r.id: r.codes for r in quantize.product_codes(rows, b, 8).collect()}
+    assert codes(book) == codes(kept) and len(codes(book)) == rows.count()
+    packed = quantize.product_codes(rows, book, 8).select("codes", quantize.packed_nibbles(F.col("codes")).alias("p"))
+    assert packed.where((F.octet_length("p") != 4) | (quantize.unpacked_nibbles(F.col("p"), 8) != F.col("codes"))).count() == 0
+    error = lambda b: rows.join(quantize.decoded(quantize.product_codes(rows, b, 8), b).toDF("id", "w"), "id").agg(F.sum(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))).first()[0]
+    assert error(book) < error(quantize.codebook_from_rows(rows, 8, 8, 16))
+    with pytest.raises(ValueError):
+        rows.write.parquet(str(tmp_path / "rows"))
+        quantize.load_codebook(spark, str(tmp_path / "rows"))
