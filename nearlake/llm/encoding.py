@@ -53,7 +53,7 @@ class Memo(dict):
 class Encoder:
     """encode(text) gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, words: int = 250_000):
+    def __init__(self, path: str, words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
