@@ -17,7 +17,7 @@ from nearlake.operators.tables import settled
 
 
 #: Rows that are broadcast as queries at once.
-GRAPH_BLOCK = 32_768
+GRAPH_BLOCK = 16_384
 
 
 def knn_graph(rows: DataFrame, k: int) -> DataFrame:

@@ -90,12 +90,12 @@ def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 FOLD_AT_ONCE = 1 << 23
 
 
-def nearest_pairs(qids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, row ids, distances): of these rows the k nearest to each query, exactly folded, ties to the smaller id.
+def nearest_places(qids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, skip_self: bool = False, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of queries, row ids, distances): of these rows the k nearest to each query, exactly folded, ties to the smaller id.
 
     The matrix product tells each distance up to a margin; a row is folded if its least possible
-    distance is no more than the k-th greatest possible one. Distances that aren't finite numbers
-    come last, NaN after infinity, so they are found only where k others aren't there.
+    distance is no more than the k-th greatest possible one, nor than ``bound``, the query's k-th distance so far. Distances
+    that aren't finite numbers come last, NaN after infinity, so they are found only where k others aren't there.
     """
     with np.errstate(over="ignore", invalid="ignore"):
         norms, squares = (q * q).sum(axis=1), (v * v).sum(axis=1)
@@ -110,21 +110,47 @@ def nearest_pairs(qids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarra
             same = qids[:, None] == own[None, :]
             high[same] = low[same] = np.inf
         m = min(k, len(own))
-        one, other = np.nonzero(low <= np.partition(high, m - 1, axis=1)[:, m - 1 : m])
+        limit = np.partition(high, m - 1, axis=1)[:, m - 1]
+        one, other = np.nonzero(low <= (limit if bound is None else np.minimum(limit, bound))[:, None])
         if skip_self:
             fair = qids[one] != own[other]
             one, other = one[fair], other[fair]
         step = max(1, FOLD_AT_ONCE // max(1, q.shape[1]))
         exact = np.concatenate([np.zeros(0), *(folded(q[one[at : at + step]], v[other[at : at + step]]) for at in range(0, len(one), step))])
-    return least(qids, own, one, other, exact, k)
+    return least(len(q), one, own[other], exact, k)
 
 
-def least(qids: np.ndarray, own: np.ndarray, one: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, row ids, distances): of pairs (place of a query, place of a row, d) the k least of each query, ties to the smaller id."""
-    order = np.lexsort((own[other], d, one))
-    one, other, d = one[order], other[order], d[order]
-    kept = np.arange(len(one)) - np.searchsorted(one, np.arange(len(qids)))[one] < k
-    return qids[one[kept]], own[other[kept]], d[kept]
+def nearest_pairs(qids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, skip_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``nearest_places``, with the queries' ids."""
+    one, ids, d = nearest_places(qids, q, own, v, k, skip_self)
+    return qids[one], ids, d
+
+
+def least(n: int, one: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (place of one of n queries, row id, d) the k least of each query in order, ties to the smaller id."""
+    order = np.lexsort((ids, d, one))
+    one, ids, d = one[order], ids[order], d[order]
+    kept = np.arange(len(one)) - np.searchsorted(one, np.arange(n))[one] < k
+    return one[kept], ids[kept], d[kept]
+
+
+class Best:
+    """The k least rows of each query among those that a task has seen."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        #: The k-th distance of each query so far.
+        self.bound = np.full(n, np.inf)
+
+    def add(self, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        if not len(found[0]):
+            return
+        self.held = least(self.n, *(np.concatenate(x) for x in zip(self.held, found)), self.k)
+        one, _, d = self.held
+        ends = np.searchsorted(one, np.arange(self.n), "right")
+        full = np.flatnonzero(np.bincount(one, minlength=self.n) == self.k)
+        self.bound[full] = np.where(np.isnan(d[ends[full] - 1]), np.inf, d[ends[full] - 1])
 
 
 def by_length(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -146,7 +172,7 @@ def knn_by_matrix(base: DataFrame, queries: DataFrame, k: int, block: int = QUER
 
     A batch's product chooses the rows that may be among the k nearest: all up to the k-th
     distance and a margin for rounding, ties included. Their distances are then folded exactly and
-    each batch keeps k rows per query, so what is shuffled is batches x queries x k rows whatever
+    each task keeps k rows per query, so what is shuffled is tasks x queries x k rows whatever
     the size of the base. Left out are rows and queries without a vector or with a null component, and pairs
     of unequal length. A distance that is no number counts as the greatest. No queries, no rows.
     ``skip_self`` leaves out the row with a query's own id.
@@ -160,7 +186,7 @@ def knn_by_matrix(base: DataFrame, queries: DataFrame, k: int, block: int = QUER
 def knn_by_group(base: DataFrame, queries: DataFrame, k: int, by: str, block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, by, place, id, d): the k nearest rows of each group, such as a shard, to each query; all groups in one scan.
 
-    ``by`` is a column of whole numbers of the base. Each batch keeps k rows per query and group.
+    ``by`` is a column of whole numbers of the base. Each task keeps k rows per query and group.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -170,7 +196,11 @@ def knn_by_group(base: DataFrame, queries: DataFrame, k: int, by: str, block: in
 
 
 def matrix_pairs(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, skip_self: bool = False, by: str | None = None) -> DataFrame:
-    """(qid, by, id, d): of each batch of rows and each group of ``by`` in it the k nearest to each query."""
+    """(qid, by, id, d): of the rows of each task and each group of ``by`` in it the k nearest to each query.
+
+    A task keeps them from batch to batch, and rows that are farther than a query's k-th are not folded, so it
+    returns queries x groups x k rows at most, however many it reads.
+    """
     parts, schema = [], "qid long, by long, id long, d double"
     group = F.col(by).cast("long") if by else F.lit(0).cast("long")
     rows_with = base.select(F.col("id").cast("long"), doubles(F.col("v")).alias("v"), group.alias("by")).where("v IS NOT NULL AND id IS NOT NULL AND by IS NOT NULL")
@@ -180,9 +210,10 @@ def matrix_pairs(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY
             continue
         vectors = pa.array([r[1] for r in rows], pa.list_(pa.float64()))
         held = base.sparkSession.sparkContext.broadcast({n: (ids, q) for n, ids, q in by_length(np.array([r[0] for r in rows], np.int64), vectors)})
-        step = max(64, min(2048, (1 << 23) // len(rows)))
+        step = max(64, min(2048, (1 << 22) // len(rows)))
 
         def nearest(batches: Iterator[pa.RecordBatch], held=held, step=step) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], Best] = {}
             for whole in batches:
                 for at in range(0, whole.num_rows, step):
                     batch = whole.slice(at, step)
@@ -190,10 +221,17 @@ def matrix_pairs(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY
                     for n, place, v in by_length(np.arange(batch.num_rows), batch.column(1)):
                         if n not in held.value:
                             continue
+                        qids, q = held.value[n]
                         own, of = batch.column(0).to_numpy()[place], groups[place]
                         for g in np.unique(of):
-                            qid, id_, d = nearest_pairs(*held.value[n], own[of == g], v[of == g], k, skip_self)
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qid, np.full(len(qid), g, np.int64), id_, d)], ["qid", "by", "id", "d"])
+                            so_far = best.setdefault((n, int(g)), Best(len(qids), k))
+                            so_far.add(nearest_places(qids, q, own[of == g], v[of == g], k, skip_self, so_far.bound))
+            for (n, g), so_far in best.items():
+                one, ids, d = so_far.held
+                for at in range(0, len(one), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    columns = held.value[n][0][one[part]], np.full(len(one[part]), g, np.int64), ids[part], d[part]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["qid", "by", "id", "d"])
 
         parts.append(rows_with.mapInArrow(nearest, schema))
     return reduce(DataFrame.unionByName, parts) if parts else base.sparkSession.createDataFrame([], schema)

@@ -21,8 +21,12 @@ RANGE_BYTES = 32 << 20
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; the warehouse where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset the warehouse, on one machine alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/vectors-{uuid.uuid4().hex}"
 
 
