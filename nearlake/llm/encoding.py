@@ -26,6 +26,10 @@ UNUSUAL = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2
 UNEVEN = ("  ", "\n\n", " \n", "\n ")
 
 
+#: Words whose ids are remembered, twice at most.
+MEMO_WORDS = 400_000
+
+
 def _byte_letters() -> dict[int, str]:
     letters = {b: chr(b) for b in PRINTABLE}
     others = (b for b in range(256) if b not in letters)
@@ -53,7 +57,7 @@ class Memo(dict):
 class Encoder:
     """encode(text) gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

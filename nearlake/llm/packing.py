@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearlake.llm.common import tasks_for, text_of
-from nearlake.llm.encoding import Encoder
+from nearlake.llm.encoding import MEMO_WORDS, Encoder
 
 CAPACITY = 1024
 OPEN_BINS = 4096
@@ -30,11 +30,13 @@ _SEQUENCE_BITS = 40
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process: its memo outlives a task."""
+def encoder(path: str, words: int = MEMO_WORDS) -> Encoder:
+    """One encoder for each worker process: its memos, of at most so many words, outlive a task."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path] = Encoder(path, words)
+    found = _encoders[path]
+    found.word.limit = found.piece.limit = words
+    return found
 
 
 class OpenBins:
@@ -72,7 +74,7 @@ class OpenBins:
         return chosen, self.capacity - space
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Token pieces of at most ``capacity`` ids; only a longer document is cut, its first piece takes the rest.
 
     Null and empty texts give one piece that holds the end id alone.
@@ -81,7 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, memo_words).encode
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -139,6 +141,7 @@ def pack_documents(
     open_bins: int = OPEN_BINS,
     rows_per_task: int = ROWS_PER_TASK,
     with_ids: bool = False,
+    memo_words: int = MEMO_WORDS,
 ) -> DataFrame:
     """Pack all documents: one row per piece with its sequence and offset.
 
@@ -146,9 +149,10 @@ def pack_documents(
     ``doc_id`` and ``text`` are not read. An empty table gives no rows. ``with_ids`` adds the
     ids of each piece as little-endian unsigned 32-bit integers. There is a task for every ``rows_per_task``
     pieces that are expected: a document gives one, and another for every 2 * capacity bytes, as tokens have
-    two bytes or more but for rare texts.
+    two bytes or more but for rare texts. ``memo_words`` bounds the words whose ids a worker remembers; it
+    changes no result.
     """
-    cut = pieces(docs, tokenizer, end_id, capacity, with_ids)
+    cut = pieces(docs, tokenizer, end_id, capacity, with_ids, memo_words)
     expected = docs.agg(F.sum(1 + F.floor(F.octet_length(text_of()) / (2 * capacity)))).first()[0] or 0
     return pack(cut, tasks_for(expected, rows_per_task), capacity, open_bins)
 
