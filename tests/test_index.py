@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearlake.api import VectorIndex
-from nearlake.operators import graph, inverted, partition, quantize, trees
+from nearlake.operators import frontier, graph, inverted, partition, quantize, trees
 from nearlake.operators.knn import knn, knn_by_matrix
 from nearlake.operators.measures import nearest_rank, recall
 from nearlake.plans.inputs import base, stated_queries
@@ -141,11 +141,12 @@ def floor_of(spark, found):
 
 def test_recall_floors(spark):
     rows, queries = base(spark, DATA), stated_queries(spark, DATA)
-    center = [0.0] * 64
-    d = quantize.bit_code_distances(quantize.rotated_bit_codes(rows, center, 4), queries, center, 4)
+    center = spark.createDataFrame([(0, [0.0] * 64)], "cid long, c array<double>")
+    d = quantize.bit_code_candidates(quantize.rotated_bit_codes(rows, center, 4), queries, center, 30, 4)
     assert floor_of(spark, inverted.rerank(d, rows, queries, 30, 10)) > 90
     edges = graph.both_ways(graph.pruned(graph.knn_graph(rows, 24), rows, 12))
-    found = graph.beam_search(edges, rows.withColumn("shard", F.lit(0)), queries, 0, 10, 80)
+    entry = queries.select("qid", F.lit(0).cast("long").alias("id"))
+    found = frontier.frontier_search(edges, rows, queries, entry, 10, 80)
     assert floor_of(spark, found) > 85
     heads = trees.select_heads(rows, 4)
     everything = inverted.search(rows, inverted.postings(rows, heads, 1), inverted.probes(queries, heads, 16), queries, 10)
