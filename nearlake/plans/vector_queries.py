@@ -44,7 +44,7 @@ def _row(name: str, columns, sql: dict[str, str]) -> None:
 
 
 def _rounded(v):
-    return F.transform(v, lambda x: F.round(x, 9))
+    return F.transform(v, lambda x: V.rounded(x, 9))
 
 
 def _rounded_sql(v: str, f: str) -> str:
@@ -81,7 +81,7 @@ def augment_for_inner_product(spark, sf_dir):
     u = V.augmented(F.col("v"), F.col("m"))
     # the last coordinate is the root of a difference near zero, so few of its digits are certain
     return rows.crossJoin(F.broadcast(largest)).select(
-        "id", F.concat(F.transform(F.slice(u, 1, F.size(u) - 1), lambda x: F.round(x, 7)), F.array(F.round(F.element_at(u, -1), 3))).alias("u")
+        "id", F.concat(F.transform(F.slice(u, 1, F.size(u) - 1), lambda x: V.rounded(x, 7)), F.array(V.rounded(F.element_at(u, -1), 3))).alias("u")
     )
 
 
