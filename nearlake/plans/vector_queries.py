@@ -100,7 +100,8 @@ def hamming_of_signs(spark, sf_dir):
     SELECT qid, id, CASE WHEN one > 0 THEN 1 - common / one::double ELSE 0.0 END AS d FROM p
     WHERE CASE WHEN one > 0 THEN 1 - common / one::double ELSE 0.0 END < 1 - 1e-5""")
 def jaccard_of_large_coordinates(spark, sf_dir):
-    places = F.filter(F.transform("v", lambda x, i: F.when(x > 0.15, i + 1)), lambda i: i.isNotNull())
+    # a float compares with a float, as in the SQL: the one next to 0.15 isn't above it
+    places = F.filter(F.transform("v", lambda x, i: F.when(x > F.lit(0.15).cast("float"), i + 1)), lambda i: i.isNotNull())
     sets = base(spark, sf_dir).select("id", places.alias("s"))
     queries = sets.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("s").alias("q"))
     pairs = paired(sets, queries).select("qid", "id", V.jaccard(F.col("s"), F.col("q")).alias("d"))
