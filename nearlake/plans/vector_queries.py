@@ -89,9 +89,9 @@ def augment_for_inner_product(spark, sf_dir):
     WITH s AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings)
     SELECT a.id AS qid, b.id, len(list_filter(list_zip(a.s, b.s), lambda z: z[1] <> z[2])) AS d FROM s a, s b WHERE a.id % 20 = 0""")
 def hamming_of_signs(spark, sf_dir):
-    signs = base(spark, sf_dir).select("id", F.transform("v", lambda x: F.when(x > 0, 1).otherwise(0)).alias("s"))
-    queries = signs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("s").alias("q"))
-    return paired(signs, queries).select("qid", "id", V.hamming(F.col("s"), F.col("q")).alias("d"))
+    signs = base(spark, sf_dir).select("id", F.transform("v", lambda x: F.when(x > 0, 1).otherwise(0)).alias("v"))
+    queries = signs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return all_pairs(signs, queries, P.METHODS["hamming"], "int")
 
 
 @query("jaccard_of_large_coordinates", """
