@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearlake.functions.vectors import deviation, doubles, l2, mean, part
-from nearlake.operators.knn import top_k
+from nearlake.functions.vectors import deviation, doubles, mean, part
+from nearlake.operators.knn import knn
 from nearlake.operators.partition import with_places
 from nearlake.operators.tables import settled
 
 MAX_DEPTH = 16
 
+#: Visits of leaves that are broadcast at once.
+VISITS = 16_384
+
 
 def split_once(rows: DataFrame, widest: int = 1) -> DataFrame:
     """One more level: each node's rows are parted at the mean of its dimension with the largest variance.
@@ -61,6 +64,15 @@ def route(queries: DataFrame, leaf_boxes: DataFrame, n: int) -> DataFrame:
     return ranked.where(F.col("rank") <= n).select("qid", "rank", "node", "bound")
 
 
+def search_leaves(leaves: DataFrame, visits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, id, d): of the rows (id, v, node) in the leaves that each query visits (qid, node) the k nearest, exactly.
+
+    Rows meet the queries that visit their leaf within the task, by matrix products, so no pair leaves it but k a query and leaf.
+    """
+    asked = visits.select("qid", F.col("node").alias("leaf")).join(queries.select("qid", "q"), "qid")
+    return knn(leaves.select("id", "v", "node"), asked, k, block=VISITS, same=("node", "leaf"))
+
+
 def select_heads(rows: DataFrame, depth: int) -> DataFrame:
     """(cid, c): of each leaf the row nearest to the leaf's mean."""
     from nearlake.operators.graph import medoid
@@ -201,12 +213,11 @@ def segment_search(leaves: DataFrame, queries: DataFrame, segments: int, width:
     nearest = bounds.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("bound", "node"))).where(F.col("r") <= first)
 
     def ranked(visits: DataFrame) -> DataFrame:
-        pairs = leaves.select("node", "id", "v").join(visits.select("qid", "node"), "node").join(queries.select("qid", "q"), "qid")
-        return top_k(pairs.select("qid", "id", l2(F.col("v"), F.col("q")).alias("d")), k)
+        return search_leaves(leaves, visits, queries, k)
 
     reach = ranked(nearest).groupBy("qid").agg(F.max("d").alias("reach"), F.count("*").alias("n"))
     # fewer than k rows in the first leaves tell no distance: such a query visits all
-    visits = bounds.join(reach, "qid", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("bound") <= F.col("reach")))
+    visits = settled(bounds.join(reach, "qid", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("bound") <= F.col("reach"))))
     return ranked(visits).select("qid", "rank", "id", "d")
 
 

@@ -47,9 +47,9 @@ def leaf_routing(spark, sf_dir):
 @query("tree_search")
 def tree_search(spark, sf_dir):
     """Exact ranking within the four leaves of the least bounds."""
-    leaves, queries = _tree(spark, sf_dir), stated_queries(spark, sf_dir)
-    probed = T.route(queries, T.boxes(leaves), 4).select("qid", F.col("node").alias("cid"))
-    return I.search(leaves, leaves.select(F.col("node").alias("cid"), "id"), probed, queries, 10).select("qid", "rank", "id", "d")
+    leaves, queries = settled(_tree(spark, sf_dir)), stated_queries(spark, sf_dir)
+    probed = settled(T.route(queries, T.boxes(leaves), 4))
+    return T.search_leaves(leaves, probed, queries, 10)
 
 
 @query("selected_heads")
