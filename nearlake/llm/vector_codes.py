@@ -130,7 +130,7 @@ def compress_vectors(vectors: DataFrame, parts: int = PARTS, entries: int = ENTR
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 kept, x = whole_numbers(batch.column(1), width)
-                code, d = codes_of(x.reshape(len(x), parts, -1), held.value)
+                code, d = codes_of(x.reshape(len(x), parts, width // parts), held.value)
                 some = batch.take(pa.array(kept))
                 codes = pa.array([c.tobytes() for c in code.astype(np.uint8 if entries <= 256 else np.uint16)], pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), codes, pa.array(d.sum(axis=1))], ["vec_id", "label", "codes", "error"])
