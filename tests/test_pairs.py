@@ -141,3 +141,38 @@ def test_a_float_next_to_the_bound(spark, tmp_path):
 def test_small_negative_components_round_as_in_sql(spark, tmp_path, name):
     got, want = on_vectors(spark, tmp_path, name, [[-1e-12, 0.6, 0.8], [1e-12, -0.00390625, 0.5]])
     assert got == want and any("-0.0," in r for r in got)
+
+
+def test_what_a_task_holds_is_bounded_by_k(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(K, "query_blocks", lambda queries, block: seen.append(block) or [queries])
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, v array<double>")
+    K.knn(rows, rows.select(F.col("id").alias("qid"), F.col("v").alias("q")), 1024)
+    assert seen and seen[0] * 1024 <= K.HELD_ROWS
+
+
+def test_merging_late_holds_the_same():
+    random = np.random.default_rng(1)
+    best, every = K.Best(5, 4), []
+    for _ in range(60):
+        n = int(random.integers(0, 12))
+        found = random.integers(0, 5, n), random.integers(0, 50, n), random.integers(0, 9, n) / 2.0
+        every.append(found)
+        best.add(found)
+    want = K.least(5, *(np.concatenate(x) for x in zip(*every)), 4)
+    assert all((a == b).all() for a, b in zip(best.rows(), want))
+
+
+def test_bit_codes_leave_a_task_as_k_rows_a_query(spark):
+    from nearlake.operators import quantize as Q
+
+    random = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in random.normal(size=16)]) for i in range(5000)]
+    rows = spark.createDataFrame(vectors, "id long, v array<double>").coalesce(1)
+    centers = spark.createDataFrame([(0, [0.0] * 16)], "cid long, c array<double>")
+    queries = rows.where("id < 3").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    coded = Q.rotated_bit_codes(rows, centers, 4).coalesce(1).cache()
+    wide = {(r.qid, r.id): r.d for r in Q.bit_code_candidates(coded, queries, centers, 5000, 4).collect()}
+    near = Q.bit_code_candidates(coded, queries, centers, 10, 4).collect()
+    want = {(q, i) for q in range(3) for _, i in sorted((d, i) for (x, i), d in wide.items() if x == q)[:10]}
+    assert len(wide) == 15000 and {(r.qid, r.id) for r in near} == want
