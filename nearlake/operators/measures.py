@@ -34,6 +34,16 @@ def range_recall(truth: DataFrame, results: DataFrame, queries: DataFrame) -> Da
     """Mean over queries of the percentage of truth found; a query without truth counts as 100."""
     found = truth.join(results.select("qid", "id").distinct().withColumn("hit", F.lit(1)), ["qid", "id"], "left")
     by = found.groupBy("qid").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    return _mean_percent(by, queries)
+
+
+def range_recall_of_counts(truth: DataFrame, hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """As ``range_recall``, from the numbers (qid, n) of rows that each query should find and of those among them that it found."""
+    by = truth.join(hits.select("qid", F.col("n").alias("hits")), "qid", "left").select("qid", "n", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return _mean_percent(by, queries)
+
+
+def _mean_percent(by: DataFrame, queries: DataFrame) -> DataFrame:
     each = queries.select("qid").join(by, "qid", "left").select(F.coalesce(100.0 * F.col("hits") / F.col("n"), F.lit(100.0)).alias("p"))
     return each.agg(F.round(F.avg("p"), 6).alias("recall"))
 

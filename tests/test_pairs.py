@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from nearlake.functions import vectors as V
 from nearlake.operators import knn as K
+from nearlake.operators import measures as M
 from nearlake.operators import pairs as P
 from nearlake.plans import QUERIES
 
@@ -176,3 +177,36 @@ def test_bit_codes_leave_a_task_as_k_rows_a_query(spark):
     near = Q.bit_code_candidates(coded, queries, centers, 10, 4).collect()
     want = {(q, i) for q in range(3) for _, i in sorted((d, i) for (x, i), d in wide.items() if x == q)[:10]}
     assert len(wide) == 15000 and {(r.qid, r.id) for r in near} == want
+
+
+@pytest.mark.parametrize("how", ["l2", "inner_product", "cosine"])
+def test_the_first_look_in_single_precision_loses_no_row(how):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 12))
+    v[100:180] = v[2]  # ties
+    v[5], v[6, 3], v[9], v[11] = 0, np.nan, v[9] * 1e3, v[11] * 1e20
+    q = np.concatenate([v[:40], v[2:3] + 1e-9])
+    ids, qids = rng.permutation(3000), np.arange(41)
+    looked = []
+    task = K.Coarse(qids, q, 7, False, P.METHODS[how], None)
+    task.look = lambda *args, plain=task.look: looked.append(1) or plain(*args)
+    for at in range(0, 3000, 200):
+        task.add(ids[at : at + 200], v[at : at + 200])
+    expected = K.nearest_places(qids, q, ids, v, 7, how=P.METHODS[how])
+    assert looked and all(np.array_equal(a, b, equal_nan=a.dtype == float) for a, b in zip(task.best.rows(), expected))
+    exact = np.concatenate([d for _, d in P.every_pair(P.METHODS[how], q, v)])
+    with np.errstate(all="ignore"):
+        for r in (np.full(41, np.nanquantile(exact, 0.01)), np.where(qids == 3, np.nan, exact[:, 50])):
+            wanted = (exact <= r[:, None]) | np.isnan(r)[:, None]
+            for count in (False, True):
+                one, other, n = K.may_lie_within(P.METHODS[how], q, v, r, count)
+                inside = wanted[one, other]
+                assert np.array_equal(n + np.bincount(one[inside], minlength=41), wanted.sum(axis=1))
+
+
+def test_range_recall_of_counts_is_that_of_pairs(spark):
+    truth = spark.createDataFrame([(q, i) for q in range(3) for i in range(q * 4)], "qid long, id long")
+    found = truth.where("id % 3 <> 0")
+    queries = spark.createDataFrame([(q,) for q in range(4)], "qid long")
+    counts = [x.groupBy("qid").agg(F.count("*").alias("n")) for x in (truth, found)]
+    assert M.range_recall_of_counts(*counts, queries).collect() == M.range_recall(truth, found, queries).collect()
