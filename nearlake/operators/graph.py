@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearlake.functions.vectors import l2
-from nearlake.operators.knn import knn_by_matrix, top_k
+from nearlake.functions.vectors import doubles, l2
+from nearlake.operators.knn import by_length, knn_by_matrix, top_k
 from nearlake.operators.partition import with_places
 from nearlake.operators.tables import settled
 
@@ -39,22 +40,66 @@ def pruned(candidates: DataFrame, rows: DataFrame, degree: int, alpha: float = 1
     """(src, dst, d): candidates (src, dst, d) in distance order, less those that a kept one occludes.
 
     dst goes if some kept neighbour n has alpha * d(n, dst) < d. Candidates of a source are of
-    bounded number; their vectors are brought along by a join and pruned in Arrow groups.
+    bounded number; their vectors are brought along by a join, and the sources of a batch are pruned together.
     """
-    vectors = rows.select(F.col("id").alias("dst"), F.col("v").cast("array<double>").alias("v"))
-
-    def prune(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["d", "dst"])
-        v, d = np.array(group["v"].tolist()), group["d"].to_numpy()
-        kept: list[int] = []
-        for i in range(len(group)):
-            if len(kept) == degree:
-                break
-            if not kept or (alpha * ((v[kept] - v[i]) ** 2).sum(axis=1) >= d[i]).all():
-                kept.append(i)
-        return group.iloc[kept][["src", "dst", "d"]]
-
-    return candidates.join(vectors, "dst").groupBy("src").applyInPandas(prune, "src long, dst long, d double")
+    vectors = rows.select(F.col("id").alias("dst"), "v")
+    near = candidates.join(vectors, "dst").select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("d").cast("double"), "v")
+    near = near.repartition("src").sortWithinPartitions("src", "d", "dst").withColumn("v", doubles(F.col("v")))
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            for _, place, v in by_length(np.arange(table.num_rows), table.column("v")):
+                kept = place[unoccluded(table.column("src").to_numpy()[place], table.column("d").to_numpy()[place], v, degree, alpha)]
+                yield table.select(["src", "dst", "d"]).take(pa.array(kept))
+
+    return near.mapInArrow(prune, "src long, dst long, d double")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows in order of their first column, cut so that equal values of it stay together."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if waiting and waiting[-1].column(0)[-1].as_py() != key[0]:
+            yield joined(waiting)
+            waiting = []
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            yield joined([*waiting, batch.slice(0, last)])
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield joined(waiting)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+#: Numbers of the candidates that are pruned together.
+PRUNED_AT_ONCE = 1 << 20
+
+
+def unoccluded(src: np.ndarray, d: np.ndarray, v: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Which candidates of each source stay; those of one source stand together, in distance order."""
+    starts = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+    counts = np.diff(np.append(starts, len(src)))
+    kept, order, at = np.zeros(len(src), bool), np.argsort(-counts, kind="stable"), 0
+    while at < len(order):
+        most = counts[order[at]]
+        some = order[at : at + max(1, PRUNED_AT_ONCE // max(1, most * v.shape[1]))]
+        at += len(some)
+        there = np.arange(most)[None, :] < counts[some][:, None]
+        place = np.where(there, starts[some][:, None] + np.arange(most)[None, :], starts[some][:, None])
+        x, far, stays = v[place], d[place], np.zeros(place.shape, bool)
+        for i in range(most):
+            between = ((x[:, :i] - x[:, i : i + 1]) ** 2).sum(axis=2)
+            clear = ((alpha * between >= far[:, i : i + 1]) | ~stays[:, :i]).all(axis=1)
+            stays[:, i] = there[:, i] & clear & (stays.sum(axis=1) < degree)
+        kept[place[stays]] = True
+    return kept
 
 
 def stitched(rows: DataFrame, k: int, degree: int, alpha: float = 1.2) -> DataFrame:

@@ -227,3 +227,20 @@ def test_pages_by_votes_against_a_plain_version(spark, rows):
     runs = rows.select("id", F.floor(F.col("id") / capacity).alias("page"))
     overlap = lambda pages: graph.page_overlap(edges, pages).first()[0]
     assert overlap(got) > 2 * overlap(runs)
+
+
+def test_sources_pruned_together_keep_what_each_keeps_alone(spark):
+    random = np.random.default_rng(5)
+    v = random.normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)], "id long, v array<double>").repartition(3)
+    near = [(s, int(t), float(((v[s] - v[t]) ** 2).sum())) for s in range(300) for t in random.choice(300, s % 30, replace=False)]
+    kept = graph.pruned(spark.createDataFrame(near, "src long, dst long, d double"), rows, 4)
+    expected = set()
+    for s in range(300):
+        stay: list[int] = []
+        for _, t, d in sorted((x for x in near if x[0] == s), key=lambda x: (x[2], x[1])):
+            if len(stay) < 4 and all(1.2 * ((v[j] - v[t]) ** 2).sum() >= d for j in stay):
+                stay.append(t)
+        expected |= {(s, t) for t in stay}
+    assert {(r.src, r.dst) for r in kept.collect()} == expected
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()  # no Python call for each source
