@@ -195,3 +195,15 @@ def test_scan_of_indices_ends_where_a_plain_one_does(spark, drops, limit, page):
     for r in queries.collect():
         assert got[r.qid] == plain_scan(have, [r.q1, r.q2, r.q3], weights, 5, drops, limit)
     assert len(got) == queries.count()
+
+
+def test_queries_that_walk_in_blocks_end_as_all_at_once(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(x) for x in random.normal(size=4)]) for i in range(60)], "id long, v array<float>").cache()
+    queries = rows.where("id < 8").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 60) for i in range(60) for j in (1, 9, 31)], "src long, dst long").where("src <> dst")
+    near = frontier.settled(frontier.neighbours(edges))
+    first = frontier.settled(frontier.start(rows, queries, queries.select("qid", F.lit(30).cast("long").alias("id"))))
+    whole = frontier.deepen(first, rows, near, 6, 2).orderBy("qid").collect()
+    monkeypatch.setattr(frontier, "WALK_BLOCK", 3)
+    assert frontier.deepen(first, rows, near, 6, 2).orderBy("qid").collect() == whole and len(whole) == 8
