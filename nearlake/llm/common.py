@@ -76,3 +76,8 @@ def row_hash(docs: DataFrame, seed: int | None = None) -> Column:
     plain = lambda t: not re.search(r"\b(?:map|variant)\b", t)
     columns = [F.col(f"`{c}`") if plain(t) else F.to_json(F.col(f"`{c}`")) for c, t in docs.dtypes]
     return F.xxhash64(*columns) if seed is None else F.xxhash64(F.lit(seed), *(x for c in columns for x in (c, c.isNull())))
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """Adds a key of 128 bits that a row keeps whenever the table is read: two hashes of all its columns. Only equal rows share it."""
+    return docs.withColumn(name, F.struct(row_hash(docs).alias("k1"), row_hash(docs, 1).alias("k2")))

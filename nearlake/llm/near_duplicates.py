@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearlake.llm.common import WORD, materialise, partitions, row_hash, text_of, under_plain_names
+from nearlake.llm.common import WORD, materialise, partitions, text_of, under_plain_names, with_row_key
 from nearlake.llm.components import connected_components
 
 WORDS = 5
@@ -96,7 +96,7 @@ def minima(h: np.ndarray, n_hashes: int) -> np.ndarray:
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = 0, rows: int = 0) -> DataFrame:
     """row, doc_id, a 128-bit key of the shingle set (null without shingles), its size, band hashes and one byte per minimum.
 
-    ``docs`` has columns row, doc_id and text.
+    ``docs`` has columns row, of any type with an order, doc_id and text.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = 0, rows: int =
                 ["row", "doc_id", "key", "n_shingles", "bands", "marks"],
             )
 
-    schema = "row long, doc_id long, key binary, n_shingles long, bands array<long>, marks binary"
+    schema = f"row {docs.schema['row'].dataType.simpleString()}, doc_id long, key binary, n_shingles long, bands array<long>, marks binary"
     return docs.select("row", F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(sign, schema)
 
 
@@ -268,7 +268,7 @@ def verified_links(docs: DataFrame, near: DataFrame, words: int, threshold: floa
             sets = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["row", "shingles"])
 
-    found = texts.mapInArrow(to_sets, "row long, shingles binary")
+    found = texts.mapInArrow(to_sets, f"row {docs.schema['row'].dataType.simpleString()}, shingles binary")
     sets = found.hint("merge").join(members, "row")
     blocks = in_block_pairs(sets, F.col("blocks"), "key")
 
@@ -305,7 +305,7 @@ def verified_links(docs: DataFrame, near: DataFrame, words: int, threshold: floa
 
 
 def _classified(docs: DataFrame, words: int, threshold: float, recall: float, block: int) -> DataFrame:
-    """For a stored table (row, doc_id, text), row a number of its own: row, doc_id, key, n_shingles, and of its shingle set
+    """For a table (row, doc_id, text), read twice, whose rows have a number or key of their own: row, doc_id, key, n_shingles, and of its shingle set
     ``node`` (the class of near-duplicates), ``copy_id``, ``n_copies`` and ``links``, all null without shingles."""
     bands, rows = plan_bands(threshold, recall)
     signed = materialise(signatures(docs, words, bands, rows), "signatures")
@@ -330,9 +330,9 @@ def _classified(docs: DataFrame, words: int, threshold: float, recall: float, bl
     return signed.select("row", "doc_id", "key", "n_shingles").join(named, "key", "left")
 
 
-def _numbered(docs: DataFrame, *kept: str) -> DataFrame:
-    """Columns doc_id and text and any others, stored with a number for each row."""
-    return materialise(docs.select("*" if not kept else list(kept)).withColumn("row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The table stored with a number for each row."""
+    return materialise(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -366,15 +366,23 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     Of equal ids within a class the row with the least hash stays. Rows without an id stay only
     where their class has no row with one. Of texts without shingles (null, empty), which are in
     no class, one row of each id stays, and all without an id. Columns of any type stay as they
-    are, whatever they are called.
+    are, whatever they are called. Rows are known by two hashes of all their columns, so no
+    numbered copy of the table is written, unless rows are equal in all columns: these are
+    stored once.
     """
     held, names = under_plain_names(docs)
-    numbered = _numbered(held.withColumn("hash", row_hash(held)))
-    plain = numbered.select("row", F.col(names["doc_id"]).cast("long").alias("doc_id"), F.col(names["text"]).alias("text"))
+    keyed = with_row_key(held, "row")
+    doc_id = F.col(names["doc_id"]).cast("long")
+    lone = None
+    if (keyed.groupBy("row").count().agg(F.max("count")).first()[0] or 0) > 1:
+        nameless = doc_id.isNull() & ~text_of(names["text"]).rlike(WORD)  # these all stay, equal or not
+        lone = held.where(nameless)
+        keyed = materialise(keyed.where(~nameless).dropDuplicates(["row"]), "distinct")
+    plain = keyed.select("row", doc_id.alias("doc_id"), F.col(names["text"]).alias("text"))
     found = _classified(plain, words, threshold, recall, block).select("row", "doc_id", "node")
-    found = found.join(numbered.select("row", "hash"), "row")
     alone = F.when(F.col("doc_id").isNull(), F.col("row").cast("string")).otherwise(F.concat(F.lit("id "), F.col("doc_id").cast("string")))
     group = F.when(F.col("node").isNull(), alone.cast("binary")).otherwise(F.col("node"))
-    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "row")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     kept = found.groupBy(F.col("node").isNull().alias("wordless"), group.alias("group")).agg(F.min(first)["row"].alias("row"))
-    return numbered.hint("merge").join(kept.select("row"), "row", "left_semi").select(*(F.col(p).alias(c) for c, p in names.items()))
+    out = keyed.hint("merge").join(kept.select("row"), "row", "left_semi").select(*held.columns)
+    return (out if lone is None else out.unionAll(lone)).toDF(*docs.columns)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearlake.llm.common import materialise, text_of, under_plain_names
+from nearlake.llm.common import materialise, text_of, under_plain_names, with_row_key
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
 N_BASE = 4
@@ -345,10 +345,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Columns and rows stay, whatever the columns are called; null texts stay null. Of spans that
     overlap, the one that begins first is replaced whole and the rest of the others goes with it.
-    The texts are searched once.
+    The texts are searched once. Only the places of spans are stored, with a key of their row;
+    the texts meet them in a shuffle, so no copy of the table is written.
     """
     held, names = under_plain_names(docs)
-    found = materialise(candidates(held, names["text"]), "spans")
+    keyed = with_row_key(held, "row")
+    found = materialise(candidates(keyed.select("row", names["text"]), names["text"]).select("row", "base", "added"), "spans")
     model = train([tuple(r) for r in vote_patterns(found).collect()])
     text = text_of(names["text"])
     labels = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
@@ -362,5 +364,6 @@ def redact(docs: DataFrame) -> DataFrame:
 
     made = _let(ordered, lambda spans: _let(_pieces(text), lambda pieces: replaced(spans, pieces)))
     new = F.when(F.size("spans") > 0, made).otherwise(F.col(names["text"]).cast("string"))
-    marked = accepted(found, model)
+    some = found.where((F.size("base") > 0) | (F.size("added") > 0)).dropDuplicates(["row"])  # equal rows have equal spans
+    marked = keyed.join(accepted(some, model).select("row", "spans"), "row", "left")
     return marked.select(*((new if c == "text" else F.col(c_plain)).alias(c) for c, c_plain in names.items()))

@@ -94,6 +94,14 @@ def test_equal_ids_with_other_texts(spark):
     assert kept == sorted([(1, a), (1, b), (3, c)])
 
 
+def test_equal_rows(spark):
+    """Of rows equal in all columns one stays, but for texts without shingles and ids, which all stay."""
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a)] * 3 + [(2, a)] + [(None, b)] * 2 + [(None, None)] * 3 + [(None, " ")] + [(5, "")] * 2 + [(5, None)]
+    out = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, (r.text or "").strip()) for r in out) == {(1, a): 1, (None, b): 1, (None, ""): 4, (5, ""): 1}
+
+
 def test_columns_of_any_type_and_name(spark):
     rows = [(i, prose(1 if i < 3 else i, 60), {"k": i}, [{"z": 1}], i, "h", 7) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>, more array<map<string,int>>, row int, hash string, `a.b` int")

@@ -1,11 +1,12 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 from nearlake.llm import pii, toxicity
-from nearlake.llm.common import WORD
+from nearlake.llm.common import WORD, shared_dir
 
 from .conftest import edge_rows, prose
 from .test_mixing import targets_by_rounds
@@ -118,3 +119,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
     packed = stages["packing"](spark, docs, str(tmp_path)).collect()
     n = check_packing(packed, texts, 1024)
     assert n <= -(-sum(r.length for r in packed) // 1024) + 2
+
+
+def test_stages_leave_no_copy_of_the_texts(spark, tmp_path):
+    """What a stage stores for itself is small beside its input: hashes and places, no texts."""
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda folders: sum(p.stat().st_size for f in folders for p in f.rglob("*.parquet"))
+    words = lambda r: " ".join(f"{r.getrandbits(60):x}" for _ in range(600))
+    rows = [(i, words(random.Random(i // 2)) + " name@mail.org", "en", "abc"[i % 3], i) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, read = spark.read.parquet(str(tmp_path / "documents.parquet")), size([tmp_path / "documents.parquet"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = set(shared.iterdir())
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        assert size(set(shared.iterdir()) - before) < 0.25 * read, name
+        docs, read = spark.read.parquet(str(tmp_path / name)), size([tmp_path / name])
+    assert docs.count() > 0

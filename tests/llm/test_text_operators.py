@@ -172,6 +172,15 @@ def test_redaction(spark, edges, empty):
     assert pii.redact(empty).count() == 0
 
 
+def test_redaction_of_equal_rows(spark):
+    """Rows meet their spans by a key: none is lost, doubled or mixed up where rows or texts are equal."""
+    rows = [(0, PII_TEXTS[0])] * 3 + [(1, PII_TEXTS[0]), (None, PII_TEXTS[0])] + [(2, "clean")] * 2 + [(None, None)] * 2
+    out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    (made,) = {r.text for r in out if r.doc_id in (0, 1)}
+    assert "<EMAIL>" in made
+    assert sorted(map(repr, map(tuple, out))) == sorted(repr((i, made if t == PII_TEXTS[0] else t)) for i, t in rows)
+
+
 def test_redaction_keeps_columns_of_any_name(spark):
     rows = [(i, t, 1, "x", [2], {"k": 3}) for i, t in enumerate(["mail a@b.com now", "", None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, base int, spans string, added array<int>, __text map<string,int>")
