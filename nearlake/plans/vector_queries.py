@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearlake.functions import vectors as V
 from nearlake.operators import pairs as P
-from nearlake.operators.knn import all_pairs, paired
+from nearlake.operators.knn import all_pairs, pairs_below
 from nearlake.plans import sql as S
 from nearlake.plans.inputs import base, stated_queries
 from nearlake.plans.registry import query
@@ -100,12 +100,11 @@ def hamming_of_signs(spark, sf_dir):
     SELECT qid, id, CASE WHEN one > 0 THEN 1 - common / one::double ELSE 0.0 END AS d FROM p
     WHERE CASE WHEN one > 0 THEN 1 - common / one::double ELSE 0.0 END < 1 - 1e-5""")
 def jaccard_of_large_coordinates(spark, sf_dir):
-    # a float compares with a float, as in the SQL: the one next to 0.15 isn't above it
-    places = F.filter(F.transform("v", lambda x, i: F.when(x > F.lit(0.15).cast("float"), i + 1)), lambda i: i.isNotNull())
-    sets = base(spark, sf_dir).select("id", places.alias("s"))
-    queries = sets.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("s").alias("q"))
-    pairs = paired(sets, queries).select("qid", "id", V.jaccard(F.col("s"), F.col("q")).alias("d"))
-    return pairs.where(F.col("d") < 1 - 1e-5)
+    # a float compares with a float, as in the SQL: the one next to 0.15 isn't above it; nor is what isn't there, of a null vector too
+    large = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.get("v", i) > F.lit(0.15).cast("float"), 1).otherwise(0).cast("tinyint"))
+    sets = base(spark, sf_dir).select("id", large.alias("v"))
+    queries = sets.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return pairs_below(sets, queries, P.Method(P.shared_places), 1 - 1e-5)
 
 
 @query("base64_round_trip", "SELECT event_id, base64(props::blob) AS encoded, props AS decoded FROM events")

@@ -138,6 +138,18 @@ def test_a_float_next_to_the_bound(spark, tmp_path):
     assert got == want
 
 
+def test_places_of_odd_vectors_as_in_sql(spark, tmp_path):
+    long, short = [0.0] * 66 + [0.5], [0.5, 0.1, 0.2]
+    vectors = [[NAN, 0.2] + [0.0] * 62, None, short, long, [None, 0.5, NAN], [0.0] * 64, [0.5] * 70] + [[0.2 * (i % 3 == j % 3) for j in range(64)] for i in range(13)]
+    vectors = [*vectors, None, *vectors[1:], short, *vectors[1:], long]
+    got, want = on_vectors(spark, tmp_path, "jaccard_of_large_coordinates", vectors)
+    assert got == want and len({r.split(",")[0] for r in got}) == 4
+
+
+def test_places_make_no_pairs_of_arrays(spark):
+    assert no_pairwise_join(QUERIES["jaccard_of_large_coordinates"](spark, DATA))
+
+
 @pytest.mark.parametrize("name", ["augment_for_inner_product", "normalize"])
 def test_small_negative_components_round_as_in_sql(spark, tmp_path, name):
     got, want = on_vectors(spark, tmp_path, name, [[-1e-12, 0.6, 0.8], [1e-12, -0.00390625, 0.5]])
