@@ -207,3 +207,30 @@ def test_queries_that_walk_in_blocks_end_as_all_at_once(spark, monkeypatch):
     whole = frontier.deepen(first, rows, near, 6, 2).orderBy("qid").collect()
     monkeypatch.setattr(frontier, "WALK_BLOCK", 3)
     assert frontier.deepen(first, rows, near, 6, 2).orderBy("qid").collect() == whole and len(whole) == 8
+
+
+def test_a_row_meets_all_its_queries_in_one_row(spark):
+    """What a round sends to be scored has a row's vector once, and what comes back has a query's scores together."""
+    asked = frontier._asked(spark.createDataFrame([(7, [1.0, 2.0]), (5, [0.5, 0.25]), (9, [1.0, 1.0, 1.0])], "qid long, q array<double>"))
+    asking = spark.createDataFrame([(1, [5, 7, 5], [0.0, 3.0]), (2, [7, 9, 11], [1.0, 0.1]), (3, [9, 5], [1.0, None]), (4, [5], None)], "id long, qids array<long>, v array<float>")
+    got = {}
+    for r in frontier._scored(asking.coalesce(1), asked).collect():
+        assert r.qid not in got and set(r.done) == {0}
+        got[r.qid] = dict(zip(np.frombuffer(r.id, np.int64).tolist(), np.frombuffer(r.d).tolist()))
+    assert got == {5: {1: fold([0.0, 3.0], [0.5, 0.25])}, 7: {1: fold([0.0, 3.0], [1.0, 2.0]), 2: fold([1.0, float(np.float32(0.1))], [1.0, 2.0])}}
+
+
+def test_order_of_what_ties():
+    random = np.random.default_rng(2)
+    of, ids, done = np.sort(random.integers(0, 9, 4000)), random.integers(0, 300, 4000), random.random(4000) < 0.5
+    d = np.where(ids % 11 == 0, np.nan, np.where(ids % 7 == 0, np.inf, ids % 50 / 7))
+    got, want = frontier._in_order(9, of, d, ids, done), np.lexsort((~done, ids, d, of))
+    assert all(np.array_equal(x[got], x[want], equal_nan=x.dtype == float) for x in (of, d, ids, done))
+
+
+def test_queries_that_are_over_lie_in_files_of_their_own(spark):
+    table = settled(spark.range(40).selectExpr("id", "id % 4 = 0 AS open").repartition(3), "open")
+    over = table.where("NOT open")
+    assert over.count() == 30 and table.where("open").count() == 10 and table.columns == ["id", "open"]
+    scan = next(x for x in over._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x)
+    assert "open" in scan.split("PartitionFilters: [")[1].split("]")[0]
