@@ -48,6 +48,19 @@ def test_distances_make_no_pairs_of_vectors(spark, name):
     assert no_pairwise_join(QUERIES[name](spark, DATA))
 
 
+@pytest.mark.parametrize("name", ["distance_cosine", "distance_cosine_of_units", "distance_fast_l2", "distance_euclidean", "distance_inner_product", "distance_l2", "symmetric_distance"])
+def test_rows_are_dealt_once_as_they_are_stored(spark, monkeypatch, name):
+    """Whatever the number of blocks of queries: beside its rows a query puts its input on disk once, not doubled."""
+    monkeypatch.setattr(K.all_pairs, "__defaults__", ("double", 9))
+    df = QUERIES[name](spark, DATA)
+    want = df.count()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") >= 2 and plan.count("Exchange RoundRobin") - plan.count("ReusedExchange") == 1
+    dealt = plan.split("Exchange RoundRobin")[1].split("MapInArrow")[0]
+    assert "double" not in dealt and want == 500 * 25
+
+
 def test_rounding_as_in_sql():
     x = np.array([0.5, -0.5, 1.4999999, -0.2, 2.5, INF, -INF, NAN, 0.49999999999999994])
     assert [repr(float(r)) for r in P.rounded(x, 0)] == ["1.0", "-1.0", "1.0", "-0.0", "3.0", "inf", "-inf", "nan", "0.0"]
